@@ -6,21 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .coerce import DEFAULT_ZONE
-from .text import collapse_space
+from .text import collapse_space, let
 
 
 def truncate(value: Column, limit: int) -> Column:
     """Shorten to ``limit`` characters with a three-dot ending."""
     if limit <= 3:
         return F.substring(value, 1, limit)
-    short = F.concat(F.rtrim(F.substring(value, 1, limit - 3)), F.lit("..."))
-    return F.when(F.length(value) <= limit, value).otherwise(short)
+    return let(value, lambda v: F.when(F.length(v) <= limit, v).otherwise(
+        F.concat(F.rtrim(F.substring(v, 1, limit - 3)), F.lit("..."))))
 
 
 def first_sentence(value: Column) -> Column:
-    flat = collapse_space(value)
-    hit = F.regexp_extract(flat, "^(.+?[.!?])(?:\\s|$)", 1)
-    return F.when(hit != "", hit).otherwise(flat)
+    return let(collapse_space(value), lambda flat: F.coalesce(
+        F.nullif(F.regexp_extract(flat, "^(.+?[.!?])(?:\\s|$)", 1), F.lit("")), flat))
 
 
 def display_time(ts: Column, zone: Column | str | None = None) -> Column:

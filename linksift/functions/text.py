@@ -37,6 +37,14 @@ def _latin_folds() -> tuple[str, str]:
 _FOLD_FROM, _FOLD_TO = _latin_folds()
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it.
+
+    Without this a deeply nested expression repeats its input at every mention.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_space(value: Column) -> Column:
     """Trim spaces, tabs and line ends (``trim`` alone drops only spaces)."""
     return F.trim(value, F.lit(" \t\n\r\f\u00a0\ufeff"))

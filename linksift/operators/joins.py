@@ -100,32 +100,33 @@ def links_seen_before(links: DataFrame, picked: DataFrame) -> DataFrame:
 def contained_titles(texts: DataFrame, key: str, text: str, titles: DataFrame, title: str) -> DataFrame:
     """(key, title) pairs where ``title`` is a substring of ``text``; both normalised to spaced words.
 
-    A title that starts and ends inside words can still be contained, so only its inner words
-    are sure to stand alone in the text: those are the join keys when there are any. Titles of
-    one or two words have no inner word; they are compared with the distinct words of the
-    text through their first word as a suffix or their last word as a prefix.
+    A title may start and end inside words, so only its inner words are sure to stand alone
+    in the text. Titles of three or more words join on their rarest inner word; two-word
+    titles on six letters at the word edge they touch; one-word titles on their first twelve
+    letters inside a long word. Only (key, anchor) rows shuffle: the text itself is joined
+    back for the final check. ``title`` values are distinct and at least twelve long.
     """
-    split = F.split(F.col(title), " ")
-    inner = F.filter(split, lambda w, i: (i > 0) & (i < F.size(split) - 1))
-    long_titles = titles.select(title, F.explode(F.array_distinct(inner)).alias("_w"))
-    doc_words = texts.select(F.col(key), F.col(text), F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("_w"))
-    freq = doc_words.groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
-    anchored = long_titles.join(freq, "_w")
-    # A title is matched through its rarest inner word; a title with an unknown word cannot match.
-    needed = titles.select(title, F.size(F.array_distinct(inner)).alias("_need")).filter("_need > 0")
-    anchor = (anchored.groupBy(title).agg(F.min_by("_w", F.struct("_df", "_w")).alias("_w"), F.count(F.lit(1)).alias("_have"))
-              .join(needed, title).filter("_have = _need").select(title, "_w"))
-    hits = doc_words.join(anchor, "_w").filter(F.expr(f"instr({text}, {title}) > 0")).select(key, title)
-    return hits.unionByName(_short_titles(texts, key, text, titles, title)).distinct()
-
-
-def _short_titles(texts: DataFrame, key: str, text: str, titles: DataFrame, title: str) -> DataFrame:
-    """Titles of one or two words: joined on every character 12-gram window of the text words."""
-    short = titles.filter(F.size(F.split(F.col(title), " ")) <= 2).withColumn("_gram", F.substring(F.col(title), 1, MIN_TITLE))
-    grams = texts.filter(F.length(text) >= MIN_TITLE).select(key, text, F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(text) - (MIN_TITLE - 1)),
-        lambda i: F.substring(F.col(text), i, F.lit(MIN_TITLE))))).alias("_gram"))
-    return grams.join(short, "_gram").filter(F.expr(f"instr({text}, {title}) > 0")).select(key, title)
+    shaped = titles.select(title, F.split(F.col(title), " ").alias("_ws"))
+    found = texts.select(F.col(key), F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("_w"))
+    inner = F.filter("_ws", lambda w, i: (i > 0) & (i < F.size("_ws") - 1))
+    inner_words = shaped.filter(F.size("_ws") > 2).select(title, F.explode(F.array_distinct(inner)).alias("_w"))
+    freq = found.join(inner_words.select("_w").distinct(), "_w", "left_semi").groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
+    rated = inner_words.join(freq, "_w", "left")
+    # A word that no text has (null count) rules its title out.
+    rarest = rated.groupBy(title).agg(F.min_by("_w", F.struct("_df", "_w")).alias("_w"), F.count_if(F.col("_df").isNull()).alias("_absent"))
+    anchors = rarest.filter("_absent = 0").select(title, F.concat(F.lit("w"), "_w").alias("_a"))
+    first, last = F.get("_ws", F.lit(0)), F.get("_ws", F.lit(1))
+    pair = F.when(F.length(first) >= F.length(last), F.concat(F.lit("s"), F.right(first, F.lit(6)))).otherwise(F.concat(F.lit("p"), F.left(last, F.lit(6))))
+    anchors = anchors.unionByName(shaped.filter(F.size("_ws") == 2).select(title, pair.alias("_a")))
+    anchors = anchors.unionByName(shaped.filter(F.size("_ws") == 1).select(title, F.concat(F.lit("g"), F.left(first, F.lit(MIN_TITLE))).alias("_a")))
+    word = F.col("_w")
+    grams = F.when(F.length(word) >= MIN_TITLE, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - (MIN_TITLE - 1))),
+                                                            lambda i: F.concat(F.lit("g"), F.substring(word, i, F.lit(MIN_TITLE)))))
+    edges = F.when(F.length(word) >= 6, F.array(F.concat(F.lit("s"), F.right(word, F.lit(6))), F.concat(F.lit("p"), F.left(word, F.lit(6)))))
+    none = F.array().cast("array<string>")
+    keyed = found.select(key, F.explode(F.concat(F.array(F.concat(F.lit("w"), word)), F.coalesce(edges, none), F.coalesce(grams, none))).alias("_a"))
+    candidates = keyed.join(anchors, "_a").select(key, title).distinct()
+    return candidates.join(texts.select(key, text), key).filter(F.expr(f"instr({text}, {title}) > 0")).select(key, title)
 
 
 def unknown_titles(found: DataFrame, known: DataFrame, title: str = "title") -> DataFrame:

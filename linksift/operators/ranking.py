@@ -52,9 +52,10 @@ def exact_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str =
     per_task = placed.groupBy(*keys, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
     earlier = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_task.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    on = [placed["_task"] == starts["_task"], *[placed[k].eqNullSafe(starts[k]) for k in keys]]
-    joined = placed.join(starts.select(*[F.col(k) for k in keys], "_task", "_from", "_before"), on)
-    return joined.select(*[placed[c] for c in df.columns], (F.col("_before") + F.col("_at") - F.col("_from") + 1).alias(rank))
+    starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_task").alias("_t"), "_from", "_before")
+    same_key = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    joined = placed.join(starts, [F.col("_task") == F.col("_t"), *same_key])
+    return joined.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_from") + 1).alias(rank))
 
 
 def exact_global_rank(df: DataFrame, order: list[Column], rank: str = "rank", partitions: int | None = None) -> DataFrame:
@@ -89,7 +90,7 @@ def round_robin(df: DataFrame, group: list[str], priority: str, seq: str, positi
     best = ranked.filter("round = 1").select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
         F.col(priority).alias("group_priority"), F.col(seq).alias("group_seq"))
-    on = [ranked[g].eqNullSafe(best[f"_g{i}"]) for i, g in enumerate(group)]
+    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
     joined = ranked.join(best, on).drop(*[f"_g{i}" for i in range(len(group))])
     return exact_global_rank(joined, [F.col("round"), F.desc("group_priority"), F.col("group_seq"), F.col(seq)], position)
 

@@ -44,3 +44,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few splits enough tasks for heavy per-row work.
+
+    Tables of normal size already have more splits than cores and pass through unchanged;
+    only a small file that would run as one task is redistributed.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() * 2 <= wanted else df
