@@ -12,20 +12,24 @@ MAX_HOT_KEYS = 20_000
 SALTS = 64
 
 
-def hot_join(big: DataFrame, small: DataFrame, key: str, degree: str, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+def hot_join(big: DataFrame, small: DataFrame, key: str, degree: str, hot_rows: int = HOT_ROWS, salts: int = SALTS,
+             total: int | None = None) -> DataFrame:
     """Inner join of ``big`` to one-row-per-key ``small`` where ``degree`` counts a key's rows in ``big``.
 
     Keys with more than ``hot_rows`` rows are spread over ``salts`` tasks, their single lookup
     row copied to each. Such keys are few (at most rows / hot_rows); the list is checked
-    against a bound before it is broadcast, and the threshold rises until it fits.
+    against a bound before it is broadcast, and the threshold rises until it fits. When
+    ``total`` (the rows of ``big``) is known to be below the threshold the check is skipped.
     """
+    lookup = small.drop(degree)
+    if total is not None and total <= hot_rows:
+        return big.join(lookup, key)
     hot = small.filter(F.col(degree) > hot_rows).select(F.col(key), F.lit(True).alias("_hot"))
     found = hot.limit(MAX_HOT_KEYS + 1).count()
     while found > MAX_HOT_KEYS:
         hot_rows *= 10
         hot = small.filter(F.col(degree) > hot_rows).select(F.col(key), F.lit(True).alias("_hot"))
         found = hot.limit(MAX_HOT_KEYS + 1).count()
-    lookup = small.drop(degree)
     if found == 0:
         return big.join(lookup, key)
     hot = F.broadcast(hot)
@@ -36,34 +40,40 @@ def hot_join(big: DataFrame, small: DataFrame, key: str, degree: str, hot_rows:
     return salted.join(copies, [key, "_salt"]).drop("_salt")
 
 
-def _minimum_neighbour(directed: DataFrame) -> DataFrame:
-    return directed.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_deg")).withColumn("m", F.least("u", "m"))
+def _with_minimum(directed: DataFrame, hot_rows: int, total: int) -> DataFrame:
+    """Each edge (u, v) with ``m``, the smallest of u and its neighbours."""
+    near = directed.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_deg")).withColumn("m", F.least("u", "m"))
+    if total > hot_rows:
+        near = cut_lineage(near)
+    return hot_join(directed, near, "u", "_deg", hot_rows, total=total)
+
+
+def _signature(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    return row[0], row[1]
 
 
 def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int = 60) -> DataFrame:
     """(vertex, component) for undirected ``edges(a, b)``; component = smallest vertex id.
 
     Large-star / small-star contraction: O(log n) rounds in practice, only the current edge
-    list is kept, and every hub row spreads through ``hot_join``. Each round is checkpointed.
+    list is kept, and every hub row spreads through ``hot_join``. Each step is written out.
     """
     current = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    signature = None
+    signature = _signature(current)
     for _ in range(max_rounds):
+        total = 2 * signature[0]
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = cut_lineage(_minimum_neighbour(both))
-        large = hot_join(both, near, "u", "_deg", hot_rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_minimum(both, hot_rows, total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut_lineage(large.filter("u <> v").distinct())
-
-        near = cut_lineage(_minimum_neighbour(large))
-        joined = hot_join(large, near, "u", "_deg", hot_rows)
-        down = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        own = near.select("u", F.col("m").alias("v"))
-        current = cut_lineage(down.unionByName(own).filter("u <> v").distinct())
-
-        row = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (row[0], row[1]) == signature:
+        joined = _with_minimum(large, hot_rows, total)
+        pairs = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+                                                F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        current = cut_lineage(pairs.filter("u <> v").distinct())
+        found = _signature(current)
+        if found == signature:
             break
-        signature = (row[0], row[1])
+        signature = found
     else:
         raise RuntimeError("connected components did not converge")
     roots = current.select(F.col("v").alias("vertex")).distinct().withColumn("component", F.col("vertex"))

@@ -53,12 +53,15 @@ def _nodes(records: DataFrame) -> DataFrame:
             lambda u: F.coalesce(u != "", F.lit(False)))),
         "_names": F.array_distinct(F.filter(F.transform(
             F.concat(F.coalesce("hosts", F.array().cast("array<string>")), F.coalesce("organizers", F.array().cast("array<string>"))),
-            title_text), lambda n: n != "")),
+            lambda n: title_text(n)), lambda n: n != "")),
     })
     return out.withColumn("node", stable_id(F.lit("node"), F.col("_key"), F.array_join("_tokens", " "),
                                             F.col("start_at").cast("string"), F.col("_city")))
 
 
+_COMPARED = ["id", "node", "start_at", "_tokens", "_city", "_date", "_urls", "_names"]
+
+
 def _title_nodes(nodes: DataFrame) -> DataFrame:
     """One row per distinct comparable content, with the blocks a duplicate must share."""
     bucket = F.floor(F.unix_seconds(F.col("start_at").cast("timestamp")) / (WINDOW_HOURS * 3600))
@@ -99,18 +102,19 @@ def duplicate_groups(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     collapse to one node, so no group of copies is ever paired with itself.
     """
     nodes = cut_lineage(_nodes(records))
+    rows = nodes.count()
     distinct_nodes = nodes.select("node", "_key").distinct()
     key_edges = distinct_nodes.select(F.col("node").alias("a"), stable_id(F.lit("key"), F.col("_key")).alias("b"))
     url_edges = nodes.select(F.col("node").alias("a"), F.explode("_urls").alias("_u")).distinct().select(
         "a", stable_id(F.lit("url"), F.col("_u")).alias("b"))
     titles = _title_nodes(nodes)
     names = _names(nodes)
-    fuzzy = _verified(similar_pairs(titles, None, SIMILAR), titles, titles, names, names).select(
+    fuzzy = _verified(similar_pairs(titles, None, SIMILAR, rows=rows), titles, titles, names, names).select(
         F.col("x").alias("a"), F.col("y").alias("b"))
     labels = connected_components(key_edges.unionByName(url_edges).unionByName(fuzzy), hot_rows)
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("_deg"))
     lookup = sizes.join(labels.select(F.col("vertex").alias("node"), F.col("component").alias("group_id")), "node")
-    return hot_join(nodes, lookup, "node", "_deg", hot_rows).select(*records.columns, F.col("_key").alias("dedupe_key"), "group_id")
+    return hot_join(nodes, lookup, "node", "_deg", hot_rows, total=rows).select(*records.columns, F.col("_key").alias("dedupe_key"), "group_id")
 
 
 def merge_groups(grouped: DataFrame, seq: str = "seq") -> DataFrame:
@@ -170,13 +174,14 @@ def dedupe_records(records: DataFrame, seq: str = "seq", hot_rows: int = HOT_ROW
 
 def matching_ids(records: DataFrame, others: DataFrame) -> DataFrame:
     """Ids of ``records`` that look like a duplicate of any row of ``others`` (url or fuzzy)."""
-    left, right = _nodes(records), _nodes(others)
+    left, right = cut_lineage(_nodes(records).select(*_COMPARED)), cut_lineage(_nodes(others).select(*_COMPARED))
+    rows = left.count() + right.count()
     other_urls = right.select(F.explode("_urls").alias("_u")).distinct()
     by_url = left.select("id", F.explode("_urls").alias("_u")).join(other_urls, "_u", "left_semi").select("id")
     l, r = _title_nodes(left), _title_nodes(right)
     # A content present on both sides matches itself: same title, date and city.
     same = l.select("node").join(r.select("node"), "node", "left_semi")
-    pairs = similar_pairs(l, r, SIMILAR)
+    pairs = similar_pairs(l, r, SIMILAR, rows=rows)
     fuzzy = _verified(pairs, l, r, _names(left), _names(right)).select(F.col("x").alias("node"))
     hit = same.unionByName(fuzzy).distinct()
     return by_url.unionByName(left.select("id", "node").join(hit, "node", "left_semi").select("id")).distinct()
@@ -216,7 +221,8 @@ def dedupe_sections(rows: DataFrame, priority: str = "section_rank", score: str
         "a", stable_id(F.lit("key"), F.col("_k")).alias("b"))
     titles = (prepared.filter(F.size("_tokens") > 0).select("node", F.col("_tokens").alias("tokens"), F.array("_place").alias("blocks"))
               .dropDuplicates(["node"]))
-    pairs = similar_pairs(titles, None, REPORT_SIMILAR)
+    count = prepared.count()
+    pairs = similar_pairs(titles, None, REPORT_SIMILAR, rows=count)
     t = titles.select("node", "tokens")
     checked = pairs.join(t.select(F.col("node").alias("x"), F.col("tokens").alias("_x")), "x").join(
         t.select(F.col("node").alias("y"), F.col("tokens").alias("_y")), "y").filter(
@@ -224,6 +230,6 @@ def dedupe_sections(rows: DataFrame, priority: str = "section_rank", score: str
     labels = connected_components(key_edges.unionByName(checked.select(F.col("x").alias("a"), F.col("y").alias("b"))), hot_rows)
     sizes = prepared.groupBy("node").agg(F.count(F.lit(1)).alias("_deg"))
     lookup = sizes.join(labels.select(F.col("vertex").alias("node"), F.col("component").alias("group_id")), "node")
-    labelled = hot_join(prepared, lookup, "node", "_deg", hot_rows)
+    labelled = hot_join(prepared, lookup, "node", "_deg", hot_rows, total=count)
     kept = first_per_key(labelled, ["group_id"], [F.col(priority), F.desc(score), F.col("id")])
     return kept.select(*rows.columns)

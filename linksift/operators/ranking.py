@@ -39,7 +39,7 @@ def exact_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str =
     A plain ranking window sends a whole key to one task. Here rows are range-partitioned and
     sorted on (keys, order), so a hot key spans many tasks; each row's place inside its task
     is known from the sort, and only per-task counts (one row per key and task) are summed
-    across tasks. The sorted rows are checkpointed once so that both reads see one placement.
+    across tasks. The sorted rows are written out once so that both reads see one placement.
     ``order`` must be total, or ties fall in an arbitrary but fixed order.
     """
     spark = df.sparkSession

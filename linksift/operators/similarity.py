@@ -18,27 +18,28 @@ def prefix_length(n: Column, ratio: float) -> Column:
     return n - F.ceil(n * F.lit(ratio) - F.lit(1e-9)).cast("int") + 1
 
 
-def _ordered(df: DataFrame, freq: DataFrame) -> DataFrame:
+def _ordered(df: DataFrame, freq: DataFrame, rows: int | None) -> DataFrame:
     """Tokens of each node, rarest first. A node's own token list is one input row's worth."""
     long = df.select("node", F.explode("tokens").alias("_tok"))
-    with_freq = hot_join(long, freq, "_tok", "_deg")
+    with_freq = hot_join(long, freq, "_tok", "_deg", total=rows)
     return with_freq.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("_df", "_tok"))).alias("_o"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame | None, ratio: float, min_shared: int = 1) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame | None, ratio: float, min_shared: int = 1, rows: int | None = None) -> DataFrame:
     """Candidate (x, y) whose smaller token set may share ``ratio`` of its tokens with the other.
 
     Inputs have ``node``, ``tokens`` (distinct, non-empty) and ``blocks`` (a pair must share
     one). Exact copies must be one node already. With ``right`` = None this is a self join and
     each unordered pair appears once. No group is paired with itself wholesale: only the
-    rarest few tokens of the smaller side probe.
+    rarest few tokens of the smaller side probe. ``rows`` is an upper bound on the nodes, if known:
+    no token can occur more often.
     """
     everyone = left if right is None else left.unionByName(right)
     freq = everyone.select(F.explode("tokens").alias("_tok")).groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
     freq = freq.withColumn("_deg", F.col("_df"))
 
     def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        ordered = _ordered(df, freq).join(df.select("node", "blocks"), "node").withColumn("_n", F.size("_o"))
+        ordered = _ordered(df, freq, rows).join(df.select("node", "blocks"), "node").withColumn("_n", F.size("_o"))
         blocked = ordered.select("node", "_n", "_o", F.explode("blocks").alias("_b"))
         probe = blocked.select("node", "_n", "_b", F.explode(F.slice("_o", F.lit(1), prefix_length(F.col("_n"), ratio))).alias("_t"))
         index = blocked.select("node", "_n", "_b", F.explode("_o").alias("_t"))

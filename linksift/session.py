@@ -29,11 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, and pins row placement for later steps."""
-    directory = shared_dir(df.sparkSession)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(directory)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a fresh table under the shared folder and go on from there.
+
+    Survives executor loss, computes the plan once (an eager checkpoint computes it twice),
+    pins the rows for every later read, and keeps column pruning and size statistics.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
