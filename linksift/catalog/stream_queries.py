@@ -1 +1,91 @@
-"""Registered queries."""
+"""Stream jobs run to the end of their input and compared with the batch result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import html_title, html_to_text
+from ..session import scratch_path
+from ..sources.tables import Tables
+from ..streaming import jobs
+from . import query
+from . import views as V
+
+C = F.col
+
+
+def stream_of(spark, sf, name):
+    schema = V.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _run(spark, stream, mode, name):
+    return jobs.latest_result(stream, scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state"), mode)
+
+
+@query("stream_intake", f"SELECT page_id, {V.sql_link_url('url')} AS canonical_url FROM pages")
+def stream_intake(spark, sf):
+    raw = stream_of(spark, sf, "pages").select("page_id", "url", html_title(C("html")).alias("title"), html_to_text(C("html")).alias("snippet"))
+    out = _run(spark, jobs.link_intake(raw, V.TEXT_RULES, V.PAGES_AS_OF).select("page_id", "canonical_url", "intent", "status", "source_score"), "append", "intake")
+    return out.select("page_id", "canonical_url")
+
+
+@query("stream_dedupe", "SELECT DISTINCT 'https://u.example.com/' || user_id AS canonical_url FROM events")
+def stream_dedupe(spark, sf):
+    links = stream_of(spark, sf, "events").select(F.concat(F.lit("https://u.example.com/"), "user_id").alias("canonical_url"), C("ts").cast("timestamp").alias("discovered_at"))
+    return _run(spark, jobs.distinct_links(links, keep="40 days"), "append", "dedupe").select("canonical_url")
+
+
+@query("stream_daily_budget", "SELECT strftime(date_trunc('day', ts - INTERVAL 8 HOUR) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS day_start, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS used FROM events GROUP BY 1")
+def stream_daily_budget(spark, sf):
+    runs = stream_of(spark, sf, "events").select(C("ts").cast("timestamp").alias("started_at"), F.when(C("event_type") == "view", 1).otherwise(0).cast("long").alias("x_posts_read"))
+    out = _run(spark, jobs.daily_budget(runs), "complete", "budget")
+    return out.select(F.date_format("day_start", "yyyy-MM-dd HH:mm:ss").alias("day_start"), "used")
+
+
+@query("stream_feedback", V.with_ctes(V.V_FEEDBACK, select="SELECT feedback_type, count(*) AS count, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS latest_at FROM v_feedback GROUP BY 1"))
+def stream_feedback(spark, sf):
+    label = F.create_map(*[F.lit(x) for pair in V.LABELS.items() for x in pair])[C("event_type")]
+    rows = stream_of(spark, sf, "events").select(label.alias("feedback_type"), C("ts").alias("created_at"))
+    out = _run(spark, jobs.feedback_counts(rows), "complete", "feedback")
+    return out.withColumn("latest_at", F.date_format("latest_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_stuck_runs")
+def stream_stuck_runs(spark, sf):
+    """Users with an open error as runs that started and never finished."""
+    log = stream_of(spark, sf, "events").select(F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("run_id"), F.when(C("event_type") == "purchase", "succeeded").otherwise("running").alias("status"),
+                                                C("ts").cast("timestamp").alias("at"))
+    return _run(spark, jobs.stuck_run_alerts(log), "append", "stuck")
+
+
+@query("stream_reputation", """SELECT CAST(l_suppkey AS VARCHAR) AS id, list_reduce(list(CAST(l_extendedprice % 101 AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_partkey), lambda a, b: (a + b) / 2) AS quality_score, count(*) AS events_found FROM lineitem GROUP BY l_suppkey""")
+def stream_reputation(spark, sf):
+    tables = Tables(spark, scratch_path(spark, "reputation"))
+    none = F.lit(None).cast("string")
+    rows = stream_of(spark, sf, "lineitem").select(
+        C("l_suppkey").cast("string").alias("id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"), (C("l_extendedprice") % 101).alias("quality_score"), C("l_discount").alias("noise_rate"),
+        F.lit(75.0).alias("freshness_score"), F.lit(1).cast("long").alias("events_found"), F.lit(0).cast("long").alias("recommended_events"), C("l_shipdate").cast("timestamp").alias("last_seen"),
+        F.lit("organizer_site").alias("source_type"), none.alias("name"), none.alias("url"), none.alias("handle"))
+    jobs.keep_reputation(rows, tables, scratch_path(spark, "reputation-state")).awaitTermination()
+    return tables.read("sources").select("id", "quality_score", "events_found")
+
+
+@query("stream_upsert", "SELECT 'u' || user_id AS id, arg_max(event_type, event_id) AS query_text, arg_max(event_id, event_id) AS budget_cost FROM events GROUP BY user_id")
+def stream_upsert(spark, sf):
+    tables = Tables(spark, scratch_path(spark, "upsert"))
+    rows = stream_of(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("id"), C("event_type").alias("query_text"), C("event_id").alias("budget_cost"), "event_id")
+    jobs.keep_table(rows, tables, "queries", scratch_path(spark, "upsert-state"), "event_id").awaitTermination()
+    return tables.read("queries").select("id", "query_text", "budget_cost")
+
+
+@query("stream_picks", "SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CAST((o_orderkey * 37) % 101 AS DOUBLE) AS score FROM orders WHERE o_orderdate > TIMESTAMP '1998-06-15 12:00:00' AND o_orderdate <= TIMESTAMP '1998-07-15 12:00:00' AND (o_orderkey * 37) % 101 >= 60 ORDER BY 2 DESC, 1 LIMIT 20")
+def stream_picks(spark, sf):
+    tables = Tables(spark, scratch_path(spark, "picks"))
+    o = stream_of(spark, sf, "orders")
+    none = F.lit(None).cast("string")
+    url = F.concat(F.lit("https://shop.example.com/o/"), "o_orderkey")
+    rows = o.select(C("o_orderkey").cast("string").alias("id"), url.alias("canonical_url"), F.array(url).alias("source_urls"), C("o_orderpriority").alias("title"), C("o_orderdate").cast("timestamp").alias("start_at"), none.alias("timezone"),
+                    none.alias("city"), F.array("o_orderstatus").alias("hosts"), F.array().cast("array<string>").alias("organizers"), ((C("o_orderkey") * 37) % 101).cast("double").alias("score"))
+    jobs.pick_new(rows, tables, V.ORDER_RULES, V.AS_OF, 20, scratch_path(spark, "picks-state")).awaitTermination()
+    return tables.read("picks").select("record_id", "score")

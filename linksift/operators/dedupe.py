@@ -172,12 +172,18 @@ def dedupe_records(records: DataFrame, seq: str = "seq", hot_rows: int = HOT_ROW
 # History matching -----------------------------------------------------------------------
 
 
-def matching_ids(records: DataFrame, others: DataFrame) -> DataFrame:
-    """Ids of ``records`` that look like a duplicate of any row of ``others`` (url or fuzzy)."""
+def matching_ids(records: DataFrame, others: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """Ids of ``records`` that look like a duplicate of any row of ``others`` (url or fuzzy).
+
+    ``urls`` adds (id, url) rows for records whose urls are kept in long form.
+    """
     left, right = cut_lineage(_nodes(records).select(*_COMPARED)), cut_lineage(_nodes(others).select(*_COMPARED))
     rows = left.count() + right.count()
     other_urls = right.select(F.explode("_urls").alias("_u")).distinct()
-    by_url = left.select("id", F.explode("_urls").alias("_u")).join(other_urls, "_u", "left_semi").select("id")
+    own_urls = left.select("id", F.explode("_urls").alias("_u"))
+    if urls is not None:
+        own_urls = own_urls.unionByName(urls.select("id", dedupe_url(F.col("url")).alias("_u")))
+    by_url = own_urls.join(other_urls, "_u", "left_semi").select("id")
     l, r = _title_nodes(left), _title_nodes(right)
     # A content present on both sides matches itself: same title, date and city.
     same = l.select("node").join(r.select("node"), "node", "left_semi")

@@ -64,13 +64,18 @@ def previous_pick(records: DataFrame, picks: DataFrame, run_id: Column, url: str
                        F.col("_p.created_at").alias("previous_created_at"))
 
 
-def attribution(records: DataFrame, links: DataFrame) -> DataFrame:
-    """(record_id, link_id, platform): every link whose url equals one of the record's urls (form B)."""
+def attribution(records: DataFrame, links: DataFrame, more_urls: DataFrame | None = None) -> DataFrame:
+    """(record_id, link_id, platform): every link whose url equals one of the record's urls (form B).
+
+    ``more_urls`` adds (id, url) rows for records whose urls are kept in long form.
+    """
     def urls(df: DataFrame, id_col: str, cols: Column, *keep: str) -> DataFrame:
         return df.select(F.col("id").alias(id_col), *keep, F.explode(F.array_distinct(F.transform(
             F.filter(cols, lambda u: F.coalesce(u != "", F.lit(False))), shared_url))).alias("_url"))
 
     rec = urls(records, "record_id", F.concat(F.array("canonical_url"), F.coalesce("source_urls", F.array().cast("array<string>"))))
+    if more_urls is not None:
+        rec = rec.unionByName(more_urls.select(F.col("id").alias("record_id"), shared_url(F.col("url")).alias("_url")))
     lnk = urls(links, "link_id", F.array("canonical_url", "url"), "platform")
     return rec.join(lnk, "_url").groupBy("record_id", "link_id").agg(F.min("platform").alias("platform"))
 

@@ -12,7 +12,7 @@ from ..functions.coerce import coerce_records
 from ..functions.dates import window_reason
 from ..functions.rules import Rules
 from ..functions.text import stable_id
-from ..operators.dedupe import dedupe_records
+from ..operators.dedupe import duplicate_groups, group_urls, merge_groups
 from ..operators.joins import attribution, links_seen_before
 from ..session import cut_lineage
 from .digest import render_digests
@@ -54,19 +54,21 @@ def run_batch(links: DataFrame, raw_records: DataFrame, old_picks: DataFrame, hi
     coerced = coerce_records(raw_records.join(F.broadcast(taken), "link_id"))
     seen_records = Observation("records")
     accepted = coerced.filter(F.size("problems") == 0).drop("problems").observe(seen_records, F.count(F.lit(1)).alias("raw_events_extracted"))
-    merged = cut_lineage(dedupe_records(accepted))
+    grouped = cut_lineage(duplicate_groups(accepted))
+    merged = cut_lineage(merge_groups(grouped))
+    urls = group_urls(grouped).join(merged.select("group_id", "id"), "group_id").select("id", "url")
     reason = window_reason(F.col("start_at"), as_of)
     windowed = merged.withColumn("window_reason", reason)
     inside = windowed.filter("window_reason is null").drop("window_reason")
-    scored = cut_lineage(output_rows(adjust_scores(rubric_scores(score_budget(inside, score_budget_rows, score_percent), rules), rules)))
-    eligible, skipped = split_by_history(scored, old_picks, history)
+    scored = cut_lineage(output_rows(adjust_scores(rubric_scores(score_budget(inside, score_budget_rows, score_percent), rules), rules)).withColumn("source_urls", F.array("canonical_url")))
+    eligible, skipped = split_by_history(scored, old_picks, history, urls)
     best = picks(eligible, rules, as_of, max_picks)
     chosen = best.select(stable_id(F.lit(run_id), F.col("id")).alias("pick_id"), F.lit(run_id).alias("run_id"), F.col("id").alias("record_id"),
                          F.col("score").cast("double").alias("score"), F.coalesce("rationale", F.lit("Recommended by current scoring pipeline.")).alias("reason"),
                          F.lit(as_of).cast("timestamp").alias("created_at"))
     chosen = cut_lineage(chosen)
     shown = for_digest(eligible, chosen, rules.recommend, rules.review).withColumns({"run_id": F.lit(run_id), "reasons": F.array("rationale")})
-    sources = attribution(scored.withColumn("source_urls", F.array("canonical_url")), links)
+    sources = attribution(scored, links, urls.join(scored.select("id"), "id", "left_semi"))
     counters = {**seen_links.get, **seen_records.get, **_sizes(deduped_events_extracted=merged, future_window_events=inside, scoring_attempted=scored,
                                                                recommendations_created=chosen)}
     return BatchResult(ranked, merged, windowed.filter("window_reason is not null"), scored, skipped, chosen, sources,
