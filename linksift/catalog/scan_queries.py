@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import batch, report
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import landed, snapshot
 from ..sources.tables import Tables
 from . import query
@@ -191,7 +191,7 @@ def batch_picks(spark, sf):
     from ..plans.links import assess_links
     from .link_queries import platform_links
 
-    links = assess_links(platform_links(spark, sf), R, V.PAGES_AS_OF.date())
+    links = cut_lineage(assess_links(platform_links(spark, sf), R, V.PAGES_AS_OF.date()))  # links are saved before they are ranked
     url = F.concat(F.lit("https://r.example.com/"), "id")
     start = F.date_format(F.date_add(F.lit("2024-06-16").cast("date"), (C("seq") % 40).cast("int")), "yyyy-MM-dd'T'12:00:00'Z'")
     record = F.to_json(F.struct("id", url.alias("canonical_url"), F.array(url).alias("source_urls"), "title", C("snippet").alias("description"), start.alias("start_at"), F.lit("city").alias("location_precision"),

@@ -18,43 +18,39 @@ def prefix_length(n: Column, ratio: float) -> Column:
     return n - F.ceil(n * F.lit(ratio) - F.lit(1e-9)).cast("int") + 1
 
 
-def _ordered(df: DataFrame, freq: DataFrame, rows: int | None) -> DataFrame:
-    """Tokens of each node, rarest first. A node's own token list is one input row's worth."""
-    long = df.select("node", F.explode("tokens").alias("_tok"))
-    with_freq = hot_join(long, freq, "_tok", "_deg", total=rows)
-    return with_freq.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("_df", "_tok"))).alias("_o"))
-
-
 def similar_pairs(left: DataFrame, right: DataFrame | None, ratio: float, min_shared: int = 1, rows: int | None = None) -> DataFrame:
     """Candidate (x, y) whose smaller token set may share ``ratio`` of its tokens with the other.
 
     Inputs have ``node``, ``tokens`` (distinct, non-empty) and ``blocks`` (a pair must share
     one). Exact copies must be one node already. With ``right`` = None this is a self join and
     each unordered pair appears once. No group is paired with itself wholesale: only the
-    rarest few tokens of the smaller side probe. ``rows`` is an upper bound on the nodes, if known:
-    no token can occur more often.
+    rarest few tokens of the smaller side probe. ``rows`` is an upper bound on the nodes, if
+    known: no token can occur more often.
     """
-    everyone = left if right is None else left.unionByName(right)
-    freq = everyone.select(F.explode("tokens").alias("_tok")).groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
-    freq = freq.withColumn("_deg", F.col("_df"))
-
-    def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        ordered = _ordered(df, freq, rows).join(df.select("node", "blocks"), "node").withColumn("_n", F.size("_o"))
-        blocked = ordered.select("node", "_n", "_o", F.explode("blocks").alias("_b"))
-        probe = blocked.select("node", "_n", "_b", F.explode(F.slice("_o", F.lit(1), prefix_length(F.col("_n"), ratio))).alias("_t"))
-        index = blocked.select("node", "_n", "_b", F.explode("_o").alias("_t"))
-        def shape(d: DataFrame, p: str) -> DataFrame:
-            return d.select(F.col("node").alias(p), F.col("_n").alias(f"{p}n"), "_b", F.col("_t._tok").alias("_tok"))
-        return shape(probe, "x"), shape(index, "y")
-
-    probe, index = sides(left)
+    cols = ["node", "tokens", "blocks"]
+    everyone = left.select(*cols, F.lit(0).alias("side"))
+    if right is not None:
+        everyone = everyone.unionByName(right.select(*cols, F.lit(1).alias("side")))
+    long = everyone.select("node", "side", "blocks", F.explode("tokens").alias("_tok"))
+    freq = long.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df")).withColumn("_deg", F.col("_df"))
+    # A node's tokens come back together, rarest first: one input row's worth per group.
+    ordered = (hot_join(long, freq, "_tok", "_deg", total=rows).groupBy("node", "side")
+               .agg(F.sort_array(F.collect_list(F.struct("_df", "_tok"))).alias("_o"), F.first("blocks").alias("blocks"))
+               .withColumn("_n", F.size("_o")))
+    blocked = ordered.select("node", "side", "_n", "_o", F.explode("blocks").alias("_b"))
+
+    def entries(tokens: Column, p: str) -> DataFrame:
+        long_side = blocked.select(F.col("node").alias(p), F.col("side").alias(f"{p}s"), F.col("_n").alias(f"{p}n"), "_b", F.explode(tokens).alias("_t"))
+        return long_side.select(p, f"{p}s", f"{p}n", "_b", F.col("_t._tok").alias("_tok"))
+
+    probe = entries(F.slice("_o", F.lit(1), prefix_length(F.col("_n"), ratio)), "x").filter(F.col("xn") >= min_shared)
+    met = probe.join(entries(F.col("_o"), "y"), ["_tok", "_b"])
+    smaller, equal = F.col("xn") < F.col("yn"), F.col("xn") == F.col("yn")
     if right is None:
-        order = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y")))
-        return probe.join(index, ["_tok", "_b"]).filter(order & (F.col("xn") >= min_shared)).select("x", "y").distinct()
-    right_probe, right_index = sides(right)
-    small_left = probe.join(right_index, ["_tok", "_b"]).filter((F.col("xn") <= F.col("yn")) & (F.col("xn") >= min_shared))
-    small_right = right_probe.join(index, ["_tok", "_b"]).filter((F.col("xn") < F.col("yn")) & (F.col("xn") >= min_shared))
-    return (small_left.select("x", "y").unionByName(small_right.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+        return met.filter(smaller | (equal & (F.col("x") < F.col("y")))).select("x", "y").distinct()
+    across = met.filter((F.col("xs") != F.col("ys")) & (smaller | (equal & (F.col("xs") == 0))))
+    own = F.col("xs") == 0
+    return across.select(F.when(own, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(own, F.col("y")).otherwise(F.col("x")).alias("y")).distinct()
 
 
 def novel_queries(proposed: DataFrame, avoid: DataFrame, query: str = "query", value: str = "value",

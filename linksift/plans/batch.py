@@ -54,7 +54,7 @@ def run_batch(links: DataFrame, raw_records: DataFrame, old_picks: DataFrame, hi
     coerced = coerce_records(raw_records.join(F.broadcast(taken), "link_id"))
     seen_records = Observation("records")
     accepted = coerced.filter(F.size("problems") == 0).drop("problems").observe(seen_records, F.count(F.lit(1)).alias("raw_events_extracted"))
-    grouped = cut_lineage(duplicate_groups(accepted))
+    grouped = cut_lineage(duplicate_groups(cut_lineage(accepted)))
     merged = cut_lineage(merge_groups(grouped))
     urls = group_urls(grouped).join(merged.select("group_id", "id"), "group_id").select("id", "url")
     reason = window_reason(F.col("start_at"), as_of)
