@@ -132,10 +132,10 @@ def page_anchors(spark, sf):
 
 _ENC = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN regexp_matches(c, '[^\\x21-\\x7E]|[\"<>`{{}}]') THEN url_encode(c) ELSE c END), '')"
 _RAW_PATH = "regexp_extract(abs, '^https?://[^/?#]+([^?#]*)', 1)"
-V_ANCHORS = f"""v_anchors AS MATERIALIZED (SELECT page_id, position - 1 AS position, 'http' || CASE WHEN starts_with(abs, 'https') THEN 's' ELSE '' END || '://' || regexp_replace(regexp_extract(abs, '^https?://([^/?#]+)', 1), '^www\\.', '')
+V_ANCHORS = f"""v_anchors AS MATERIALIZED (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY min(position)) - 1 AS position FROM (SELECT page_id, position, base, 'http' || CASE WHEN starts_with(abs, 'https') THEN 's' ELSE '' END || '://' || regexp_replace(regexp_extract(abs, '^https?://([^/?#]+)', 1), '^www\\.', '')
     || CASE WHEN regexp_replace({_RAW_PATH}, '/+$', '') = '' THEN '/' ELSE regexp_replace({_ENC.format(_RAW_PATH)}, '/+$', '') END AS link FROM (
-  SELECT page_id, generate_subscripts(h, 1) AS position, unnest(h) AS href, CASE WHEN regexp_matches(unnest(h), '^https?://') THEN unnest(h) ELSE regexp_extract(url, '^https?://[^/?#]+', 0) || unnest(h) END AS abs
-  FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref=["'']([^"'']+)["'']', 1) || list_distinct(list_transform(regexp_extract_all(html, '(?i)https?://[^\\s<>"'')\\]]+'), lambda x: regexp_replace(x, '[.,;:!?]+$', ''))) AS h FROM pages)))"""
+  SELECT page_id, url AS base, generate_subscripts(h, 1) AS position, unnest(h) AS href, CASE WHEN regexp_matches(unnest(h), '^https?://') THEN unnest(h) ELSE regexp_extract(url, '^https?://[^/?#]+', 0) || unnest(h) END AS abs
+  FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref=["'']([^"'']+)["'']', 1) || list_distinct(list_transform(regexp_extract_all(html, '(?i)https?://[^\\s<>"'')\\]]+'), lambda x: regexp_replace(x, '[.,;:!?]+$', ''))) AS h FROM pages))) WHERE link <> {V.sql_link_url('base')} GROUP BY page_id, link)"""
 
 
 @query("anchor_links", V.with_ctes(V_ANCHORS, select="SELECT page_id, position, link, regexp_matches(lower(link), '^https?://[^/]+[^?]*(event|events|calendar|rsvp|register|tickets|startup-school|after-hours)') AS is_record_like FROM v_anchors"))
@@ -212,7 +212,7 @@ def source_reputation(spark, sf):
 def graph_links(spark, sf):
     """Order lines as links of a supplier page."""
     n = C("l_orderkey") * 8 + C("l_linenumber")
-    return V.table(spark, sf, "lineitem").select(
+    return V.texts(spark, sf, "lineitem").select(
         F.concat(F.lit("https://www.supplier"), "l_suppkey", F.lit(".example.com/?utm_source=x")).alias("source_url"), F.concat(F.lit("https://shop.example.com/p/"), "l_partkey").alias("canonical_url"),
         F.when(C("l_suppkey") % 2 == 0, "x").otherwise("web").alias("platform"), F.lit(None).cast("string").alias("source_type"), F.lit(None).cast("string").alias("source_handle"),
         F.lit(None).cast("string").alias("source_name"), (C("l_extendedprice") % 101).alias("source_score"), F.when(C("l_returnflag") == "R", "bad").alias("rejection_reason"),
@@ -241,7 +241,7 @@ def source_graph_edges(spark, sf):
 
 @query("attribution", """SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS record_id, l_orderkey || '-' || l_linenumber AS link_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
 def attribution(spark, sf):
-    line = V.table(spark, sf, "lineitem")
+    line = V.texts(spark, sf, "lineitem")
     link_url = F.concat(F.lit("https://www.shop.example.com/o/"), "l_orderkey", F.lit("/?utm_campaign=a"))
     links = line.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), link_url.alias("url"), U.shared_url(link_url).alias("canonical_url"), F.lit("web").alias("platform"))
     return joins.attribution(V.v_records(spark, sf), links).select("record_id", "link_id")

@@ -44,7 +44,7 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def v_records(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as records; hosts from customers, cities from nations."""
-    joined = (table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    joined = (texts(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
               .join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")))  # nation is fixed at 25 rows
     key = F.col("o_orderkey")
     status = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "closed").otherwise("approval_required")
@@ -78,7 +78,7 @@ V_PICKS = """v_picks AS (SELECT 'p' || id AS pick_id, run_id, id AS record_id, s
 
 def v_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as links: suppliers are the sources, return flags the status."""
-    line = table(spark, sf, "lineitem")
+    line = texts(spark, sf, "lineitem")
     platform = F.element_at(F.array(*[F.lit(p) for p in ("luma", "meetup", "eventbrite", "exa", "web")]), (F.col("l_suppkey") % 5 + 1).cast("int"))
     reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.col("l_linenumber"))
     status = F.when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_returnflag") == "A", "error").otherwise("new")

@@ -21,8 +21,9 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame],
     tables = {
         name: docs.select(F.inline(F.coalesce(F.col(name), F.array().cast(T.ArrayType(schema))))) for name, schema in SNAPSHOT_TABLES.items()
     }
-    # Reading the corrupt column alone is refused for files, so the filter keeps a data column.
-    rejects = docs.select("_corrupt_record", F.size("runs").alias("_n")).filter("_corrupt_record is not null").drop("_n")
+    # Reading the corrupt column alone is refused for files, so the filter mentions a data column.
+    any_size = F.coalesce(F.size("runs"), F.lit(-1)) >= F.lit(-1)
+    rejects = docs.filter(F.col("_corrupt_record").isNotNull() & any_size).select("_corrupt_record", F.input_file_name().alias("file"))
     return tables, rejects
 
 
