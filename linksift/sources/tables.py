@@ -1,7 +1,8 @@
 """Job tables at rest: versioned Parquet, upsert and append sinks, parameterised reads.
 
-A write never touches the files a reader may hold: every change lands in a new version
-folder, and a version counts only once Spark's committer has left its success marker.
+A rewrite never touches the files a reader may hold: it lands in a new version folder, and a
+version counts only once Spark's committer has left its success marker. An append writes only
+its own rows into the current version.
 """
 
 from __future__ import annotations
@@ -57,7 +58,10 @@ class Tables:
         return target
 
     def append(self, name: str, df: DataFrame) -> int:
-        return self.replace(name, self.read(name).unionByName(self._shape(name, df)))
+        known = self.versions(name)
+        target = known[-1] if known else 0
+        self._shape(name, df).write.mode("append").parquet(f"{self.root}/{name}/v={target}")
+        return target
 
     def upsert(self, name: str, df: DataFrame, seq: str | None = None, whole_row: bool = False) -> int:
         """Insert or update by key with the table's conflict rule."""

@@ -187,13 +187,13 @@ def test_upsert_rules(spark):
     assert out == {"a": ("n2", 0, 7), "b": ("t2", 2, 6), "c": ("n3", 3, 3)}
 
 
-def test_tables_keep_versions_and_insert_picks_once(spark, tmp_path):
+def test_tables_append_in_place_and_insert_picks_once(spark, tmp_path):
     tables = Tables(spark, str(tmp_path))
     assert tables.read("picks").count() == 0
     picks = spark.createDataFrame([("p1", "r", "e", 80.0)], "pick_id string, run_id string, record_id string, score double")
     tables.save_picks(picks)
     tables.save_picks(picks.withColumn("pick_id", F.lit("p2")))
-    assert tables.read("picks").count() == 1 and tables.versions("picks") == [0, 1]
+    assert tables.read("picks").count() == 1 and tables.versions("picks") == [0]
     bad = tables.save_feedback(spark.createDataFrame([("1", "e", "good"), ("2", "e", "nope")], "id string, record_id string, feedback_type string"))
     assert bad.count() == 1 and tables.read("feedback").count() == 1
 
