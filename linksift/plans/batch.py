@@ -14,6 +14,7 @@ from ..functions.rules import Rules
 from ..functions.text import stable_id
 from ..operators.dedupe import duplicate_groups, group_urls, merge_groups
 from ..operators.joins import attribution, links_seen_before
+from ..schemas import ALWAYS_SET, RUN_COUNTERS, RUN_LOG
 from ..session import cut_lineage
 from .digest import render_digests
 from .history import for_digest, split_by_history
@@ -83,3 +84,12 @@ def _sizes(**frames: DataFrame) -> dict[str, int]:
         united = part if united is None else united.unionByName(part)
     counts = {r["n"]: r["count"] for r in united.groupBy("n").count().collect()}  # one row per stage
     return {name: counts.get(name, 0) for name in frames}
+
+
+def run_row(spark, run_id: str, started: datetime, finished: datetime, counters: dict[str, int], status: str = "succeeded", error: str | None = None,
+            run_type: str = "daily", scan_mode: str = "full", seq: int = 1) -> DataFrame:
+    """The run-log row that ends a run; counters that were not set count as zero or stay null if optional."""
+    always = {name: 0 for name in RUN_COUNTERS[:ALWAYS_SET]}
+    values = {"run_id": run_id, "seq": seq, "run_type": run_type, "started_at": started, "finished_at": finished, "status": status, "error": error,
+              "scan_mode": scan_mode, **always, **{k: v for k, v in counters.items() if k in RUN_COUNTERS}}
+    return spark.createDataFrame([tuple(values.get(f.name) for f in RUN_LOG)], RUN_LOG)

@@ -43,6 +43,7 @@ RUN_COUNTERS = [
     "extraction_attempted", "extraction_limit", "raw_events_extracted", "deduped_events_extracted", "future_window_events",
     "scoring_attempted", "scoring_limit",
 ]
+ALWAYS_SET = 8  # the leading counters default to zero
 RUN_LOG = T.StructType(
     [T.StructField(n, k) for n, k in (
         ("run_id", _S), ("seq", _L), ("run_type", _S), ("started_at", _TS), ("finished_at", _TS), ("status", _S), ("error", _S),

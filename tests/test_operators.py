@@ -309,3 +309,34 @@ def test_batch_never_repeats_a_pick(spark):
     assert result.counters["candidates_found"] == 6 and result.counters["recommendations_created"] == len(chosen)
     assert "recommended" in result.digest.first()["text"]
     assert {r["link_id"] for r in result.attribution.collect()} >= chosen
+
+
+def digest_of(spark, rows, **options):
+    from linksift.plans.digest import render_digests
+
+    base = frame(spark, *[record(i, title, start=start) for i, (title, start, _) in enumerate(rows)])
+    scores = spark.createDataFrame([(str(i), float(s)) for i, (_, _, s) in enumerate(rows)], "id string, score double")
+    events = base.join(scores, "id").withColumns({"run_id": F.lit("r"), "reasons": F.array(F.lit("Strong AI/founder fit. More."))})
+    return render_digests(events, 80, 65, datetime(2026, 8, 22, 12), **options).first()["text"]
+
+
+def test_digest_goldens(spark):
+    day = "2026-09-10 02:00:00"
+    text = digest_of(spark, [("Top Dinner", day, 92), ("R&D Salon", day, 84), ("Maybe One", day, 72), ("Maybe Two", day, 66), ("Weak Meetup", day, 59), ("Past Dinner", "2026-08-20 02:00:00", 99)],
+                     max_possible=1, report_url="https://admin.example.com/?token=secret")
+    lines = text.split("\n")
+    assert lines[0] == "Link digest: 3 events" and lines[1] == "2 recommended, 1 review-worthy"
+    assert "1. Top Dinner (92)\nSep 9, 7:00 PM - San Francisco\nWhy: Strong AI/founder fit.\nLink: https://example.com/0" in text
+    assert "2. R&amp;D Salon (84)" in text and "Possible (65-79)\n\n1. Maybe One (72)" in text
+    assert not any(w in text for w in ("Maybe Two", "Weak", "Past", "secret")) and text.endswith("admin dashboard</a>")
+    long = digest_of(spark, [(f"Very Long AI Founder Dinner {i} " + "x" * 90, day, 90 - i) for i in range(8)], max_length=1200)
+    assert len(long) <= 1200 and long.endswith("for the full run.") and "1. Very Long" in long
+
+
+def test_run_row_round_trips_through_the_log(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    start = datetime(2026, 8, 23, 12)
+    tables.log_run(spark.createDataFrame([("r", 0, start, "running", 5)], "run_id string, seq long, started_at timestamp, status string, candidates_found long"))
+    tables.log_run(batch.run_row(spark, "r", start, start + timedelta(minutes=3), {"candidates_found": 9, "scoring_attempted": 4}))
+    row = tables.runs().first()
+    assert (row["status"], row["candidates_found"], row["scoring_attempted"], row["scores_created"], row["scoring_limit"]) == ("succeeded", 9, 4, 0, None)
