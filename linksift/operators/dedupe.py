@@ -66,7 +66,7 @@ def _title_nodes(nodes: DataFrame) -> DataFrame:
     """One row per distinct comparable content, with the blocks a duplicate must share."""
     bucket = F.floor(F.unix_seconds(F.col("start_at").cast("timestamp")) / (WINDOW_HOURS * 3600))
     return (nodes.filter(F.col("start_at").isNotNull() & (F.size("_tokens") > 0))
-            .select("node", F.col("_tokens").alias("tokens"), "_city", "_date", "start_at").dropDuplicates(["node"])
+            .select("node", F.col("_tokens").alias("tokens"), F.col("_city").alias("tag"), "_city", "_date", "start_at").dropDuplicates(["node"])
             .withColumn("blocks", F.array(F.concat(F.lit("d"), F.col("_date")), F.concat(F.lit("t"), bucket),
                                           F.concat(F.lit("t"), bucket + 1))))
 

@@ -25,26 +25,29 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, ratio: float, min_sh
     one). Exact copies must be one node already. With ``right`` = None this is a self join and
     each unordered pair appears once. No group is paired with itself wholesale: only the
     rarest few tokens of the smaller side probe. ``rows`` is an upper bound on the nodes, if
-    known: no token can occur more often.
+    known: no token can occur more often. An optional ``tag`` must be equal or empty on one
+    side; it is tested inside the join, before any pair is emitted.
     """
-    cols = ["node", "tokens", "blocks"]
+    tag = F.col("tag") if "tag" in left.columns else F.lit("")
+    cols = ["node", "tokens", "blocks", tag.alias("tag")]
     everyone = left.select(*cols, F.lit(0).alias("side"))
     if right is not None:
         everyone = everyone.unionByName(right.select(*cols, F.lit(1).alias("side")))
-    long = everyone.select("node", "side", "blocks", F.explode("tokens").alias("_tok"))
+    long = everyone.select("node", "side", "blocks", "tag", F.explode("tokens").alias("_tok"))
     freq = long.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df")).withColumn("_deg", F.col("_df"))
     # A node's tokens come back together, rarest first: one input row's worth per group.
     ordered = (hot_join(long, freq, "_tok", "_deg", total=rows).groupBy("node", "side")
-               .agg(F.sort_array(F.collect_list(F.struct("_df", "_tok"))).alias("_o"), F.first("blocks").alias("blocks"))
+               .agg(F.sort_array(F.collect_list(F.struct("_df", "_tok"))).alias("_o"), F.first("blocks").alias("blocks"), F.first("tag").alias("tag"))
                .withColumn("_n", F.size("_o")))
-    blocked = ordered.select("node", "side", "_n", "_o", F.explode("blocks").alias("_b"))
+    blocked = ordered.select("node", "side", "tag", "_n", "_o", F.explode("blocks").alias("_b"))
 
     def entries(tokens: Column, p: str) -> DataFrame:
-        long_side = blocked.select(F.col("node").alias(p), F.col("side").alias(f"{p}s"), F.col("_n").alias(f"{p}n"), "_b", F.explode(tokens).alias("_t"))
-        return long_side.select(p, f"{p}s", f"{p}n", "_b", F.col("_t._tok").alias("_tok"))
+        long_side = blocked.select(F.col("node").alias(p), F.col("side").alias(f"{p}s"), F.col("_n").alias(f"{p}n"), F.col("tag").alias(f"{p}t"),
+                                   "_b", F.explode(tokens).alias("_t"))
+        return long_side.select(p, f"{p}s", f"{p}n", f"{p}t", "_b", F.col("_t._tok").alias("_tok"))
 
     probe = entries(F.slice("_o", F.lit(1), prefix_length(F.col("_n"), ratio)), "x").filter(F.col("xn") >= min_shared)
-    met = probe.join(entries(F.col("_o"), "y"), ["_tok", "_b"])
+    met = probe.join(entries(F.col("_o"), "y"), ["_tok", "_b"]).filter("xt = yt or xt = '' or yt = ''")
     smaller, equal = F.col("xn") < F.col("yn"), F.col("xn") == F.col("yn")
     if right is None:
         return met.filter(smaller | (equal & (F.col("x") < F.col("y")))).select("x", "y").distinct()
