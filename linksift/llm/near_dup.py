@@ -8,8 +8,8 @@ which classes meet; a similarity of 0.8 misses every one of the 40 bands once in
 
 Links are found without listing the pairs of a bucket. First each member is compared with its
 bucket's hub, the smallest id. Connected classes then count as one component. Only buckets that
-still hold several components are searched again, in blocks of at most BLOCK members, and only
-pairs across components come out. A pair is a candidate if the joint likelihood of both sketches
+still hold several components are searched again, in blocks of about BLOCK members, and only links
+across components come out. A pair is a candidate if the joint likelihood of both sketches
 puts its similarity at SLACK below the threshold or above (four standard errors, so a true link is
 left out once in 30,000 pairs at the threshold itself); every candidate is confirmed on the
 full sets, from the texts. Components are then the same as from all links.
@@ -185,59 +185,75 @@ def confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return cut_lineage(arrow_map(joined, confirm, "a long, b long"))
 
 
-def cross_edges(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Likely edges between different components of a bucket.
+def cross_links(members: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Confirmed links (a, b) between components that share a bucket, as pairs of components.
 
-    ``members`` has (key, size, rep, comp, n, levels) for buckets with several components. Buckets
-    are cut into blocks by hash; a task compares one block with itself or another, so a bucket of
-    any size spreads over tasks of bounded memory.
+    ``members`` has (key, size, rep, comp, n, levels, text) for buckets with several components.
+    Buckets are cut into blocks by hash; a task compares one block with itself or another, so a
+    bucket of any size spreads over tasks of bounded memory. Sketches choose what is confirmed; a
+    pair that shares several buckets is tried in the first only, and components that a link has
+    joined are not tried again. Only links leave the task.
     """
+    threshold = percent / 100
     least = _likely(threshold)
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     spread = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "levels")
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "levels", "text")
 
-    def compare(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        key, i, j, own, rep, comp, n, levels = zip(*rows)
-        rep, comp, n, own = np.array(rep), np.array(comp), np.array(n, float), np.array(own)
+    def compare(rows: list) -> set[tuple[int, int]]:
+        key, i, j, own, rep, comp, n, levels, text = zip(*rows)
+        rep, comp, n, own, root = np.array(rep), np.array(comp), np.array(n, float), np.array(own), np.array(comp)
         levels = np.frombuffer(b"".join(levels), "<u2").reshape(-1, REGISTERS)
-        left = np.flatnonzero(own == i[0])
-        right = np.flatnonzero(own == j[0])
-        out_a, out_b = [], []
-        for x in left:
-            ys = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) | (i[0] != j[0]))]
+        band = int(np.flatnonzero(band_keys(levels[0]) == key[0])[0])
+        right, same, sets, links = np.flatnonzero(own == j[0]), i[0] == j[0], {}, set()
+
+        def members_of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles((text[k] or "").encode("utf-8", "surrogatepass"), words)
+            return sets[k]
+
+        for x in np.flatnonzero(own == i[0]):
+            ys = right[(root[right] != root[x]) & ((rep[right] > rep[x]) | (not same))]
             ys = ys[np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x]) - 1e-6]
             if not len(ys):
                 continue
-            equal = (levels[ys] == levels[x]).sum(1)
-            near = equal >= (least - 0.05) * REGISTERS
-            ys, equal = ys[near], equal[near]
+            alike = levels[ys] == levels[x]
+            equal = alike.sum(1)
+            ys, equal, alike = (v[equal >= (least - 0.05) * REGISTERS] for v in (ys, equal, alike))
+            first = alike.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+            ys, equal = ys[first], equal[first]
             if not len(ys):
                 continue
             above = (levels[x] > levels[ys]).sum(1)
-            ys = ys[likely_similarity(equal, above, REGISTERS - equal - above, np.full(len(ys), n[x]), n[ys]) >= least]
-            out_a.append(np.minimum(rep[ys], rep[x]))
-            out_b.append(np.maximum(rep[ys], rep[x]))
-        empty = np.zeros(0, np.int64)
-        return np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b])
+            similar = likely_similarity(equal, above, REGISTERS - equal - above, np.full(len(ys), n[x]), n[ys])
+            for y in ys[np.argsort(-similar, kind="stable")][: int((similar >= least).sum())]:
+                if root[y] == root[x]:
+                    continue
+                common = len(np.intersect1d(members_of(x), members_of(y), assume_unique=True))
+                if 100 * common >= percent * (n[x] + n[y] - common):
+                    links.add((int(min(comp[x], comp[y])), int(max(comp[x], comp[y]))))
+                    root[root == root[y]] = root[x]
+        return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
+
+        def ended() -> pa.RecordBatch:
+            links = sorted(compare(rows))
+            return pa.RecordBatch.from_arrays([pa.array([v[k] for v in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if rows and rows[-1][:3] != row[:3]:
-                    out.append(compare(rows))
+                    yield ended()
                     rows = []
                 rows.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(rows)], ["a", "b"])
+            yield ended()
 
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return arrow_map(dealt, run, "a long, b long").distinct()
+    return cut_lineage(arrow_map(dealt, run, "a long, b long").distinct())
 
 
 def near_components(docs: DataFrame, words: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,11 +274,8 @@ def near_components(docs: DataFrame, words: int, percent: int = 80, id_col: str
 
     placed = met.join(first, "rep", "left").select("key", "size", "rep", F.coalesce("comp", "rep").alias("comp"))
     several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    open_ = placed.join(cut_lineage(several), "key").join(classes.select("rep", "n", "levels"), "rep")
-    across = cross_edges(open_, threshold).join(stars, ["a", "b"], "left_anti")
-    more = confirmed(across, texts, words, percent)
-    a, b = first.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), first.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    merged = connected_components(more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    open_ = placed.join(cut_lineage(several), "key").join(classes.select("rep", "n", "levels"), "rep").join(texts, "rep")
+    merged = connected_components(cross_links(open_, words, percent))
     merged = merged.withColumnsRenamed({"vertex": "comp", "component": "last"})
 
     named_classes = classes.select("class", "rep").join(first, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
