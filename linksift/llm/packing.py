@@ -32,7 +32,7 @@ BUCKET_PIECES = 4096
 #: A sequence filled less than this share is opened again in the next round.
 REOPEN_BELOW = 0.97
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 class WordTokenizer:
