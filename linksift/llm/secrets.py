@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -94,6 +96,7 @@ def findings(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES,
     known = spark.read.schema(LEDGER).parquet(folder).filter(F.size("spans") > 0)
     known = known.withColumn("rank", order[F.concat_ws(":", "kind", "version")]).filter("rank is not null").dropDuplicates(["blob", "kind", "version"])
     spans = known.groupBy("blob").agg(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end"))))).alias("found"))
+    spans = cut_lineage(spans)  # a plain table: then Spark splits the copies of a hot blob in the join
     rows = versions.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
     return rows.join(spans, "blob", "left").select("doc_id", "blob", F.sort_array(F.coalesce("found", F.array().cast("array<struct<start:long,rank:int,kind:string,end:long>>"))).alias("found"))
 
