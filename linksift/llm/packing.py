@@ -217,7 +217,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, bucket_pieces: int
         placed = cut_lineage(dealt.groupBy("bucket").applyInArrow(_bucket_packer(round_, capacity), schema))
         open_ = F.col("fill") < F.lit(reopen_below * capacity)
         again = placed.filter(open_).count() if buckets > 1 else 0
-        if again > left // 2:
+        if again > 0.9 * left:
             again = 0  # such pieces leave room in any company
         done.append(placed.filter(~open_) if again else placed)
         sizes = placed.filter(open_).join(sizes, "row").select("row", "length") if again else sizes
