@@ -200,13 +200,13 @@ def generic_titles(spark, sf):
 # --- Graph and reputation -----------------------------------------------------------------
 
 
-@query("source_reputation", """SELECT CAST(l_suppkey AS VARCHAR) AS id, list_reduce(list(CAST(l_extendedprice % 101 AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_partkey), lambda a, b: (a + b) / 2) AS quality_score,
-  list_reduce(list(l_discount ORDER BY l_orderkey, l_linenumber, l_partkey), lambda a, b: (a + b) / 2) AS noise_rate, count(*) AS events_found, max(l_quantity) AS freshness_score FROM lineitem GROUP BY l_suppkey""")
+@query("source_reputation", """SELECT CAST(l_suppkey AS VARCHAR) AS id, round(list_reduce(list(CAST(l_extendedprice % 101 AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_partkey), lambda a, b: (a + b) / 2), 9) AS quality_score,
+  round(list_reduce(list(CAST(l_discount AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_partkey), lambda a, b: (a + b) / 2), 9) AS noise_rate, count(*) AS events_found, max(l_quantity) AS freshness_score FROM lineitem GROUP BY l_suppkey""")
 def source_reputation(spark, sf):
     line = V.table(spark, sf, "lineitem")
     rows = line.select(C("l_suppkey").cast("string").alias("id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"), (C("l_extendedprice") % 101).alias("quality_score"), C("l_discount").alias("noise_rate"),
                        C("l_quantity").alias("freshness_score"), F.lit(1).cast("long").alias("events_found"), F.lit(0).cast("long").alias("recommended_events"), C("l_shipdate").alias("last_seen"))
-    return reputation.reputation(rows, ["id"], "seq").select("id", "quality_score", "noise_rate", "events_found", "freshness_score")
+    return reputation.reputation(rows, ["id"], "seq").select("id", F.round("quality_score", 9).alias("quality_score"), F.round("noise_rate", 9).alias("noise_rate"), "events_found", "freshness_score")
 
 
 def graph_links(spark, sf):
@@ -224,10 +224,10 @@ _GRAPH = """g AS (SELECT 'https://supplier' || l_suppkey || '.example.com/' AS s
   ids AS (SELECT *, substr(sha1('organizer_site' || chr(10) || chr(10) || src), 1, 24) AS from_id, substr(sha1('candidate' || chr(10) || dst), 1, 24) AS to_id FROM g)"""
 
 
-@query("source_graph_nodes", V.with_ctes(_GRAPH, select="""SELECT from_id AS id, min(src) AS url, 'supplier' || min(l_suppkey) || '.example.com' AS name, list_reduce(list(score ORDER BY seq), lambda a, b: (a + b) / 2) AS quality_score, count(*) AS events_found, strftime(max(l_shipdate), '%Y-%m-%d') AS last_seen FROM ids GROUP BY from_id
-  UNION ALL SELECT to_id, min(dst), 'part ' || min(l_partkey), arg_min(score, seq), 1, strftime(arg_min(l_shipdate, seq), '%Y-%m-%d') FROM ids GROUP BY to_id"""))
+@query("source_graph_nodes", V.with_ctes(_GRAPH, select="""SELECT from_id AS id, min(src) AS url, 'supplier' || min(l_suppkey) || '.example.com' AS name, round(list_reduce(list(score ORDER BY seq), lambda a, b: (a + b) / 2), 9) AS quality_score, count(*) AS events_found, strftime(max(l_shipdate), '%Y-%m-%d') AS last_seen FROM ids GROUP BY from_id
+  UNION ALL SELECT to_id, min(dst), 'part ' || min(l_partkey), round(arg_min(score, seq), 9), 1, strftime(arg_min(l_shipdate, seq), '%Y-%m-%d') FROM ids GROUP BY to_id"""))
 def source_graph_nodes(spark, sf):
-    return reputation.source_nodes(graph_links(spark, sf)).select("id", "url", "name", "quality_score", "events_found", F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"))
+    return reputation.source_nodes(graph_links(spark, sf)).select("id", "url", "name", F.round("quality_score", 9).alias("quality_score"), "events_found", F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"))
 
 
 @query("source_graph_edges", V.with_ctes(_GRAPH, select="""SELECT substr(sha1('run' || chr(10) || from_id || chr(10) || to_id || chr(10) || kind || chr(10) || dst), 1, 24) AS id, from_id, to_id, kind AS edge_type,

@@ -9,29 +9,27 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.text import stable_id
-from .ranking import first_per_key
-
-# A double halved this many times is exactly zero for any value below 2^20, so older rows of
-# a key add nothing to a running half-mean and need not be gathered.
-FOLD_DEPTH = 1_100
-_SALTS = 64
+from .ranking import exact_rank, first_per_key
 
 
 def running_half_mean(df: DataFrame, keys: list[str], seq: str, values: list[str]) -> DataFrame:
     """Fold (acc + x) / 2 over each key's rows in ``seq`` order; the first row starts the fold.
 
-    Only the newest ``FOLD_DEPTH`` rows of a key can still weigh in. They are found in two
-    limited steps (per salted part, then per key), so a hot key never gathers in one task.
+    The r-th newest of n rows weighs 2**-r, and the first one 2**-(n - 1), so the fold is a sum
+    that merges on the map side; ranks come from ``exact_rank``, so no key gathers in one task.
+    Null values are left out; a key with none at all is not returned.
     """
-    salted = df.select(*keys, seq, *values).withColumn("_salt", F.pmod(F.xxhash64(seq), F.lit(_SALTS)))
-    part = first_per_key(salted, [*keys, "_salt"], [F.desc(seq)], FOLD_DEPTH)
-    tail = first_per_key(part, keys, [F.desc(seq)], FOLD_DEPTH)
-    rows = tail.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(seq, *values))).alias("_rows"))
+    long = df.select(*keys, seq, F.explode(F.array(*[F.struct(F.lit(v).alias("_value"), F.col(v).cast("double").alias("_x")) for v in values])).alias("_e"))
+    long = long.select(*keys, seq, "_e._value", "_e._x").filter("_x is not null")
+    ranked = exact_rank(long, [*keys, "_value"], [F.desc(seq)], "_rank")
+    weight = F.pow(F.lit(2.0), -F.col("_rank"))
 
     def fold(value: str) -> Column:
-        return F.aggregate("_rows", F.lit(None).cast("double"), lambda acc, x: F.coalesce((acc + x[value]) / 2, x[value].cast("double")))
+        own = F.col("_value") == value
+        oldest = F.max_by(F.when(own, F.col("_x") * weight), F.when(own, F.col("_rank")))
+        return F.sum(F.when(own, F.col("_x") * weight)) + oldest
 
-    return rows.select(*keys, *[fold(v).alias(v) for v in values])
+    return ranked.groupBy(*keys).agg(*[fold(v).alias(v) for v in values])
 
 
 def reputation(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -39,7 +37,7 @@ def reputation(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     folded = running_half_mean(df, keys, seq, ["quality_score", "noise_rate"])
     totals = df.groupBy(*keys).agg(F.max("freshness_score").alias("freshness_score"), F.sum("events_found").alias("events_found"),
                                    F.sum("recommended_events").alias("recommended_events"), F.max("last_seen").alias("last_seen"))
-    return folded.join(totals, keys)
+    return totals.join(folded, keys, "left")
 
 
 def merge_reputation(current: DataFrame, batch: DataFrame) -> DataFrame:
