@@ -36,11 +36,11 @@ def stream_dedupe(spark, sf):
     return _run(spark, jobs.distinct_links(links, keep="40 days"), "append", "dedupe").select("canonical_url")
 
 
-@query("stream_daily_budget", "SELECT strftime(date_trunc('day', ts - INTERVAL 8 HOUR) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS day_start, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS used FROM events GROUP BY 1")
+@query("stream_daily_budget", "SELECT strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles', '%Y-%m-%d') AS day, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS used FROM events GROUP BY 1")
 def stream_daily_budget(spark, sf):
     runs = stream_of(spark, sf, "events").select(C("ts").cast("timestamp").alias("started_at"), F.when(C("event_type") == "view", 1).otherwise(0).cast("long").alias("x_posts_read"))
     out = _run(spark, jobs.daily_budget(runs), "complete", "budget")
-    return out.select(F.date_format("day_start", "yyyy-MM-dd HH:mm:ss").alias("day_start"), "used")
+    return out.select(C("day").cast("string").alias("day"), "used")
 
 
 @query("stream_feedback", V.with_ctes(V.V_FEEDBACK, select="SELECT feedback_type, count(*) AS count, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS latest_at FROM v_feedback GROUP BY 1"))
@@ -59,7 +59,7 @@ def stream_stuck_runs(spark, sf):
     return _run(spark, jobs.stuck_run_alerts(log), "append", "stuck")
 
 
-@query("stream_reputation", """SELECT CAST(l_suppkey AS VARCHAR) AS id, list_reduce(list(CAST(l_extendedprice % 101 AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_partkey), lambda a, b: (a + b) / 2) AS quality_score, count(*) AS events_found FROM lineitem GROUP BY l_suppkey""")
+@query("stream_reputation", """SELECT CAST(l_suppkey AS VARCHAR) AS id, round(list_reduce(list(CAST(l_extendedprice % 101 AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_partkey), lambda a, b: (a + b) / 2), 9) AS quality_score, count(*) AS events_found FROM lineitem GROUP BY l_suppkey""")
 def stream_reputation(spark, sf):
     tables = Tables(spark, scratch_path(spark, "reputation"))
     none = F.lit(None).cast("string")
@@ -68,7 +68,7 @@ def stream_reputation(spark, sf):
         F.lit(75.0).alias("freshness_score"), F.lit(1).cast("long").alias("events_found"), F.lit(0).cast("long").alias("recommended_events"), C("l_shipdate").cast("timestamp").alias("last_seen"),
         F.lit("organizer_site").alias("source_type"), none.alias("name"), none.alias("url"), none.alias("handle"))
     jobs.keep_reputation(rows, tables, scratch_path(spark, "reputation-state")).awaitTermination()
-    return tables.read("sources").select("id", "quality_score", "events_found")
+    return tables.read("sources").select("id", F.round("quality_score", 9).alias("quality_score"), "events_found")
 
 
 @query("stream_upsert", "SELECT 'u' || user_id AS id, arg_max(event_type, event_id) AS query_text, arg_max(event_id, event_id) AS budget_cost FROM events GROUP BY user_id")

@@ -18,6 +18,7 @@ from ..operators.reputation import merge_reputation, reputation
 from ..plans.history import split_by_history
 from ..plans.links import assess_links
 from ..plans.scoring import picks as pick_rows
+from ..session import cut_lineage
 from ..sources.tables import Tables
 
 STUCK_AFTER_MS = 2 * 60 * 60 * 1000
@@ -34,11 +35,14 @@ def distinct_links(links: DataFrame, ts: str = "discovered_at", key: str = "cano
     return links.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])
 
 
-def daily_budget(runs: DataFrame, ts: str = "started_at", posts: str = "x_posts_read", offset: str = "8 hours", late: str = "1 day") -> DataFrame:
-    """Posts read per local day as a tumbling window shifted by the zone's offset."""
-    window = F.window(ts, "1 day", startTime=offset)
-    return (runs.withWatermark(ts, late).groupBy(window).agg(F.sum(F.coalesce(posts, F.lit(0))).alias("used"))
-            .select(F.col("window.start").alias("day_start"), "used"))
+def daily_budget(runs: DataFrame, ts: str = "started_at", posts: str = "x_posts_read", zone: str = "America/Los_Angeles", late: str = "1 day") -> DataFrame:
+    """Posts read per local day of ``zone``, in summer and winter time.
+
+    Wall-clock time is the event time, so a day is a tumbling window of it and old days leave the state.
+    """
+    local = runs.withColumn("_local", F.from_utc_timestamp(ts, zone)).withWatermark("_local", late)
+    days = local.groupBy(F.window("_local", "1 day")).agg(F.sum(F.coalesce(posts, F.lit(0))).alias("used"))
+    return days.select(F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86400).cast("int")).alias("day"), "used")
 
 
 def feedback_counts(feedback: DataFrame) -> DataFrame:
@@ -86,11 +90,14 @@ def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint
 def pick_new(scored: DataFrame, tables: Tables, rules: Rules, as_of: datetime, limit: int, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Never recommend twice: each batch is split by the stored history before its picks are saved.
 
-    A replayed batch offers the same pick ids again and ``save_picks`` leaves stored ones alone.
+    The picked records are stored before their picks, as later batches compare urls and titles with
+    them; a record without a pick suppresses nothing, so a batch that fails in between can be
+    replayed. It offers the same pick ids again, and ``save_picks`` leaves stored ones alone.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         eligible, _ = split_by_history(batch, tables.read("picks"), tables.read("records"))
-        best = pick_rows(eligible, rules, as_of, limit)
+        best = cut_lineage(pick_rows(eligible, rules, as_of, limit))
+        tables.save_records(batch.join(best.select("id"), "id", "left_semi"))
         run = F.lit(f"stream-{batch_id}")
         tables.save_picks(best.select(
             F.concat_ws(":", run, F.col("id")).alias("pick_id"), run.alias("run_id"), F.col("id").alias("record_id"), F.col("score").cast("double").alias("score"),
@@ -107,8 +114,9 @@ def keep_reputation(rows: DataFrame, tables: Tables, checkpoint: str, seq: str =
     one before it.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
-        folded = reputation(batch, ["id"], seq).join(batch.groupBy("id").agg(
-            *[F.min_by(c, seq).alias(c) for c in ("source_type", "name", "url", "handle")]), "id")
+        labels = ("source_type", "name", "url", "handle")
+        first = batch.groupBy("id").agg(F.min_by(F.struct(*labels), F.col(seq)).alias("_first")).select("id", "_first.*")
+        folded = reputation(batch, ["id"], seq).join(first, "id")
         before = tables.read("sources", batch_id - 1) if batch_id else tables.read("sources", -1)
         tables.replace("sources", merge_reputation(before, tables._shape("sources", folded)), batch_id)
 
