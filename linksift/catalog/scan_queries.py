@@ -199,5 +199,5 @@ def batch_picks(spark, sf):
     raw = links.select(C("id").alias("link_id"), record.alias("raw"))
     empty_picks, empty_records = V.v_picks(spark, sf).limit(0), V.v_records(spark, sf).limit(0)
     rules = R.__class__(**{**R.__dict__, "recommend": 60, "review": 40})
-    result = batch.run_batch(links, raw, empty_picks, empty_records, rules, V.PAGES_AS_OF, "run", extract_limit=60, score_budget_rows=40, score_percent=80)
+    result = batch.run_batch(links, raw, empty_picks, empty_records, rules, V.PAGES_AS_OF, "run")
     return result.picks.select("record_id", "score")

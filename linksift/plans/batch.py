@@ -36,12 +36,12 @@ class BatchResult:
 
 
 def run_batch(links: DataFrame, raw_records: DataFrame, old_picks: DataFrame, history: DataFrame, rules: Rules, as_of: datetime, run_id: str,
-              extract_limit: int = 40, score_budget_rows: int = 25, score_percent: float = 30.0, max_picks: int = 10) -> BatchResult:
+              extract_limit: int | None = None, score_budget_rows: int | None = None, score_percent: float = 100.0, max_picks: int | None = None) -> BatchResult:
     """One batch over landed links and landed raw records.
 
     ``raw_records`` holds record JSON with the ``link_id`` it was extracted from; extraction
-    itself happened upstream. The extract and score budgets are the job's own feature: they
-    bound how much is scored per run. Stage counters ride along as observations, so they cost
+    itself happened upstream. Nothing is left out unless the caller sets a budget: for links
+    to extract, for records to score, for picks. Stage counters ride along as observations, so they cost
     no extra pass.
     """
     seen_links = Observation("links")
@@ -49,10 +49,10 @@ def run_batch(links: DataFrame, raw_records: DataFrame, old_picks: DataFrame, hi
     usable = watched.filter(extractable(F.col("status")))
     picked = history.join(old_picks.select(F.col("record_id").alias("id")).distinct(), "id", "left_semi")
     ranked = cut_lineage(rank_for_extraction(usable, links_seen_before(usable, picked)))
-    taken = ranked.filter(F.col("position") <= extract_limit).select(F.col("id").alias("link_id"), F.col("position").alias("seq"))
+    within = F.lit(True) if extract_limit is None else F.col("position") <= extract_limit
+    taken = ranked.filter(within).select(F.col("id").alias("link_id"), F.col("position").alias("seq"))
 
-    # At most ``extract_limit`` links are taken, which bounds the broadcast.
-    coerced = coerce_records(raw_records.join(F.broadcast(taken), "link_id"))
+    coerced = coerce_records(raw_records.join(taken, "link_id"))
     seen_records = Observation("records")
     accepted = coerced.filter(F.size("problems") == 0).drop("problems").observe(seen_records, F.count(F.lit(1)).alias("raw_events_extracted"))
     grouped = cut_lineage(duplicate_groups(cut_lineage(accepted)))
@@ -61,7 +61,7 @@ def run_batch(links: DataFrame, raw_records: DataFrame, old_picks: DataFrame, hi
     reason = window_reason(F.col("start_at"), as_of)
     windowed = merged.withColumn("window_reason", reason)
     inside = windowed.filter("window_reason is null").drop("window_reason")
-    scored = cut_lineage(output_rows(adjust_scores(rubric_scores(score_budget(inside, score_budget_rows, score_percent), rules), rules)).withColumn("source_urls", F.array("canonical_url")))
+    scored = cut_lineage(output_rows(adjust_scores(rubric_scores(inside if score_budget_rows is None else score_budget(inside, score_budget_rows, score_percent), rules), rules)).withColumn("source_urls", F.array("canonical_url")))
     eligible, skipped = split_by_history(scored, old_picks, history, urls)
     best = picks(eligible, rules, as_of, max_picks)
     chosen = best.select(stable_id(F.lit(run_id), F.col("id")).alias("pick_id"), F.lit(run_id).alias("run_id"), F.col("id").alias("record_id"),

@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     created = tempfile.mkdtemp(prefix="linksift-")
     spark.sparkContext.setCheckpointDir(created)

@@ -12,6 +12,7 @@ from linksift.operators import components, dedupe, joins, ranking, reputation, r
 from linksift.plans import batch, history, links, scoring
 from linksift.sources import landed, snapshot
 from linksift.sources.tables import Tables
+from linksift.streaming import jobs
 
 C = F.col
 RECORD = ("id string, seq long, canonical_url string, source_urls array<string>, title string, description string, start_at timestamp, end_at timestamp, timezone string, city string, venue_text string,"
@@ -151,14 +152,31 @@ def test_round_robin_order(spark):
     assert [r["seq"] for r in out] == [6, 1, 4, 2, 5, 3]
 
 
-def test_half_mean_fold_is_exact_over_long_keys(spark):
-    values = [random.Random(5).uniform(0, 100) for _ in range(3000)]
+def test_half_mean_fold_over_long_keys(spark):
+    values = [60.0, *([50.0] * 1200), *(random.Random(i).uniform(0, 100) for i in range(3800))]
     acc = values[0]
     for v in values[1:]:
         acc = (acc + v) / 2
-    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)] + [("one", 0, 80.0), ("one", 1, 40.0), ("one", 2, 20.0)], "k string, seq int, q double")
-    got = {r["k"]: r["q"] for r in reputation.running_half_mean(df, ["k"], "seq", ["q"]).collect()}
-    assert got == {"k": acc, "one": 40.0}
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)] + [("one", 0, 80.0), ("one", 1, 40.0), ("one", 2, None), ("one", 3, 20.0), ("none", 0, None)], "k string, seq int, q double")
+    got = {r["k"]: round(r["q"], 9) for r in reputation.running_half_mean(df, ["k"], "seq", ["q"]).collect()}
+    assert got == {"k": round(acc, 9), "one": 40.0}
+
+
+def test_daily_budget_in_summer(spark):
+    runs = spark.sql("SELECT timestamp '2024-07-02 06:30:00' AS started_at, 2L AS x_posts_read UNION ALL SELECT timestamp '2024-07-02 07:30:00', 3L UNION ALL SELECT timestamp '2024-01-02 07:30:00', 5L")
+    got = {str(r["day"]): r["used"] for r in jobs.daily_budget(runs).collect()}
+    assert got == {"2024-07-01": 2, "2024-07-02": 3, "2024-01-01": 5}
+
+
+def test_stream_never_picks_a_repeat(spark, tmp_path):
+    """The same url in a later micro-batch is not picked again."""
+    tables = Tables(spark, str(tmp_path / "tables"))
+    columns = "id string, canonical_url string, source_urls array<string>, title string, start_at timestamp, timezone string, city string, hosts array<string>, organizers array<string>, score double"
+    for i, (key, url) in enumerate([("a", "https://x.example.com/1"), ("b", "https://x.example.com/1"), ("c", "https://x.example.com/2")]):
+        row = (key, url, [url], {"1": "Potters and glaziers supper", "2": "Night swim"}[url[-1]], datetime(2024, 6, 20, 12), None, None, [], [], 90.0)
+        spark.createDataFrame([row], columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.pick_new(spark.readStream.schema(columns).parquet(str(tmp_path / "in")), tables, R.DEFAULT_RULES, datetime(2024, 6, 15), 5, str(tmp_path / "state")).awaitTermination()
+    assert sorted(r["record_id"] for r in tables.read("picks").collect()) == ["a", "c"]
 
 
 def test_similarity_pairs_miss_nothing(spark):
