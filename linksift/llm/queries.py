@@ -74,12 +74,31 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SPACED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
+
+
+def _found(rank: int, rule: secrets.Rule) -> str:
+    """SQL for the matches of one rule that are long enough: their places from the lengths of what stands before."""
+    find = rule.find.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, gaps + longs AS start, gaps + longs + length(hit) AS stop FROM (
+        SELECT doc_id, hits[i] AS hit, tested[i] AS tested, list_sum(list_transform(parts[1:i], lambda x: length(x))) AS gaps, coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS longs
+        FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+          SELECT doc_id, string_split_regex(body, '{find}') AS parts, regexp_extract_all(body, '{find}', 0) AS hits, regexp_extract_all(body, '{find}', {rule.group}) AS tested FROM texts)))
+        WHERE length(tested) >= {rule.least}"""
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.RULES)
+
 #: DuckDB SQL of the queries that SQL can express.
 SQL = {
     "op4_exact_dedup": f"""
         SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
         FROM (SELECT doc_id, {_SPACED} AS body FROM documents)""",
+    "op7_secret_scan": f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), found AS ({" UNION ALL ".join(_found(i, r) for i, r in enumerate(secrets.RULES))})
+        SELECT doc_id, {_COUNTS}, sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '')) AS base_sha256,
+               coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+        FROM texts LEFT JOIN found USING (doc_id) GROUP BY doc_id""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
