@@ -1,7 +1,7 @@
 """Keyword rules: the rules document, whole-word matching, derived views and diffs.
 
 A rules document is a small driver-side configuration (tens to hundreds of keywords). Up
-to a few hundred keywords compile into Column patterns; larger sets go through
+to a few hundred keywords become Column tests on the words of a text; larger sets go through
 ``match_many`` which joins on an anchor word instead.
 """
 
@@ -10,15 +10,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import small_enough
 from .text import match_text
 
-MAX_BROADCAST_RULES = 200_000
-
 
 @dataclass(frozen=True)
 class Topic:
@@ -180,43 +178,85 @@ def keyword_body(keyword: str) -> str:
     return body + ("(?:s|es)?" if plural else "")
 
 
-def _pattern(bodies: list[str]) -> str:
-    return f"(?<![a-z0-9])(?:{'|'.join(bodies)})(?![a-z0-9])"
+def _pattern(body: str) -> str:
+    return f"(?<![a-z0-9]){body}(?![a-z0-9])"
+
+
+def _anchor(keyword: str) -> tuple[list[str], bool]:
+    """The keyword's longest run of letters and digits, in the forms a matching text may hold it; and whether that run alone decides.
+
+    Empty for a keyword of signs only.
+    """
+    norm = normal_keyword(keyword)
+    longest = max(re.findall("[a-z0-9]+", norm), key=len, default="")
+    if not longest:
+        return [], False
+    ends = ["", "s", "es"] if keyword_body(keyword).endswith("(?:s|es)?") and norm.endswith(longest) else [""]
+    return [longest + e for e in ends], norm == longest
+
+
+def keyword_runs(text: Column, keywords) -> Column:
+    """Distinct runs of letters and digits of normalised ``text`` that some of ``keywords`` may need: the only pass over the text."""
+    forms = sorted({f for k in keywords if normal_keyword(k) for f in _anchor(k)[0]})
+    runs = F.split(F.translate(text, "+&#@", "    "), " ")
+    return F.array_intersect(runs, F.array(*[F.lit(f) for f in forms])) if forms else F.array().cast("array<string>")
+
 
+def _occurs(keyword: str, text: Column, runs: Column) -> Column:
+    forms, decides = _anchor(keyword)
+    exact = text.rlike(_pattern(keyword_body(keyword)))
+    if not forms:
+        return exact
+    seen = reduce(Column.__or__, [F.array_contains(runs, f) for f in forms])
+    return seen if decides else seen & exact
 
-def any_keyword(text: Column, keywords) -> Column:
-    """True when any keyword occurs in already normalised ``text`` (``match_text``)."""
-    bodies = [keyword_body(k) for k in keywords if normal_keyword(k)]
-    return F.coalesce(text.rlike(_pattern(bodies)), F.lit(False)) if bodies else F.lit(False)
 
+def _over_runs(test, text: Column, keywords: list[str], runs: Column | None) -> Column:
+    """``test(runs)``; runs made here are bound once, as every test would else cut the text again."""
+    return test(runs) if runs is not None else F.get(F.transform(F.array(keyword_runs(text, keywords)), test), F.lit(0))
 
-def keyword_hits(text: Column, keywords) -> Column:
-    """Matched keywords in rule order, over already normalised ``text``.
 
-    One combined pattern rejects the common no-hit text before the per-keyword tests.
+def any_keyword(text: Column, keywords, runs: Column | None = None) -> Column:
+    """True when any keyword occurs in already normalised ``text`` (``match_text``).
+
+    ``runs``, here and below, is a column of ``keyword_runs`` over a superset of the keywords;
+    with it no test reads the text, but for keywords of several words whose longest word is there.
     """
     usable = [k for k in keywords if normal_keyword(k)]
     if not usable:
-        return F.array().cast("array<string>")
-    tests = F.array(*[F.when(text.rlike(_pattern([keyword_body(k)])), F.lit(k)) for k in usable])
-    return F.when(any_keyword(text, usable), F.array_compact(tests)).otherwise(F.array().cast("array<string>"))
+        return F.lit(False)
+    single = sorted({f for k in usable for f in _anchor(k)[0] if _anchor(k)[1]})
 
+    def occurs(found: Column) -> Column:
+        tests = [F.arrays_overlap(found, F.array(*[F.lit(f) for f in single]))] if single else []
+        return reduce(Column.__or__, tests + [_occurs(k, text, found) for k in usable if not _anchor(k)[1]])
 
-def first_hit(text: Column, keywords) -> Column:
-    """First matched keyword in rule order; null when none."""
+    return F.coalesce(_over_runs(occurs, text, usable, runs), F.lit(False))
+
+
+def keyword_hits(text: Column, keywords, runs: Column | None = None) -> Column:
+    """Matched keywords in rule order, over already normalised ``text``."""
     usable = [k for k in keywords if normal_keyword(k)]
     if not usable:
-        return F.lit(None).cast("string")
-    chain = F.coalesce(*[F.when(text.rlike(_pattern([keyword_body(k)])), F.lit(k)) for k in usable])
-    return F.when(any_keyword(text, usable), chain)
+        return F.array().cast("array<string>")
+
+    def hits(found: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(_occurs(k, text, found), F.lit(k)) for k in usable]))
+
+    return _over_runs(hits, text, usable, runs)
+
+
+def first_hit(text: Column, keywords, runs: Column | None = None) -> Column:
+    """First matched keyword in rule order; null when none."""
+    return F.get(keyword_hits(text, keywords, runs), F.lit(0))
 
 
-def topic_hits(text: Column, topics: list[Topic]) -> Column:
+def topic_hits(text: Column, topics: list[Topic], runs: Column | None = None) -> Column:
     """array<struct(name, weight)> of the topics with a keyword in ``text``, in topic order."""
     if not topics:
         return F.array().cast("array<struct<name:string,weight:double>>")
     return F.array_compact(F.array(*[
-        F.when(any_keyword(text, t.keywords), F.struct(F.lit(t.name).alias("name"), F.lit(float(t.weight)).alias("weight")))
+        F.when(any_keyword(text, t.keywords, runs), F.struct(F.lit(t.name).alias("name"), F.lit(float(t.weight)).alias("weight")))
         for t in topics
     ]))
 
@@ -224,31 +264,31 @@ def topic_hits(text: Column, topics: list[Topic]) -> Column:
 def match_many(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """(key, ordinal, keyword) for large rule tables with columns ``ordinal`` and ``keyword``.
 
-    A keyword can only match where its first letter-or-digit run occurs as a run of the text
-    (or, for a one-word keyword, that run with a plural ending), so the rules join on that
-    anchor and only the joined rows run the exact pattern. The rule side is broadcast while
-    it is small; beyond that both sides shuffle on the anchor and AQE splits hot anchors.
+    A keyword can only match where its longest letter-or-digit run occurs as a run of the text
+    (with a plural ending, if it may have one), so keys and rules join on that run alone; a
+    keyword of signs joins on its first sign. A run that is the whole keyword decides. Only for
+    the others is the text read back, once for each key and candidate. Texts of one key, null
+    too, count together.
     """
     norm = match_text(F.col("keyword"))
     esc = F.regexp_replace(norm, "([.*+?^${}()|\\[\\]\\\\])", "\\\\$1")
     last = F.element_at(F.split(norm, " "), -1)
     plural = (F.length(last) >= 3) & last.rlike("^[a-z]+$") & ~last.endswith("s")
-    anchor = F.regexp_extract(norm, "[a-z0-9]+", 0)
-    one_word = ~norm.contains(" ")
-    compiled = rules.filter((norm != "") & (anchor != "")).select(
-        "ordinal", "keyword",
-        F.concat(F.lit("(?<![a-z0-9])"), esc, F.when(plural, F.lit("(?:s|es)?")).otherwise(F.lit("")), F.lit("(?![a-z0-9])"))
-        .alias("_pattern"),
-        F.explode(F.when(one_word & plural, F.array(anchor, F.concat(anchor, F.lit("s")), F.concat(anchor, F.lit("es"))))
-                  .otherwise(F.array(anchor))).alias("_run"),
+    by_length = F.transform(F.regexp_extract_all(norm, F.lit("[a-z0-9]+"), F.lit(0)), lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))
+    anchor = F.coalesce(F.array_max(by_length)["r"], F.substring(norm, 1, 1))
+    forms = F.when(plural & norm.endswith(anchor), F.array(anchor, F.concat(anchor, F.lit("s")), F.concat(anchor, F.lit("es")))).otherwise(F.array(anchor))
+    compiled = rules.filter(norm != "").select(
+        "ordinal", "keyword", (norm.rlike("^[a-z0-9]+$")).alias("_decides"),
+        F.concat(F.lit("(?<![a-z0-9])"), esc, F.when(plural, F.lit("(?:s|es)?")).otherwise(F.lit("")), F.lit("(?![a-z0-9])")).alias("_pattern"),
+        F.explode(forms).alias("_run"),
     )
-    if small_enough(rules, MAX_BROADCAST_RULES):
-        compiled = F.broadcast(compiled)
     norm_text = df.select(F.col(key), match_text(F.col(text)).alias("_text"))
-    runs = norm_text.select(key, "_text", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit("[a-z0-9]+"), F.lit(0))))
-                            .alias("_run"))
-    return (runs.join(compiled, "_run").filter(F.expr("_text rlike _pattern"))
-            .select(key, "ordinal", "keyword").distinct())
+    runs = norm_text.select(key, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit("[a-z0-9]+|[+&#@]"), F.lit(0)))).alias("_run"))
+    met = runs.join(compiled, "_run")
+    sure = met.filter("_decides").select(key, "ordinal", "keyword")
+    open_ = met.filter("not _decides").select(F.col(key).alias("_key"), "ordinal", "keyword", "_pattern").distinct()
+    tested = open_.join(norm_text, F.col("_key").eqNullSafe(F.col(key))).filter(F.expr("_text rlike _pattern")).select(key, "ordinal", "keyword")
+    return sure.unionByName(tested).distinct()
 
 
 # Differences between two rules documents -------------------------------------------------

@@ -159,3 +159,22 @@ def test_rules_document_is_validated():
         R.Rules(recommend=60, review=60)
     assert R.DEFAULT_RULES.search_exclusions() == ["-hackathon", "-buildathon", "-webinar"]
     assert R.distinct_terms(["SF", "Bay", "sf"]) == ["SF", "Bay"]
+
+
+@pytest.mark.parametrize("value, keyword, hit", [
+    ("salt & pepper", "&", True), ("salt pepper", "&", False), ("learn c#", "c#", True), ("learn c", "c#", False), ("one #founders day", "#founder", False),
+    ("rock & founders", "& founder", True), ("agents", "agent", True), ("boxes", "box", True), ("bo", "box", False), ("", "box", False),
+    ("a consumer ai agents", "ai agent", True), ("a consumer ai and agents", "ai agent", False), ("#b2b+", "b2b", True), ("xb2b", "b2b", False),
+])
+def test_keywords_of_signs_and_plurals(one, spark, value, keyword, hit):
+    import re
+
+    want = bool(re.search(f"(?<![a-z0-9]){R.keyword_body(keyword)}(?![a-z0-9])", value))
+    assert want is hit
+    t = text.match_text(C("t"))
+    assert one(R.keyword_hits(t, [keyword, "zzz"]), t=value) == ([keyword] if hit else [])
+    assert one(R.any_keyword(t, ["zzz", keyword]), t=value) is hit
+    assert one(R.first_hit(t, ["zzz", keyword]), t=value) == (keyword if hit else None)
+    docs = spark.createDataFrame([(1, value), (None, value), (2, None)], "k long, t string")
+    many = R.match_many(docs, "k", "t", spark.createDataFrame([(0, keyword), (1, None)], "ordinal int, keyword string"))
+    assert sorted(r["k"] or 0 for r in many.collect()) == ([0, 1] if hit else [])
