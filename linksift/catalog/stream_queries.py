@@ -51,12 +51,14 @@ def stream_feedback(spark, sf):
     return out.withColumn("latest_at", F.date_format("latest_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("stream_stuck_runs")
+@query("stream_stuck_runs", """WITH runs AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS run_id, min(ts) FILTER (event_type <> 'purchase') AS started, min(ts) FILTER (event_type = 'purchase') AS ended FROM events GROUP BY ALL)
+  SELECT run_id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started_at FROM runs
+  WHERE started IS NOT NULL AND CASE WHEN ended IS NULL THEN started + INTERVAL 2 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE ELSE ended > started + INTERVAL 2 HOUR END""")
 def stream_stuck_runs(spark, sf):
     """Users with an open error as runs that started and never finished."""
     log = stream_of(spark, sf, "events").select(F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("run_id"), F.when(C("event_type") == "purchase", "succeeded").otherwise("running").alias("status"),
                                                 C("ts").cast("timestamp").alias("at"))
-    return _run(spark, jobs.stuck_run_alerts(log), "append", "stuck")
+    return _run(spark, jobs.stuck_run_alerts(log), "append", "stuck").withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("stream_reputation", """SELECT CAST(l_suppkey AS VARCHAR) AS id, round(list_reduce(list(CAST(l_extendedprice % 101 AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_partkey), lambda a, b: (a + b) / 2), 9) AS quality_score, count(*) AS events_found FROM lineitem GROUP BY l_suppkey""")

@@ -197,9 +197,9 @@ def canonical_link(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
 
 
-def page_snippet(html: Column) -> Column:
-    """First 500 characters of the page text, the snippet a link row carries."""
-    return F.substring(collapse_space(decode_entities(strip_tags(html))), 1, 500)
+def page_words(html: Column) -> Column:
+    """The page's whole text on one line."""
+    return collapse_space(decode_entities(strip_tags(html)))
 
 
 def feed_text(value: Column) -> Column:

@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .ranking import first_per_key
 
 
+def _values(rows: DataFrame) -> Column:
+    """All comparable values of a row, as the last tie-break; null sorts first."""
+    return F.struct(*[f.name for f in rows.schema if not isinstance(f.dataType, MapType)])
+
+
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], seq: str | None = None,
            update_cols: list[str] | None = None, keep_min: list[str] = (), keep_max: list[str] = ()) -> DataFrame:
     """``current`` with ``incoming`` applied: last incoming row per key wins.
 
     ``update_cols`` limits which columns an existing row takes from the new one; ``keep_min``
-    and ``keep_max`` columns take the smaller or larger of both (first and last seen).
+    and ``keep_max`` columns take the smaller or larger of both (first and last seen). Of rows
+    alike in ``seq``, or all if there is none, the one whose values sort last wins, so a rerun
+    gives the same table.
     """
-    newest = first_per_key(incoming, keys, [F.desc(seq)]) if seq else incoming.dropDuplicates(keys)
+    by_value = F.desc(_values(incoming))
+    newest = first_per_key(incoming, keys, [F.desc(seq), by_value] if seq else [by_value])
     cols = current.columns
     left = current.select(*keys, F.struct(*cols).alias("_old"))
     right = newest.select(*keys, F.struct(*[F.col(c) if c in newest.columns else F.lit(None).cast(current.schema[c].dataType).alias(c)
@@ -39,9 +48,10 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], seq: str |
 
 def insert_new(current: DataFrame, incoming: DataFrame, keys: list[str], also_unique: list[str] | None = None) -> DataFrame:
     """Rows of ``incoming`` whose key is not stored yet (conflict: do nothing)."""
-    fresh = incoming.dropDuplicates(keys).join(current.select(*keys), keys, "left_anti")
+    by_value = [_values(incoming)]
+    fresh = first_per_key(incoming, keys, by_value).join(current.select(*keys), keys, "left_anti")
     if also_unique:
-        fresh = fresh.dropDuplicates(also_unique).join(current.select(*also_unique), also_unique, "left_anti")
+        fresh = first_per_key(fresh, also_unique, by_value).join(current.select(*also_unique), also_unique, "left_anti")
     return fresh
 
 

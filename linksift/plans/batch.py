@@ -65,7 +65,7 @@ def run_batch(links: DataFrame, raw_records: DataFrame, old_picks: DataFrame, hi
     eligible, skipped = split_by_history(scored, old_picks, history, urls)
     best = picks(eligible, rules, as_of, max_picks)
     chosen = best.select(stable_id(F.lit(run_id), F.col("id")).alias("pick_id"), F.lit(run_id).alias("run_id"), F.col("id").alias("record_id"),
-                         F.col("score").cast("double").alias("score"), F.coalesce("rationale", F.lit("Recommended by current scoring pipeline.")).alias("reason"),
+                         F.col("score").cast("double").alias("score"), F.coalesce("rationale", F.lit("Picked on its score alone.")).alias("reason"),
                          F.lit(as_of).cast("timestamp").alias("created_at"))
     chosen = cut_lineage(chosen)
     shown = for_digest(eligible, chosen, rules.recommend, rules.review).withColumns({"run_id": F.lit(run_id), "reasons": F.array("rationale")})

@@ -17,10 +17,10 @@ from .history import near_misses, pick_history, suppressed
 from .misses import recent_misses
 
 GAPS = {
-    "misses": "Miss Hunt has not produced enough missed-event data yet.",
-    "links": "Source/query performance needs more candidate data.",
-    "records": "Organizer performance needs extracted event host data.",
-    "feedback": "Taste signals need feedback rows before this section can show preferences.",
+    "misses": "No missed records are stored, so misses cannot be shown.",
+    "links": "No links are stored, so sources and queries cannot be compared.",
+    "records": "No records are stored, so organizers cannot be compared.",
+    "feedback": "No feedback is stored, so there are no preferences to show.",
 }
 
 

@@ -126,7 +126,7 @@ class Tables:
             df = df.filter(F.col("run_id") == run_id)
         if status is not None:
             df = df.filter(F.col("status") == status)
-        return df.orderBy(F.desc(order)).limit(limit)
+        return df.orderBy(F.desc(order), *KEYS.get(name, [])).limit(limit)
 
 
 def list_rows(df: DataFrame, order: str, tie: str, limit: int, run_id=None, status: str | None = None) -> DataFrame:

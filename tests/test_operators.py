@@ -358,3 +358,37 @@ def test_run_row_round_trips_through_the_log(spark, tmp_path):
     tables.log_run(batch.run_row(spark, "r", start, start + timedelta(minutes=3), {"candidates_found": 9, "scoring_attempted": 4}))
     row = tables.runs().first()
     assert (row["status"], row["candidates_found"], row["scoring_attempted"], row["scores_created"], row["scoring_limit"]) == ("succeeded", 9, 4, 0, None)
+
+
+def test_rules_judge_whole_texts_behind_a_short_snippet(spark):
+    late = "a plain sentence " * 60 + "then a hackathon"
+    body = '{"results": [{"id": "1", "title": "t", "url": "https://example.com/a", "text": "%s"}]}' % late
+    row = landed.search_results(spark.createDataFrame([("q", "w", body)], "query_id string, query_text string, body string"), R.DEFAULT_RULES, AS_OF, "run").first()
+    assert (row["rejection_reason"], len(row["snippet"])) == ("excluded_format:hackathon", 500)
+    html = f"<title>P</title><p>{late}</p><a href='/events/7'>e</a>"
+    pages = spark.createDataFrame([("q", "w", "https://n.example.com/x", html)], "query_id string, query_text string, url string, html string")
+    row = landed.page_links(pages, R.DEFAULT_RULES, AS_OF, "run").first()
+    assert (row["rejection_reason"], len(row["snippet"])) == ("excluded_format:hackathon", 500)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stuck_alerts_do_not_depend_on_batches(spark, tmp_path, files):
+    log = [("late end", "running", 0), ("late end", "succeeded", 200), ("in time", "running", 0), ("in time", "failed", 100), ("open", "running", 10),
+           ("open", "running", 30), ("just begun", "running", 590), ("clock", "succeeded", 600), (None, "running", None)]
+    rows = [(r, s, None if m is None else datetime(2024, 7, 1) + timedelta(minutes=m)) for r, s, m in log]
+    rows.sort(key=lambda r: (r[2] is None, r[2]))
+    schema = "run_id string, status string, at timestamp"
+    for k in range(files):
+        part = rows[len(rows) * k // files:len(rows) * (k + 1) // files]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    out = jobs.latest_result(jobs.stuck_run_alerts(stream), str(tmp_path / "out"), str(tmp_path / "state"), "append").collect()
+    assert sorted((r["run_id"], r["started_at"].minute) for r in out) == [("late end", 0), ("open", 10)]
+
+
+def test_upsert_without_order_gives_the_same_table_again(spark):
+    old = spark.createDataFrame([("a", "x")], "id string, v string")
+    rows = [("a", "m"), ("a", "z"), ("b", "k"), ("b", None), (None, "n")]
+    for order in (rows, rows[::-1]):
+        new = spark.createDataFrame(order, "id string, v string").repartition(3)
+        assert {r["id"]: r["v"] for r in upsert.upsert(old, new, ["id"]).collect()} == {"a": "z", "b": "k", None: "n"}
