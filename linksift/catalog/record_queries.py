@@ -151,8 +151,12 @@ def _sql_similar(a: str, b: str) -> str:
             f"AND {la} > 0 AND {lb} > 0 AND ({jac} >= 0.72 OR ({sub} >= 0.8 AND {a}.host = {b}.host) OR ({sub} >= 0.9 AND {inter} >= 3))))")
 
 
-_COMPONENTS = f"""edges AS MATERIALIZED (SELECT a.seq AS a, b.seq AS b FROM pt a JOIN pt b ON a.seq <> b.seq AND (a.k = b.k OR {_sql_similar('a', 'b')})),
-  reach AS (SELECT seq AS a, seq AS b FROM pt UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a), comp AS (SELECT a AS seq, min(b) AS root FROM reach GROUP BY a)"""
+#: Components within a city or without one; then a group without a city joins that of the first content it agrees with.
+_COMPONENTS = f"""edges AS MATERIALIZED (SELECT a.seq AS a, b.seq AS b FROM pt a JOIN pt b ON a.seq <> b.seq AND (a.k = b.k OR a.cu = b.cu OR (a.city = b.city AND {_sql_similar('a', 'b')}))),
+  reach AS (SELECT seq AS a, seq AS b FROM pt UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a), part AS MATERIALIZED (SELECT a AS seq, min(b) AS part FROM reach GROUP BY a),
+  content AS MATERIALIZED (SELECT *, min(seq) OVER (PARTITION BY k, tok, start_at, city) AS first_seq FROM pt JOIN part USING (seq)), cityless AS (SELECT part FROM content GROUP BY part HAVING max(city) = ''),
+  choice AS (SELECT a.part, arg_min(b.part, b.first_seq) AS target FROM content a JOIN content b ON a.city = '' AND b.city <> '' AND {_sql_similar('a', 'b')} WHERE a.part IN (SELECT part FROM cityless) GROUP BY a.part),
+  comp AS (SELECT seq, min(seq) OVER (PARTITION BY coalesce(target, part)) AS root FROM part LEFT JOIN choice USING (part))"""
 
 
 @query("fuzzy_dedupe", "WITH RECURSIVE " + V_PAGE_RECORDS + ",\n" + _COMPONENTS + """ SELECT CAST(root AS VARCHAR) AS id, count(*) AS merged_count, arg_max(title, length(title) * 100000 - seq) AS title, arg_min(url, length(url) * 100000 + seq) AS canonical_url,

@@ -1,51 +1,21 @@
-"""Hot-key joins and connected components by alternating star contraction."""
+"""Connected components by alternating star contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import delete_path, scratch_path
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 20_000
-SALTS = 64
 
+def _with_minimum(directed: DataFrame) -> DataFrame:
+    """Each edge (u, v) with ``m``, the smallest of u and its neighbours.
 
-def hot_join(big: DataFrame, small: DataFrame, key: str, degree: str, hot_rows: int = HOT_ROWS, salts: int = SALTS,
-             total: int | None = None) -> DataFrame:
-    """Inner join of ``big`` to one-row-per-key ``small`` where ``degree`` counts a key's rows in ``big``.
-
-    Keys with more than ``hot_rows`` rows are spread over ``salts`` tasks, their single lookup
-    row copied to each. Such keys are few (at most rows / hot_rows); the list is checked
-    against a bound before it is broadcast, and the threshold rises until it fits. When
-    ``total`` (the rows of ``big``) is known to be below the threshold the check is skipped.
+    The minimum is merged before the shuffle; the join back to a hub's edges is one that adaptive
+    execution splits when it is skewed.
     """
-    lookup = small.drop(degree)
-    if total is not None and total <= hot_rows:
-        return big.join(lookup, key)
-    hot = small.filter(F.col(degree) > hot_rows).select(F.col(key), F.lit(True).alias("_hot"))
-    found = hot.limit(MAX_HOT_KEYS + 1).count()
-    while found > MAX_HOT_KEYS:
-        hot_rows *= 10
-        hot = small.filter(F.col(degree) > hot_rows).select(F.col(key), F.lit(True).alias("_hot"))
-        found = hot.limit(MAX_HOT_KEYS + 1).count()
-    if found == 0:
-        return big.join(lookup, key)
-    hot = F.broadcast(hot)
-    salted = big.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
-    copies = lookup.join(hot, key, "left").withColumn("_salt", F.explode(
-        F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
-
-
-def _with_minimum(directed: DataFrame, hot_rows: int, total: int) -> DataFrame:
-    """Each edge (u, v) with ``m``, the smallest of u and its neighbours."""
-    near = directed.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_deg")).withColumn("m", F.least("u", "m"))
-    if total > hot_rows:
-        near = cut_lineage(near)
-    return hot_join(directed, near, "u", "_deg", hot_rows, total=total)
+    near = directed.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    return directed.join(near, "u")
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -53,28 +23,34 @@ def _signature(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(vertex, component) for undirected ``edges(a, b)``; component = smallest vertex id.
 
-    Large-star / small-star contraction: O(log n) rounds in practice, only the current edge
-    list is kept, and every hub row spreads through ``hot_join``. Each step is written out.
+    Large-star / small-star contraction: O(log n) rounds in practice, and only the current edge
+    list is kept. Each step is written out, and the one before it is deleted. Vertices without an
+    edge to another vertex are not listed.
     """
-    current = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    spark = edges.sparkSession
+    written: list[str] = []
+
+    def step(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "components")
+        df.filter("u <> v").distinct().write.parquet(path)
+        if written:
+            delete_path(spark, written.pop())
+        written.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    current = step(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     signature = _signature(current)
-    for _ in range(max_rounds):
-        total = 2 * signature[0]
+    while signature[0]:
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_minimum(both, hot_rows, total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut_lineage(large.filter("u <> v").distinct())
-        joined = _with_minimum(large, hot_rows, total)
-        pairs = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                                                F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        current = cut_lineage(pairs.filter("u <> v").distinct())
+        large = step(_with_minimum(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        current = step(_with_minimum(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+                                                                     F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v"))
         found = _signature(current)
         if found == signature:
             break
         signature = found
-    else:
-        raise RuntimeError("connected components did not converge")
     roots = current.select(F.col("v").alias("vertex")).distinct().withColumn("component", F.col("vertex"))
     return current.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots)

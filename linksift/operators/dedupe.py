@@ -9,7 +9,7 @@ from ..functions.dates import local_date
 from ..functions.text import REPORT_STOP_WORDS, clean_list, jaccard, overlap, stable_id, title_text, title_tokens, trim_space
 from ..functions.urls import dedupe_url, report_url
 from ..session import cut_lineage
-from .components import HOT_ROWS, connected_components, hot_join
+from .components import connected_components
 from .ranking import first_per_key
 from .similarity import similar_pairs
 
@@ -63,14 +63,22 @@ _COMPARED = ["id", "node", "start_at", "_tokens", "_city", "_date", "_urls", "_n
 
 
 def _title_nodes(nodes: DataFrame) -> DataFrame:
-    """One row per distinct comparable content, with the blocks a duplicate must share."""
+    """One row per distinct comparable content; ``_times`` are the days and hours a duplicate must share."""
     bucket = F.floor(F.unix_seconds(F.col("start_at").cast("timestamp")) / (WINDOW_HOURS * 3600))
     return (nodes.filter(F.col("start_at").isNotNull() & (F.size("_tokens") > 0))
-            .select("node", F.col("_tokens").alias("tokens"), F.col("_city").alias("tag"), "_city", "_date", "start_at").dropDuplicates(["node"])
-            .withColumn("blocks", F.array(F.concat(F.lit("d"), F.col("_date")), F.concat(F.lit("t"), bucket),
+            .select("node", F.col("_tokens").alias("tokens"), "_city", "_date", "start_at").dropDuplicates(["node"])
+            .withColumn("_times", F.array(F.concat(F.lit("d"), F.col("_date")), F.concat(F.lit("t"), bucket),
                                           F.concat(F.lit("t"), bucket + 1))))
 
 
+def _in_blocks(titles: DataFrame, *places: Column) -> DataFrame:
+    """``titles`` with their blocks: each time at each of ``places``."""
+    def at(place: Column) -> Column:
+        return F.transform("_times", lambda time: F.concat_ws("|", place, time))
+
+    return titles.withColumn("blocks", F.flatten(F.array(*[at(p) for p in places])))
+
+
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, names_left: DataFrame, names_right: DataFrame) -> DataFrame:
     """Pairs that pass the city, date and title tests; names are looked up only where they decide."""
     l = left.select(F.col("node").alias("x"), *[F.col(c).alias(f"x_{c}") for c in ("tokens", "_city", "_date", "start_at")])
@@ -94,27 +102,45 @@ def _names(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode("_names").alias("_name")).distinct()
 
 
-def duplicate_groups(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``records`` plus ``group_id``: the connected component of the duplicate relation.
+def _shared(held: DataFrame, kind: str) -> DataFrame:
+    """Star edges (a, b) from each ``node`` to the ``_k`` it holds, for those ``_k`` that several nodes hold."""
+    held = held.distinct()
+    several = held.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_k")
+    return held.join(several, "_k").select(F.col("node").alias("a"), stable_id(F.lit(kind), F.col("_k")).alias("b"))
+
+
+def duplicate_groups(records: DataFrame, seq: str = "seq") -> DataFrame:
+    """``records`` plus ``group_id``: who is a duplicate of whom.
 
-    Links within a group: same key, any shared url, or city, date and title (or organizer)
-    agreement. Key and url sharing are star edges to one vertex per key or url, and copies
-    collapse to one node, so no group of copies is ever paired with itself.
+    Links: same key, any shared url, or the same city (or none on both sides), date and title (or
+    organizer) agreement; their connected components are groups. A group without any city then
+    joins one group: that of the content with the smallest ``seq`` which agrees with one of its
+    records in date and title. So a record without a city never brings two cities together. Key
+    and url sharing are star edges to one vertex per key or url, and copies collapse to one node,
+    so no group of copies is ever paired with itself.
     """
     nodes = cut_lineage(_nodes(records))
-    rows = nodes.count()
-    distinct_nodes = nodes.select("node", "_key").distinct()
-    key_edges = distinct_nodes.select(F.col("node").alias("a"), stable_id(F.lit("key"), F.col("_key")).alias("b"))
-    url_edges = nodes.select(F.col("node").alias("a"), F.explode("_urls").alias("_u")).distinct().select(
-        "a", stable_id(F.lit("url"), F.col("_u")).alias("b"))
+    edges = _shared(nodes.select("node", F.col("_key").alias("_k")), "key").unionByName(
+        _shared(nodes.select("node", F.explode("_urls").alias("_k")), "url"))
     titles = _title_nodes(nodes)
     names = _names(nodes)
-    fuzzy = _verified(similar_pairs(titles, None, SIMILAR, rows=rows), titles, titles, names, names).select(
-        F.col("x").alias("a"), F.col("y").alias("b"))
-    labels = connected_components(key_edges.unionByName(url_edges).unionByName(fuzzy), hot_rows)
-    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("_deg"))
-    lookup = sizes.join(labels.select(F.col("vertex").alias("node"), F.col("component").alias("group_id")), "node")
-    return hot_join(nodes, lookup, "node", "_deg", hot_rows, total=rows).select(*records.columns, F.col("_key").alias("dedupe_key"), "group_id")
+    own_city = _in_blocks(titles, F.col("_city"))
+    alike = _verified(similar_pairs(own_city, None, SIMILAR), titles, titles, names, names)
+    labels = connected_components(edges.unionByName(alike.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    contents = cut_lineage(
+        nodes.groupBy("node", "_city").agg(F.min(seq).alias("_seq"))
+        .join(labels.select(F.col("vertex").alias("node"), F.col("component")), "node", "left").withColumn("component", F.coalesce("component", "node")))
+
+    anywhere = _in_blocks(titles, F.lit(""))
+    nowhere, somewhere = anywhere.filter("_city = ''"), anywhere.filter("_city <> ''")
+    across = _verified(similar_pairs(nowhere, somewhere, SIMILAR), nowhere, somewhere, names, names)
+    cityless = contents.groupBy("component").agg(F.max("_city").alias("_any")).filter("_any = ''").select("component")
+    choice = (across.join(contents.select(F.col("node").alias("x"), "component"), "x").join(cityless, "component")
+              .join(contents.select(F.col("node").alias("y"), F.col("component").alias("_to"), "_seq"), "y")
+              .groupBy("component").agg(F.min(F.struct(F.col("_seq").isNull(), "_seq", "y", "_to")).alias("_best"))
+              .select("component", F.col("_best._to").alias("_to")))
+    placed = contents.join(choice, "component", "left").select("node", F.coalesce("_to", "component").alias("group_id"))
+    return nodes.join(placed, "node").select(*records.columns, F.col("_key").alias("dedupe_key"), "group_id")
 
 
 def merge_groups(grouped: DataFrame, seq: str = "seq") -> DataFrame:
@@ -165,8 +191,8 @@ def group_urls(grouped: DataFrame) -> DataFrame:
         .filter("url <> ''").distinct()
 
 
-def dedupe_records(records: DataFrame, seq: str = "seq", hot_rows: int = HOT_ROWS) -> DataFrame:
-    return merge_groups(duplicate_groups(records, hot_rows), seq)
+def dedupe_records(records: DataFrame, seq: str = "seq") -> DataFrame:
+    return merge_groups(duplicate_groups(records, seq), seq)
 
 
 # History matching -----------------------------------------------------------------------
@@ -178,7 +204,6 @@ def matching_ids(records: DataFrame, others: DataFrame, urls: DataFrame | None =
     ``urls`` adds (id, url) rows for records whose urls are kept in long form.
     """
     left, right = cut_lineage(_nodes(records).select(*_COMPARED)), cut_lineage(_nodes(others).select(*_COMPARED))
-    rows = left.count() + right.count()
     other_urls = right.select(F.explode("_urls").alias("_u")).distinct()
     own_urls = left.select("id", F.explode("_urls").alias("_u"))
     if urls is not None:
@@ -187,7 +212,9 @@ def matching_ids(records: DataFrame, others: DataFrame, urls: DataFrame | None =
     l, r = _title_nodes(left), _title_nodes(right)
     # A content present on both sides matches itself: same title, date and city.
     same = l.select("node").join(r.select("node"), "node", "left_semi")
-    pairs = similar_pairs(l, r, SIMILAR, rows=rows)
+    # Equal places meet; a known place meets an unknown one of the other side only.
+    place, known = F.concat(F.lit("="), "_city"), F.col("_city") != ""
+    pairs = similar_pairs(_in_blocks(l, place, F.when(known, "<").otherwise(">")), _in_blocks(r, place, F.when(known, ">").otherwise("<")), SIMILAR)
     fuzzy = _verified(pairs, l, r, _names(left), _names(right)).select(F.col("x").alias("node"))
     hit = same.unionByName(fuzzy).distinct()
     return by_url.unionByName(left.select("id", "node").join(hit, "node", "left_semi").select("id")).distinct()
@@ -210,11 +237,11 @@ def report_tokens(title: Column) -> Column:
     return F.filter(F.split(title_text(title), " "), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
 
 
-def dedupe_sections(rows: DataFrame, priority: str = "section_rank", score: str = "score", hot_rows: int = HOT_ROWS) -> DataFrame:
+def dedupe_sections(rows: DataFrame, priority: str = "section_rank", score: str = "score") -> DataFrame:
     """Keep one row per real-world record over all report sections.
 
-    Rows that share a key, or look alike on the same day in the same city, form a component;
-    the row of the most important section, then the best score, stands for it.
+    Rows that share a key, or look alike on the same day in the same city, form a component; the
+    row of the most important section, then the best score, stands for it.
     """
     urls = F.concat(F.array("canonical_url"), F.coalesce("source_urls", F.array().cast("array<string>")))
     day = F.coalesce(local_date(F.col("start_at"), F.coalesce(F.col("timezone"), F.lit(REPORT_ZONE))), F.lit("unknown-date"))
@@ -223,19 +250,16 @@ def dedupe_sections(rows: DataFrame, priority: str = "section_rank", score: str
         "_tokens": F.array_sort(F.array_distinct(report_tokens(F.col("title")))),
         "_place": F.concat_ws("|", day, report_city(F.col("city"))),
     }).withColumn("node", stable_id(F.lit("node"), F.element_at("_keys", -1), F.array_join("_tokens", " "), F.col("_place"))))
-    key_edges = prepared.select(F.col("node").alias("a"), F.explode("_keys").alias("_k")).distinct().select(
-        "a", stable_id(F.lit("key"), F.col("_k")).alias("b"))
+    key_edges = _shared(prepared.select("node", F.explode("_keys").alias("_k")), "key")
     titles = (prepared.filter(F.size("_tokens") > 0).select("node", F.col("_tokens").alias("tokens"), F.array("_place").alias("blocks"))
               .dropDuplicates(["node"]))
-    count = prepared.count()
-    pairs = similar_pairs(titles, None, REPORT_SIMILAR, rows=count)
+    pairs = similar_pairs(titles, None, REPORT_SIMILAR)
     t = titles.select("node", "tokens")
     checked = pairs.join(t.select(F.col("node").alias("x"), F.col("tokens").alias("_x")), "x").join(
         t.select(F.col("node").alias("y"), F.col("tokens").alias("_y")), "y").filter(
         (overlap(F.col("_x"), F.col("_y")) >= REPORT_SUBSET) | (jaccard(F.col("_x"), F.col("_y")) >= REPORT_SIMILAR))
-    labels = connected_components(key_edges.unionByName(checked.select(F.col("x").alias("a"), F.col("y").alias("b"))), hot_rows)
-    sizes = prepared.groupBy("node").agg(F.count(F.lit(1)).alias("_deg"))
-    lookup = sizes.join(labels.select(F.col("vertex").alias("node"), F.col("component").alias("group_id")), "node")
-    labelled = hot_join(prepared, lookup, "node", "_deg", hot_rows, total=count)
+    labels = connected_components(key_edges.unionByName(checked.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    labelled = prepared.join(labels.select(F.col("vertex").alias("node"), F.col("component")), "node", "left").withColumn(
+        "group_id", F.coalesce("component", "node"))
     kept = first_per_key(labelled, ["group_id"], [F.col(priority), F.desc(score), F.col("id")])
     return kept.select(*rows.columns)

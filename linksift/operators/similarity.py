@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_fingerprint, words
-from .components import hot_join
 
 
 def prefix_length(n: Column, ratio: float) -> Column:
@@ -18,42 +17,42 @@ def prefix_length(n: Column, ratio: float) -> Column:
     return n - F.ceil(n * F.lit(ratio) - F.lit(1e-9)).cast("int") + 1
 
 
-def similar_pairs(left: DataFrame, right: DataFrame | None, ratio: float, min_shared: int = 1, rows: int | None = None) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame | None, ratio: float, min_shared: int = 1) -> DataFrame:
     """Candidate (x, y) whose smaller token set may share ``ratio`` of its tokens with the other.
 
     Inputs have ``node``, ``tokens`` (distinct, non-empty) and ``blocks`` (a pair must share
     one). Exact copies must be one node already. With ``right`` = None this is a self join and
     each unordered pair appears once. No group is paired with itself wholesale: only the
-    rarest few tokens of the smaller side probe. ``rows`` is an upper bound on the nodes, if
-    known: no token can occur more often. An optional ``tag`` must be equal or empty on one
-    side; it is tested inside the join, before any pair is emitted.
+    rarest few tokens of the smaller side probe, and a pair leaves the join only in the smallest
+    block that both sides name.
     """
-    tag = F.col("tag") if "tag" in left.columns else F.lit("")
-    cols = ["node", "tokens", "blocks", tag.alias("tag")]
+    cols = ["node", "tokens", F.array_sort("blocks").alias("blocks")]
     everyone = left.select(*cols, F.lit(0).alias("side"))
     if right is not None:
         everyone = everyone.unionByName(right.select(*cols, F.lit(1).alias("side")))
-    long = everyone.select("node", "side", "blocks", "tag", F.explode("tokens").alias("_tok"))
-    freq = long.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df")).withColumn("_deg", F.col("_df"))
+    long = everyone.select("node", "side", "blocks", F.explode("tokens").alias("_tok"))
+    freq = long.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
     # A node's tokens come back together, rarest first: one input row's worth per group.
-    ordered = (hot_join(long, freq, "_tok", "_deg", total=rows).groupBy("node", "side")
-               .agg(F.sort_array(F.collect_list(F.struct("_df", "_tok"))).alias("_o"), F.first("blocks").alias("blocks"), F.first("tag").alias("tag"))
+    ordered = (long.join(freq, "_tok").groupBy("node", "side")
+               .agg(F.sort_array(F.collect_list(F.struct("_df", "_tok"))).alias("_o"), F.first("blocks").alias("_bs"))
                .withColumn("_n", F.size("_o")))
-    blocked = ordered.select("node", "side", "tag", "_n", "_o", F.explode("blocks").alias("_b"))
 
     def entries(tokens: Column, p: str) -> DataFrame:
-        long_side = blocked.select(F.col("node").alias(p), F.col("side").alias(f"{p}s"), F.col("_n").alias(f"{p}n"), F.col("tag").alias(f"{p}t"),
-                                   "_b", F.explode(tokens).alias("_t"))
-        return long_side.select(p, f"{p}s", f"{p}n", f"{p}t", "_b", F.col("_t._tok").alias("_tok"))
+        blocked = ordered.select(F.col("node").alias(p), F.col("side").alias(f"{p}s"), F.col("_n").alias(f"{p}n"), F.col("_bs").alias(f"{p}b"),
+                                 tokens.alias("_ts"), F.explode("_bs").alias("_b"))
+        return blocked.select(p, f"{p}s", f"{p}n", f"{p}b", "_b", F.explode("_ts").alias("_t")).withColumn("_tok", F.col("_t._tok")).drop("_t")
 
     probe = entries(F.slice("_o", F.lit(1), prefix_length(F.col("_n"), ratio)), "x").filter(F.col("xn") >= min_shared)
-    met = probe.join(entries(F.col("_o"), "y"), ["_tok", "_b"]).filter("xt = yt or xt = '' or yt = ''")
     smaller, equal = F.col("xn") < F.col("yn"), F.col("xn") == F.col("yn")
     if right is None:
-        return met.filter(smaller | (equal & (F.col("x") < F.col("y")))).select("x", "y").distinct()
-    across = met.filter((F.col("xs") != F.col("ys")) & (smaller | (equal & (F.col("xs") == 0))))
+        kept = smaller | (equal & (F.col("x") < F.col("y")))
+    else:
+        kept = (F.col("xs") != F.col("ys")) & (smaller | (equal & (F.col("xs") == 0)))
+    met = probe.join(entries(F.col("_o"), "y"), ["_tok", "_b"]).filter(kept & (F.col("_b") == F.element_at(F.array_intersect("xb", "yb"), 1)))
+    if right is None:
+        return met.select("x", "y").distinct()
     own = F.col("xs") == 0
-    return across.select(F.when(own, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(own, F.col("y")).otherwise(F.col("x")).alias("y")).distinct()
+    return met.select(F.when(own, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(own, F.col("y")).otherwise(F.col("x")).alias("y")).distinct()
 
 
 def novel_queries(proposed: DataFrame, avoid: DataFrame, query: str = "query", value: str = "value",

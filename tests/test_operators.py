@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linksift.functions import rules as R
-from linksift.operators import components, dedupe, joins, ranking, reputation, rollups, similarity, upsert
+from linksift.operators import dedupe, joins, ranking, reputation, rollups, similarity, upsert
 from linksift.plans import batch, history, links, scoring
 from linksift.sources import landed, snapshot
 from linksift.sources.tables import Tables
@@ -102,17 +102,30 @@ def test_groups_equal_brute_force_components(spark, seed):
         return x
 
     for i, j in itertools.combinations(range(len(rows)), 2):
-        if _duplicates(dicts[i], dicts[j]):
+        if _duplicates(dicts[i], dicts[j]) and (dicts[i]["city"] == dicts[j]["city"] or dicts[i]["canonical_url"] == dicts[j]["canonical_url"]):
             parent[max(find(i), find(j))] = min(find(i), find(j))
+    # Then each group without a city joins the group of the first record it agrees with.
+    homes = {}
+    for root in {find(i) for i in range(len(rows))}:
+        members = [i for i in range(len(rows)) if find(i) == root]
+        if not any(dicts[i]["city"] for i in members):
+            homes[root] = next((find(j) for j in range(len(rows)) if dicts[j]["city"] and any(_duplicates(dicts[i], dicts[j]) for i in members)), root)
+    for root, home in homes.items():
+        parent[root] = home
     want = {}
     for i in range(len(rows)):
         want.setdefault(find(i), set()).add(str(i))
-    # A low hot-key threshold sends every lookup through the salted path.
-    for hot_rows in (components.HOT_ROWS, 5):
-        got = {}
-        for r in dedupe.duplicate_groups(df, hot_rows).select("group_id", "id").collect():
-            got.setdefault(r["group_id"], set()).add(r["id"])
-        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    got = {}
+    for r in dedupe.duplicate_groups(df).select("group_id", "id").collect():
+        got.setdefault(r["group_id"], set()).add(r["id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_a_record_without_a_city_joins_one_city(spark):
+    rows = [record(i, "Robotics Founders Breakfast Club", start="2026-08-25 02:00:00", city=city, hosts=(f"h{i}",)) for i, city in enumerate(["Rome", None, "Paris", "unknown", "Paris"], 1)]
+    merged = dedupe.dedupe_records(frame(spark, *rows)).collect()
+    assert sorted((r["id"], r["city"], r["merged_count"]) for r in merged) == [("1", "Rome", 3), ("3", "Paris", 2)]
+    assert dedupe.dedupe_records(frame(spark, *rows).limit(0)).count() == 0
 
 
 def test_dedupe_ignores_order_and_is_idempotent(spark):
