@@ -402,7 +402,7 @@ def upsert_columns(spark, sf):
     c = V.table(spark, sf, "customer").select("c_custkey", C("c_name").alias("title"), F.lit("new").alias("status"))
     incoming = c.filter(C("c_custkey") % 2 == 0).withColumns({"title": F.lit("ignored"), "status": F.lit("rejected")}).unionByName(
         c.filter(C("c_custkey") % 5 == 0).withColumns({"c_custkey": C("c_custkey") + 1000000, "title": F.concat(F.lit("fresh "), "title")}))
-    return ups.upsert(c, incoming, ["c_custkey"], update_cols=["status"])
+    return ups.upsert(c, incoming.withColumn("pass", F.lit(1)), ["c_custkey"], "pass", update_cols=["status"])
 
 
 @query("insert_new_picks", V.with_ctes(V.V_RECORDS, V.V_PICKS, select="SELECT pick_id, run_id, record_id FROM v_picks WHERE CAST(record_id AS BIGINT) % 3 <> 0"))

@@ -100,8 +100,8 @@ def stored_links(spark, sf):
     tables = Tables(spark, scratch_path(spark, "links"))
     lines = V.v_lines(spark, sf).drop("record_id", "price").withColumn("id", C("canonical_url"))
     first = lines.groupBy("id").agg(F.min("canonical_url").alias("canonical_url"), F.min("title").alias("title"), F.lit("new").alias("status"))
-    tables.save_links(first)
-    tables.save_links(lines.filter("status = 'rejected'").dropDuplicates(["id"]).withColumn("title", F.lit("not taken")))
+    tables.save_links(first.withColumn("pass", F.lit(1)), "pass")
+    tables.save_links(lines.filter("status = 'rejected'").dropDuplicates(["id"]).withColumns({"title": F.lit("not taken"), "pass": F.lit(2)}), "pass")
     return tables.read("links").select("canonical_url", "status", "title")
 
 
@@ -110,7 +110,7 @@ def stored_scores(spark, sf):
     """Scores append, picks insert once however often they are saved."""
     tables = Tables(spark, scratch_path(spark, "scores"))
     scores = V.v_records(spark, sf).select(C("id").alias("record_id"), C("score").alias("total"), F.lit("apply").alias("next_action"), F.lit(True).alias("should_recommend"))
-    for run in ("a", "b"):
+    for run in ("a", "b", "a"):  # the last one is a retry
         tables.save_scores(scores, run, "heuristic", "orders", 80)
         tables.save_picks(V.v_picks(spark, sf))
     n = tables.read("scores").agg(F.count(F.lit(1)).alias("scores"))
@@ -143,11 +143,70 @@ def stored_runs(spark, sf):
 def stored_queries(spark, sf):
     tables = Tables(spark, scratch_path(spark, "queries"))
     s = V.table(spark, sf, "supplier")
-    for word in ("first ", "second "):
-        tables.save_queries(s.select(C("s_suppkey").cast("string").alias("id"), F.concat(F.lit(word), "s_name").alias("query_text"), C("s_nationkey").alias("budget_cost")), "run")
+    for word, seq in (("second ", 2), ("first ", 1)):  # the older rows come late
+        tables.save_queries(s.select(F.lit(seq).alias("seq"), C("s_suppkey").cast("string").alias("id"), F.concat(F.lit(word), "s_name").alias("query_text"), C("s_nationkey").alias("budget_cost")), "run", "seq")
     return tables.read("queries").select("id", "query_text", "budget_cost")
 
 
+_TIME = "yyyy-MM-dd HH:mm:ss"
+
+
+@query("stored_records", V.with_ctes(V.V_RECORDS, select="SELECT id, 'again ' || title AS title, strftime(start_at - INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(start_at + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS last_seen FROM v_records"))
+def stored_records(spark, sf):
+    """Records saved, seen again a day later, then an older sighting that comes late."""
+    tables = Tables(spark, scratch_path(spark, "records"))
+    records = V.v_records(spark, sf)
+    for order, days, title in ((2, 0, C("title")), (3, 1, F.concat(F.lit("again "), "title")), (1, -1, F.lit("late"))):
+        seen = C("start_at").cast("timestamp") + F.make_dt_interval(days=F.lit(days))
+        tables.save_records(records.withColumns({"title": title, "first_seen": seen, "last_seen": seen, "order": F.lit(order)}), "order")
+    return tables.read("records").select("id", "title", F.date_format("first_seen", _TIME).alias("first_seen"), F.date_format("last_seen", _TIME).alias("last_seen"))
+
+
+@query("stored_record_sources", V.with_ctes(V.V_LINES, select="SELECT DISTINCT record_id, id AS link_id, platform FROM v_lines"))
+def stored_record_sources(spark, sf):
+    """Attribution rows saved under another platform first."""
+    tables = Tables(spark, scratch_path(spark, "attribution"))
+    rows = V.v_lines(spark, sf).select("record_id", C("id").alias("link_id"), "platform")
+    for order, platform in enumerate((F.lit("other"), C("platform"))):
+        tables.save_record_sources(rows.withColumns({"platform": platform, "order": F.lit(order)}), "order")
+    return tables.read("record_sources").select("record_id", "link_id", "platform")
+
+
+@query("stored_edges", """SELECT l_suppkey || '-' || l_partkey AS id, CAST(l_suppkey AS VARCHAR) AS from_id, CAST(count(*) * 2 AS DOUBLE) AS weight, strftime(min(l_shipdate), '%Y-%m-%d') AS first_seen,
+  strftime(max(l_shipdate) + INTERVAL 1 DAY, '%Y-%m-%d') AS last_seen FROM lineitem GROUP BY l_suppkey, l_partkey""")
+def stored_edges(spark, sf):
+    """Edges from suppliers to parts, saved again with twice the weight; only weight and last sight change."""
+    tables = Tables(spark, scratch_path(spark, "edges"))
+    shipped = C("l_shipdate").cast("timestamp")
+    edges = V.table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"), F.min(shipped).alias("first_seen"), F.max(shipped).alias("last_seen")).select(
+        F.concat_ws("-", "l_suppkey", "l_partkey").alias("id"), C("l_suppkey").cast("string").alias("from_id"), C("n").alias("weight"), "first_seen", "last_seen")
+    tables.save_edges(edges.withColumn("order", F.lit(1)), "order")
+    tables.save_edges(edges.withColumns({"from_id": F.lit("not taken"), "weight": C("weight") * 2, "first_seen": C("first_seen") + F.expr("interval 1 day"),
+                                         "last_seen": C("last_seen") + F.expr("interval 1 day"), "order": F.lit(2)}), "order")
+    day = {c: F.date_format(c, "yyyy-MM-dd") for c in ("first_seen", "last_seen")}
+    return tables.read("source_edges").withColumns(day).select("id", "from_id", "weight", "first_seen", "last_seen")
+
+
+@query("stored_feedback", V.with_ctes(V.V_FEEDBACK, select="SELECT id, CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 'rejected' ELSE 'stored' END AS state FROM v_feedback"))
+def stored_feedback(spark, sf):
+    """Feedback with a label nobody knows on every seventh row: stored or handed back."""
+    tables = Tables(spark, scratch_path(spark, "feedback"))
+    label = F.when(C("id").cast("long") % 7 == 0, "nobody knows").otherwise(C("feedback_type"))
+    rejected = tables.save_feedback(V.v_feedback(spark, sf).withColumn("feedback_type", label))
+    return tables.read("feedback").select("id", F.lit("stored").alias("state")).unionByName(rejected.select("id", F.lit("rejected").alias("state")))
+
+
+@query("stored_hunts", V.with_ctes(V.V_RUNS, V.V_FEEDBACK, select="SELECT 'hunt' AS kind, run_id AS id, CAST(candidates_found AS BIGINT) AS n FROM v_runs UNION ALL SELECT 'miss', record_id, count(*) FROM v_feedback WHERE feedback_type = 'bad' GROUP BY record_id"))
+def stored_hunts(spark, sf):
+    """Runs as hunts, bad feedback as what they missed."""
+    tables = Tables(spark, scratch_path(spark, "hunts"))
+    hunts = V.v_runs(spark, sf).select(C("run_id").alias("id"), "run_id", C("candidates_found").alias("checked"))
+    misses = V.v_feedback(spark, sf).filter("feedback_type = 'bad'").select("id", C("record_id").alias("hunt_id"), C("note").alias("title"))
+    tables.save_hunt(hunts, misses)
+    missed = tables.read("misses").groupBy(C("hunt_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return tables.read("hunts").select(F.lit("hunt").alias("kind"), "id", C("checked").alias("n")).unionByName(missed.select(F.lit("miss").alias("kind"), "id", "n"))
+
+
 @query("snapshot_tables", V.with_ctes(V.V_FEEDBACK, V.V_RECORDS, V.V_PICKS, select="SELECT 'feedback' AS name, count(*) AS n FROM v_feedback UNION ALL SELECT 'recommendations', count(*) FROM v_picks UNION ALL SELECT 'runs', 0"))
 def snapshot_tables(spark, sf):
     """Tables written as a snapshot version and read back; an absent table is empty."""

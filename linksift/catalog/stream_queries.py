@@ -19,6 +19,13 @@ def stream_of(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def batches_of(spark, sf, name, order, parts=3):
+    """The table as a stream of several micro-batches: range parts of ``order``, one file each."""
+    path = scratch_path(spark, f"{name}-in")
+    V.table(spark, sf, name).repartitionByRange(parts, order).write.parquet(path)
+    return spark.readStream.schema(V.table(spark, sf, name).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _run(spark, stream, mode, name):
     return jobs.latest_result(stream, scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state"), mode)
 
@@ -32,13 +39,13 @@ def stream_intake(spark, sf):
 
 @query("stream_dedupe", "SELECT DISTINCT 'https://u.example.com/' || user_id AS canonical_url FROM events")
 def stream_dedupe(spark, sf):
-    links = stream_of(spark, sf, "events").select(F.concat(F.lit("https://u.example.com/"), "user_id").alias("canonical_url"), C("ts").cast("timestamp").alias("discovered_at"))
+    links = batches_of(spark, sf, "events", "event_id").select(F.concat(F.lit("https://u.example.com/"), "user_id").alias("canonical_url"), C("ts").cast("timestamp").alias("discovered_at"))
     return _run(spark, jobs.distinct_links(links, keep="40 days"), "append", "dedupe").select("canonical_url")
 
 
 @query("stream_daily_budget", "SELECT strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles', '%Y-%m-%d') AS day, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS used FROM events GROUP BY 1")
 def stream_daily_budget(spark, sf):
-    runs = stream_of(spark, sf, "events").select(C("ts").cast("timestamp").alias("started_at"), F.when(C("event_type") == "view", 1).otherwise(0).cast("long").alias("x_posts_read"))
+    runs = batches_of(spark, sf, "events", "user_id").select(C("ts").cast("timestamp").alias("started_at"), F.when(C("event_type") == "view", 1).otherwise(0).cast("long").alias("x_posts_read"))
     out = _run(spark, jobs.daily_budget(runs), "complete", "budget")
     return out.select(C("day").cast("string").alias("day"), "used")
 
@@ -46,7 +53,7 @@ def stream_daily_budget(spark, sf):
 @query("stream_feedback", V.with_ctes(V.V_FEEDBACK, select="SELECT feedback_type, count(*) AS count, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS latest_at FROM v_feedback GROUP BY 1"))
 def stream_feedback(spark, sf):
     label = F.create_map(*[F.lit(x) for pair in V.LABELS.items() for x in pair])[C("event_type")]
-    rows = stream_of(spark, sf, "events").select(label.alias("feedback_type"), C("ts").alias("created_at"))
+    rows = batches_of(spark, sf, "events", "user_id").select(label.alias("feedback_type"), C("ts").alias("created_at"))
     out = _run(spark, jobs.feedback_counts(rows), "complete", "feedback")
     return out.withColumn("latest_at", F.date_format("latest_at", "yyyy-MM-dd HH:mm:ss"))
 
@@ -61,6 +68,14 @@ def stream_stuck_runs(spark, sf):
     return _run(spark, jobs.stuck_run_alerts(log), "append", "stuck").withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("stream_silence", """WITH ok AS (SELECT user_id AS job, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS later FROM events WHERE event_type = 'purchase')
+  SELECT job, strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_success FROM ok WHERE coalesce(later >= ts + INTERVAL 24 HOUR, ts + INTERVAL 24 HOUR <= (SELECT max(ts) FROM ok) - INTERVAL 10 MINUTE)""")
+def stream_silence(spark, sf):
+    """Users as jobs, purchases as their successes: who then had none for a day."""
+    log = stream_of(spark, sf, "events").select(C("user_id").alias("job"), F.when(C("event_type") == "purchase", "succeeded").otherwise("failed").alias("status"), C("ts").cast("timestamp").alias("at"))
+    return _run(spark, jobs.silence_alerts(log), "append", "silence").select("job", F.date_format("last_success", "yyyy-MM-dd HH:mm:ss").alias("last_success"))
+
+
 @query("stream_reputation", """SELECT CAST(l_suppkey AS VARCHAR) AS id, round(list_reduce(list(CAST(l_extendedprice % 101 AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_partkey), lambda a, b: (a + b) / 2), 9) AS quality_score, count(*) AS events_found FROM lineitem GROUP BY l_suppkey""")
 def stream_reputation(spark, sf):
     tables = Tables(spark, scratch_path(spark, "reputation"))
@@ -75,8 +90,9 @@ def stream_reputation(spark, sf):
 
 @query("stream_upsert", "SELECT 'u' || user_id AS id, arg_max(event_type, event_id) AS query_text, arg_max(event_id, event_id) AS budget_cost FROM events GROUP BY user_id")
 def stream_upsert(spark, sf):
+    """Batches run against the order of events, so most rows of the later ones are late."""
     tables = Tables(spark, scratch_path(spark, "upsert"))
-    rows = stream_of(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("id"), C("event_type").alias("query_text"), C("event_id").alias("budget_cost"), "event_id")
+    rows = batches_of(spark, sf, "events", F.desc("event_id")).select(F.concat(F.lit("u"), "user_id").alias("id"), C("event_type").alias("query_text"), C("event_id").alias("budget_cost"), "event_id")
     jobs.keep_table(rows, tables, "queries", scratch_path(spark, "upsert-state"), "event_id").awaitTermination()
     return tables.read("queries").select("id", "query_text", "budget_cost")
 

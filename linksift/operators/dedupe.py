@@ -172,12 +172,17 @@ def merge_groups(grouped: DataFrame, seq: str = "seq") -> DataFrame:
         *[F.coalesce(first_where(c, F.col(c) != blank), F.lit(blank)).alias(c) for c, blank in known.items()],
         F.max("confidence").alias("confidence"),
     )
-    for name in SET_FIELDS:
-        values = grouped.select("group_id", s.alias("_s"), F.posexplode(clean_list(F.col(name))).alias("_p", "_v"))
-        firsts = values.groupBy("group_id", "_v").agg(F.min(F.struct("_s", "_p")).alias("_at"))
-        sets = firsts.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias(name))
-        merged = merged.join(sets, "group_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    return merged
+    def tagged(name: str) -> Column:
+        return F.transform(clean_list(F.col(name)), lambda v, i: F.struct(F.lit(name).alias("_f"), i.alias("_p"), v.alias("_v")))
+
+    values = grouped.select("group_id", s.alias("_s"), F.explode(F.concat(*[tagged(name) for name in SET_FIELDS])).alias("_e")).select("group_id", "_s", "_e.*")
+    firsts = values.groupBy("group_id", "_f", "_v").agg(F.min(F.struct("_s", "_p")).alias("_at"))
+
+    def in_order(name: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.when(F.col("_f") == name, F.struct("_at", "_v")))), lambda x: x["_v"]).alias(name)
+
+    sets = firsts.groupBy("group_id").agg(*[in_order(name) for name in SET_FIELDS])
+    return merged.join(sets, "group_id", "left").withColumns({name: F.coalesce(name, F.array().cast("array<string>")) for name in SET_FIELDS})
 
 
 def group_members(grouped: DataFrame) -> DataFrame:

@@ -14,22 +14,24 @@ def _values(rows: DataFrame) -> Column:
     return F.struct(*[f.name for f in rows.schema if not isinstance(f.dataType, MapType)])
 
 
-def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], seq: str | None = None,
+def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], seq: str,
            update_cols: list[str] | None = None, keep_min: list[str] = (), keep_max: list[str] = ()) -> DataFrame:
     """``current`` with ``incoming`` applied: last incoming row per key wins.
 
     ``update_cols`` limits which columns an existing row takes from the new one; ``keep_min``
     and ``keep_max`` columns take the smaller or larger of both (first and last seen). Of rows
-    alike in ``seq``, or all if there is none, the one whose values sort last wins, so a rerun
-    gives the same table.
+    alike in ``seq``, the one whose values sort last wins, so a rerun gives the same table. If
+    ``current`` holds ``seq`` too, a late row that is older than the stored one changes nothing
+    but those two kinds of column. A row without ``seq`` counts as older than any.
     """
-    by_value = F.desc(_values(incoming))
-    newest = first_per_key(incoming, keys, [F.desc(seq), by_value] if seq else [by_value])
+    newest = first_per_key(incoming, keys, [F.desc(seq), F.desc(_values(incoming))])
     cols = current.columns
     left = current.select(*keys, F.struct(*cols).alias("_old"))
     right = newest.select(*keys, F.struct(*[F.col(c) if c in newest.columns else F.lit(None).cast(current.schema[c].dataType).alias(c)
                                             for c in cols]).alias("_new"))
     joined = left.join(right, keys, "full_outer")
+    late = F.coalesce(F.col("_new")[seq] < F.col("_old")[seq], F.col("_old")[seq].isNotNull()) if seq in cols else F.lit(False)
+    taken = F.col("_new").isNotNull() & ~late
 
     def merged(c: str) -> Column:
         old, new = F.col("_old")[c], F.col("_new")[c]
@@ -39,9 +41,9 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], seq: str |
             return F.least(old, new)
         if c in keep_max:
             return F.greatest(old, new)
-        if update_cols is not None and c not in update_cols:
+        if update_cols is not None and c not in update_cols and c != seq:
             return F.when(F.col("_old").isNotNull(), old).otherwise(new)
-        return F.when(F.col("_new").isNotNull(), new).otherwise(old)
+        return F.when(taken, new).otherwise(old)
 
     return joined.select(*[merged(c).alias(c) for c in cols])
 

@@ -2,13 +2,15 @@
 
 A rewrite never touches the files a reader may hold: it lands in a new version folder, and a
 version counts only once Spark's committer has left its success marker. An append writes only
-its own rows into the current version.
+its own rows into the current version. Tables with upserts store the order of each row in
+``_seq``, so a late row never overwrites a newer one. Scores are a folder for each run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, LongType, StructType, TimestampNTZType, TimestampType
 
 from ..functions.coerce import FEEDBACK_LABELS
 from ..operators import upsert as ops
@@ -20,6 +22,15 @@ UPDATE_COLS = {
     "source_edges": ["weight", "last_seen"],
 }
 
+#: Tables that hold the order of their rows.
+ORDERED = ["links", "records", "record_sources", "queries", "source_edges"]
+
+
+def _order(df: DataFrame, seq: str) -> Column:
+    """``seq`` as a whole number: times in microseconds."""
+    timed = isinstance(df.select(seq).schema[0].dataType, (TimestampType, TimestampNTZType, DateType))
+    return F.unix_micros(F.col(seq).cast("timestamp")) if timed else F.col(seq).cast("long")
+
 
 class Tables:
     """``read``, ``append`` and ``upsert`` over a folder of job tables."""
@@ -42,13 +53,19 @@ class Tables:
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """Latest (or given) version; an absent table is empty, as the reference treats it."""
-        known = self.versions(name)
+        return self._stored(name, version).select(*TABLES[name].names)
+
+    def _stored(self, name: str, version: int | None = None) -> DataFrame:
+        known, schema = self.versions(name), self._schema(name)
         if not known or (version is not None and version not in known):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v={version if version is not None else known[-1]}")
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={version if version is not None else known[-1]}")
+
+    def _schema(self, name: str) -> StructType:
+        return StructType([*TABLES[name].fields]).add("_seq", LongType()) if name in ORDERED else TABLES[name]
 
     def _shape(self, name: str, df: DataFrame) -> DataFrame:
-        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]])
+        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self._schema(name)])
 
     def replace(self, name: str, df: DataFrame, version: int | None = None) -> int:
         """Publish ``df`` as the next version. Writing a given version twice gives the same result."""
@@ -63,28 +80,36 @@ class Tables:
         self._shape(name, df).write.mode("append").parquet(f"{self.root}/{name}/v={target}")
         return target
 
-    def upsert(self, name: str, df: DataFrame, seq: str | None = None, whole_row: bool = False) -> int:
-        """Insert or update by key with the table's conflict rule."""
-        incoming = df if seq is None else df.withColumn("_seq", F.col(seq))
+    def upsert(self, name: str, df: DataFrame, seq: str, whole_row: bool = False) -> int:
+        """Insert or update by key with the table's conflict rule; the row with the largest ``seq`` wins, in any order of calls."""
+        return self._merge(name, df, seq, None if whole_row else UPDATE_COLS.get(name))
+
+    def _merge(self, name: str, df: DataFrame, seq: str, update_cols: list[str] | None) -> int:
         keep_min, keep_max = (["first_seen"], ["last_seen"]) if name in ("records", "source_edges") else ([], [])
-        merged = ops.upsert(self.read(name), incoming, KEYS[name], "_seq" if seq else None,
-                            None if whole_row else UPDATE_COLS.get(name), keep_min, keep_max)
-        return self.replace(name, merged)
+        incoming = self._shape(name, df.withColumn("_seq", _order(df, seq)))
+        return self.replace(name, ops.upsert(self._stored(name), incoming, KEYS[name], "_seq", update_cols, keep_min, keep_max))
 
     # Sinks with their own rule ------------------------------------------------------------
-    def save_links(self, links: DataFrame, discovery: bool = False) -> int:
-        cols = ["status", "rejection_reason", *(["title", "snippet"] if discovery else [])]
-        return self.replace("links", ops.upsert(self.read("links"), links, KEYS["links"], None, cols))
+    def save_links(self, links: DataFrame, seq: str, discovery: bool = False) -> int:
+        return self._merge("links", links, seq, ["status", "rejection_reason", *(["title", "snippet"] if discovery else [])])
+
+    def save_records(self, records: DataFrame, seq: str) -> int:
+        return self.upsert("records", records, seq, whole_row=True)
 
-    def save_records(self, records: DataFrame) -> int:
-        return self.upsert("records", records, whole_row=True)
+    def save_record_sources(self, links: DataFrame, seq: str) -> int:
+        return self.upsert("record_sources", links, seq)
 
     def save_scores(self, scores: DataFrame, run_id: str, model: str, rules_name: str, recommend: int) -> int:
+        """All scores of a run, in its own folder; saving a run again replaces its scores, so a retry changes nothing."""
         shaped = scores.withColumns({
             "run_id": F.lit(run_id), "model": F.lit(model), "rules_name": F.lit(f"profile:{rules_name}"),
             "next_action": F.coalesce("next_action", F.lit("monitor")),
             "should_recommend": F.coalesce("should_recommend", F.col("total") >= recommend)})
-        return self.append("scores", shaped)
+        rows, path = self._shape("scores", shaped), f"{self.root}/scores/v=0"
+        if not self.versions("scores"):  # an overwrite of folders leaves no success marker, so an empty table does
+            rows.limit(0).write.mode("overwrite").partitionBy("run_id").parquet(path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+        return 0
 
     def save_picks(self, picks: DataFrame) -> int:
         fresh = ops.insert_new(self.read("picks"), self._shape("picks", picks), ["pick_id"], ["run_id", "record_id"])
@@ -95,12 +120,12 @@ class Tables:
 
         return self.replace("sources", merge_reputation(self.read("sources"), self._shape("sources", batch)))
 
-    def save_edges(self, edges: DataFrame) -> int:
-        return self.upsert("source_edges", edges)
+    def save_edges(self, edges: DataFrame, seq: str) -> int:
+        return self.upsert("source_edges", edges, seq)
 
-    def save_queries(self, queries: DataFrame, run_id: str) -> int:
+    def save_queries(self, queries: DataFrame, run_id: str, seq: str) -> int:
         shaped = queries.withColumns({"run_id": F.lit(run_id), "id": F.concat_ws(":", F.lit(run_id), F.col("id"))})
-        return self.upsert("queries", shaped)
+        return self.upsert("queries", shaped, seq)
 
     def save_feedback(self, feedback: DataFrame) -> DataFrame:
         """Append valid feedback; returns the rejected rows."""

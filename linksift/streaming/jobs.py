@@ -91,6 +91,17 @@ def stuck_run_alerts(run_log: DataFrame, late: str = "10 minutes") -> DataFrame:
             .applyInPandasWithState(track, "run_id string, started_at timestamp", "started long", "append", GroupStateTimeout.EventTimeTimeout))
 
 
+def silence_alerts(run_log: DataFrame, hours: int = 24, job: str = "job", late: str = "10 minutes") -> DataFrame:
+    """(job, last_success, alert_at) for each stretch of ``hours`` of event time after a success without another.
+
+    Successes less than that apart form one session; it ends ``hours`` after its last success, and
+    is emitted once the watermark has passed its end. State is one open session for each job.
+    """
+    ok = run_log.filter("status = 'succeeded' and at is not null").withWatermark("at", late)
+    sessions = ok.groupBy(job, F.session_window("at", f"{hours} hours").alias("_s")).agg(F.max("at").alias("last_success"))
+    return sessions.select(job, "last_success", F.col("_s.end").alias("alert_at"))
+
+
 def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -106,7 +117,7 @@ def pick_new(scored: DataFrame, tables: Tables, rules: Rules, as_of: datetime, l
     def step(batch: DataFrame, batch_id: int) -> None:
         eligible, _ = split_by_history(batch, tables.read("picks"), tables.read("records"))
         best = cut_lineage(pick_rows(eligible, rules, as_of, limit))
-        tables.save_records(batch.join(best.select("id"), "id", "left_semi"))
+        tables.save_records(batch.join(best.select("id"), "id", "left_semi").withColumn("_batch", F.lit(batch_id)), "_batch")
         run = F.lit(f"stream-{batch_id}")
         tables.save_picks(best.select(
             F.concat_ws(":", run, F.col("id")).alias("pick_id"), run.alias("run_id"), F.col("id").alias("record_id"), F.col("score").cast("double").alias("score"),
@@ -132,8 +143,8 @@ def keep_reputation(rows: DataFrame, tables: Tables, checkpoint: str, seq: str =
     return _start(rows, step, checkpoint, available_now)
 
 
-def keep_table(rows: DataFrame, tables: Tables, name: str, checkpoint: str, seq: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Incremental upsert of a job table from a stream of its rows."""
+def keep_table(rows: DataFrame, tables: Tables, name: str, checkpoint: str, seq: str, available_now: bool = True) -> StreamingQuery:
+    """Incremental upsert of a job table from a stream of its rows; an older row that comes in a later batch changes nothing."""
     return _start(rows, lambda batch, _id: tables.upsert(name, batch, seq, whole_row=True) and None, checkpoint, available_now)
 
 

@@ -399,9 +399,17 @@ def test_stuck_alerts_do_not_depend_on_batches(spark, tmp_path, files):
     assert sorted((r["run_id"], r["started_at"].minute) for r in out) == [("late end", 0), ("open", 10)]
 
 
-def test_upsert_without_order_gives_the_same_table_again(spark):
+def test_upsert_breaks_ties_by_value_and_ignores_late_rows(spark, tmp_path):
     old = spark.createDataFrame([("a", "x")], "id string, v string")
     rows = [("a", "m"), ("a", "z"), ("b", "k"), ("b", None), (None, "n")]
     for order in (rows, rows[::-1]):
-        new = spark.createDataFrame(order, "id string, v string").repartition(3)
-        assert {r["id"]: r["v"] for r in upsert.upsert(old, new, ["id"]).collect()} == {"a": "z", "b": "k", None: "n"}
+        new = spark.createDataFrame(order, "id string, v string").repartition(3).withColumn("s", F.lit(1))
+        assert {r["id"]: r["v"] for r in upsert.upsert(old, new, ["id"], "s").collect()} == {"a": "z", "b": "k", None: "n"}
+    tables = Tables(spark, str(tmp_path))
+    for seq, text in ((5, "new"), (3, "late"), (None, "no order")):
+        tables.save_queries(spark.createDataFrame([("q", text, seq)], "id string, query_text string, s long"), "run", "s")
+    assert [(r["id"], r["query_text"]) for r in tables.read("queries").collect()] == [("run:q", "new")]
+    scores = spark.createDataFrame([("1", 90.0), ("2", 10.0)], "record_id string, total double").withColumns({"next_action": F.lit(None).cast("string"), "should_recommend": F.lit(None).cast("boolean")})
+    for run in ("r1", "r2", "r1"):
+        tables.save_scores(scores, run, "m", "p", 80)
+    assert sorted((r["run_id"], r["record_id"]) for r in tables.read("scores").collect()) == [("r1", "1"), ("r1", "2"), ("r2", "1"), ("r2", "2")]
