@@ -2,8 +2,9 @@
 
 A test item of n characters may differ in ``errors = floor(error_rate * n)`` edits. Split into
 errors + 1 pieces, at least one piece of it must stand unchanged in a text that holds the item;
-an Aho-Corasick automaton finds the pieces, and Myers' bit-parallel distance checks the stretch
-around each hit. Both sides are compared in lower case with each run of white space as one space.
+an Aho-Corasick automaton finds the pieces, and Myers' bit-parallel distance checks the stretches
+around all hits, each place once: the distance found is the least of the whole text, and the end the
+first with it. Both sides are compared in lower case with each run of white space as one space.
 
 The items are a query set: they are read in blocks of bounded size, and each block meets all
 texts, so no block grows with either table. Null or empty items match nothing; an item whose
@@ -67,6 +68,21 @@ def best_ending(item: str, masks: dict[str, int], stretch: str, most: int) -> tu
     return best
 
 
+def add_stretch(parts: list[tuple[int, int]], low: int, high: int) -> None:
+    """Add a stretch to those of an item, which are in order; stretches that meet become one.
+
+    Hits come by their ends, so a stretch may begin before the last one by the item's length at most.
+    """
+    after = len(parts)
+    while after and parts[after - 1][0] > high:
+        after -= 1
+    at = after
+    while at and parts[at - 1][1] >= low:
+        at -= 1
+        low, high = min(low, parts[at][0]), max(high, parts[at][1])
+    parts[at:after] = [(low, high)]
+
+
 class ItemMatcher:
     """Finds the items of one block in texts."""
 
@@ -103,21 +119,22 @@ class ItemMatcher:
         body = plain(text)
         if not body or not self.items:
             return []
-        tried: dict[int, int] = {}  # item -> where the last stretch tried ends
-        found: dict[int, tuple[int, int]] = {}
+        stretches: dict[int, list[tuple[int, int]]] = {}  # item -> what to search, in order and apart
         for last, (length, where) in self.automaton.iter(body):
             begin = last + 1 - length
             for k, start in where:
-                item_id, item, errors = self.items[k]
-                if k in found and found[k][0] == 0:
-                    continue
-                low, high = max(0, begin - start - errors), begin - start + len(item) + errors
-                if high <= tried.get(k, -1):
-                    continue
-                tried[k] = high
+                _, item, errors = self.items[k]
+                low = max(0, begin - start - errors)
+                add_stretch(stretches.setdefault(k, []), low, begin - start + len(item) + errors)
+        found: dict[int, tuple[int, int]] = {}
+        for k, parts in stretches.items():
+            _, item, errors = self.items[k]
+            for low, high in parts:
                 match = best_ending(item, self._masks(k), body[low:high], errors)
                 if match and (k not in found or match[0] < found[k][0]):
                     found[k] = (match[0], low + match[1])
+                    if match[0] == 0:
+                        break
         return [(self.items[k][0], *match) for k, match in sorted(found.items())]
 
 

@@ -236,6 +236,30 @@ def test_pigeonhole_loses_no_item(items, text, data):
     assert {i: d for i, d, _ in matcher.search(text)} == want
 
 
+@given(st.text("ab0,", min_size=1, max_size=4), st.integers(4, 25), st.text("abc ", max_size=30), st.data())
+@settings(max_examples=150, deadline=None)
+def test_periodic_items_are_aligned_at_every_hit(unit, times, tail, data):
+    item = decontamination.plain(unit * times + tail)
+    edited = list(item)
+    for _ in range(data.draw(st.integers(0, 5))):
+        edited[data.draw(st.integers(0, len(edited) - 1))] = data.draw(st.sampled_from(["", "x", "xy"]))
+    text = data.draw(st.text("ab0, ", max_size=20)) + "".join(edited) + unit * data.draw(st.integers(0, 6))
+    matcher, body = decontamination.ItemMatcher([(7, item)], 0.1), decontamination.plain(text)
+    errors = matcher.items[0][2]
+    want = distance_inside(item, body)
+    assert [(i, d) for i, d, _ in matcher.search(text)] == ([(7, want)] if want <= errors else [])
+
+
+def test_an_edit_before_a_recurring_piece():
+    item = "0, " * 20 + "1, 2, 3 what is the next number in this list of numbers"
+    text = "so: " + item.replace("0", "7", 1) + " and on"
+    assert [(i, d) for i, d, _ in decontamination.ItemMatcher([(1, item)]).search(text)] == [(1, 1)]
+    parts = []
+    for low, high in ((0, 10), (30, 40), (15, 25), (20, 31), (50, 60)):
+        decontamination.add_stretch(parts, low, high)
+    assert parts == [(0, 10), (15, 40), (50, 60)]
+
+
 def test_leaks(spark, docs, empty):
     benchmark = spark.createDataFrame([(1, "the CAT sat on\nthe mat. the cat"), (2, None), (3, ""), (4, "nowhere to be found in any of them"), (5, "the cat sat on the mat. the cat")], "item_id long, text string")
     assert sorted(rows(decontamination.leaks(docs, benchmark), "doc_id", "item_id", "distance")) == sorted((d, i, 0) for d in (1, 2, 10) for i in (1, 5))
