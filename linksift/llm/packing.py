@@ -143,12 +143,26 @@ def _exchange(source: list[int], target: list[int], room: int, lengths: list[int
     return best
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, most_items: int = 64) -> list[list[int]]:
+def _lengths_once(members: list[int], lengths: list[int], times: int) -> list[int]:
+    """Longest first, pieces of every length in a bin, ``times`` of a length at most; equal lengths exchange alike.
+
+    A bin has less than sqrt(2 x capacity) different lengths.
+    """
+    seen: dict[int, int] = {}
+    kept = []
+    for i in sorted(members, key=lambda i: -lengths[i]):
+        seen[lengths[i]] = seen.get(lengths[i], 0) + 1
+        if seen[lengths[i]] <= times:
+            kept.append(i)
+    return kept
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Empty underfull bins into others by moves, one-for-one and two-for-one exchanges.
 
     Each change takes places from the emptiest bin and gives them to one at least as full, which
-    raises the sum of squared fills; so the search ends. Bins of more than ``most_items`` short
-    pieces only give and take the longest of them.
+    raises the sum of squared fills; so the search ends. Pieces of all lengths are offered: two of
+    each length of the emptiest bin, as two may go together, and one of each length in return.
     """
     fills = [sum(lengths[i] for i in b) for b in bins]
     open_bins = sorted((k for k in range(len(bins)) if fills[k] < capacity), key=lambda k: (fills[k], k))
@@ -165,8 +179,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, most_
                 free = capacity - fills[target]
                 if free == 0 or fills[target] < fills[source]:
                     continue
-                longest = lambda k: sorted(bins[k], key=lambda i: -lengths[i])[:most_items]
-                found = _exchange(longest(source), longest(target), free, lengths)
+                found = _exchange(_lengths_once(bins[source], lengths, 2), _lengths_once(bins[target], lengths, 1), free, lengths)
                 if found:
                     gain, out, back = found
                     bins[source] = [i for i in bins[source] if i not in out] + list(back)

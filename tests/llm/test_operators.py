@@ -92,6 +92,15 @@ def test_local_search_empties_a_bin():
     assert sorted(sum(lengths[i] for i in b) for b in bins) == [10, 10]
 
 
+def test_local_search_offers_pieces_of_all_lengths():
+    lengths = [5] + [10] * 64 + [3] * 10 + [669]  # 5 for 3 in the second bin, then 3 into the third
+    found = packing.local_search([[0], list(range(1, 75)), [75]], lengths, 672)
+    assert sorted(i for b in found for i in b) == list(range(76)) and [sum(lengths[i] for i in b) for b in found] == [672, 672]
+    lengths = [4, 4, 1] + [7] * 70 + [2] * 70  # both pieces of 4 for one of 7, then 7 and 1 with 2s
+    assert packing._lengths_once(list(range(143)), lengths, 2) == [3, 4, 0, 1, 73, 74, 2]
+    assert packing._exchange([0, 1], [3, 73], 1, lengths) == (1, (1, 0), (3,))
+
+
 # 2. token counts
 
 def test_counts_equal_the_tokenizer(spark, docs, empty):
