@@ -19,8 +19,8 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from their labels, accepts."""
-    machine = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.accepted(docs, machine)
+    machine = quality.train(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",))
+    return quality.accepted(docs, machine, metadata=("n_chars",))
 
 
 def exact_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,13 @@ def test_stages(spark):
     assert {r[0] for r in pieces.select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()}
 
 
+def test_quality_stage_learns_from_metadata(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "The same plain text.", 20 if i % 2 else 90_000) for i in range(200)], "doc_id long, text string, n_chars long")
+    spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.good_quality(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(1, 200, 2))
+
+
 def test_odd_tables(spark, tmp_path):
     rows = [(None, None, None, None, None, 1), (1, None, None, None, None, 2), (1, None, None, None, None, 2), (2, "", "en", "s", 0, 3), (3, "A fine line. " * 4000, "en", "s", 9, 4)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int").write.parquet(str(tmp_path / "documents.parquet"))
