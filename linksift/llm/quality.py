@@ -146,7 +146,7 @@ def _extra(batch: pa.RecordBatch, columns: list[str]) -> list[list[float]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = (), per_label: int = SAMPLE_PER_LABEL, seed: int = 9) -> FactorisationMachine:
-    """Learn from about ``per_label`` rows of each label (0 or 1), chosen by a hash of their ids."""
+    """Learn from about ``per_label`` ids of each label (0 or 1), chosen by a hash; of rows that repeat an id, from one."""
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("label") == 1, F.lit(min(1.0, per_label / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, per_label / max(1, counts.get(0, 0)))))
@@ -159,7 +159,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([p.astype("<i4").tobytes() for p, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary())], ["doc_id", "label", "places", "shares"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).cast("double").alias(n) for c, n in zip(metadata, names)))
-    chosen = source.join(F.broadcast(sample), "doc_id")  # 4 * per_label ids at most
+    told = ["text", *names]
+    first = F.min_by(F.struct("label", *told), F.xxhash64(*told)).alias("row")  # whatever the order of rows
+    chosen = source.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(first)  # 4 * per_label rows at most
+    chosen = chosen.select("doc_id", "row.*")
     found = arrow_map(chosen, extract, "doc_id long, label int, places binary, shares binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["label"], r["places"], r["shares"]))
     rows = [(np.frombuffer(r["places"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in found]

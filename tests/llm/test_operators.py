@@ -355,6 +355,19 @@ def test_quality(spark, docs, empty):
     assert {r[0] for r in rows(quality.score(docs, untaught, F.lit(True)), "score")} == {0.5}
 
 
+def test_quality_learns_from_one_row_of_each_id(spark, monkeypatch):
+    taught, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, labels, size: taught.append((rows, labels)) or fit(rows, labels, size))
+    rows_ = [(i, f"a fine line {i}", 5) for i in range(20)] + [(3, f"copy {k}", k) for k in range(200)] + [(4, None, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    for order in (rows_, rows_[::-1]):
+        quality.train(spark.createDataFrame(order, "doc_id long, text string, n_chars long"), labels, metadata=("n_chars",))
+    (first, labels), (again, _) = taught
+    assert len(first) == len(again) == 20 and labels.sum() == 10
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(first, again))
+
+
+
 # 9. near dedup
 
 def components(texts, words, percent=80):
