@@ -6,7 +6,10 @@ own seed. A bucket starts where those before it end, so every record has its pla
 order of the whole table; the place gives shard (place mod shards) and slot (place div shards).
 Counts of shards are at most one apart, and slots have no gaps.
 
-The result depends on seed, number of buckets and rows only, not on partitions or retries. Null
+Equal rows share a bucket; where that fills it far over its size, its rows are counted and each copy
+is dealt by itself (there -0.0 in other columns becomes 0.0).
+
+The result depends on seed, size of buckets and rows only, not on partitions or retries. Null
 texts have no bytes. Rows that repeat an id are records of their own, ordered by text; equal rows
 are told apart by nothing, so their order does not matter. An empty table gives empty shards.
 """
@@ -28,6 +31,10 @@ from .common import cut_lineage
 BUCKET_BYTES = 4 << 20
 #: Bound of the list of buckets, which every task gets: 2**20 numbers. 100 TB make buckets of 100 MB.
 MOST_BUCKETS = 1 << 20
+#: A bucket of more than so many times its size is dealt anew.
+FULL = 4
+#: Copies of a row that one row stands for while they are dealt out over tasks.
+COPIES = 1024
 LAW = "rows"
 
 
@@ -39,14 +46,30 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return order
 
 
+def scattered(df: DataFrame, id_col: str, text_col: str, seed: int, bucket_bytes: int) -> DataFrame:
+    """``df`` with the bucket of each row, ``_bucket``."""
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + F.lit(64)
+    total = df.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
+    buckets = min(MOST_BUCKETS, max(1, math.ceil(total / bucket_bytes)))
+    # The text's hash spreads rows that repeat an id or have none.
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(buckets)))
+    most = FULL * max(bucket_bytes, math.ceil(total / buckets))
+    full = dealt.groupBy("_bucket").agg(F.sum(size).alias("bytes")).filter(F.col("bytes") > most).select("_bucket").collect()
+    if not full:
+        return dealt
+    marked = F.broadcast(df.sparkSession.createDataFrame(full, "_bucket long"))  # MOST_BUCKETS / FULL rows at most
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    counted = dealt.join(marked, "_bucket", "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
+    zero, step = F.lit(0).cast("long"), F.lit(COPIES).cast("long")
+    parts = counted.withColumn("_from", F.explode(F.sequence(zero, F.col("_rows") - 1, step))).repartition(F.col(id_col), F.col("_from"))
+    copies = parts.withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + step, F.col("_rows")) - 1)))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.to_json(F.struct(*columns)), F.col("_copy")), F.lit(buckets)).alias("_bucket")
+    return dealt.join(marked, "_bucket", "left_anti").select(*columns, "_bucket").unionByName(copies.select(*columns, bucket))
+
+
 def shuffled(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``df`` with shard and slot (columns of those names are replaced), written once in its new order."""
     df = df.drop("shard", "slot", "_bucket")
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + F.lit(64)
-    row = df.agg(F.sum(size).alias("bytes")).first()
-    buckets = min(MOST_BUCKETS, max(1, math.ceil((row["bytes"] or 0) / bucket_bytes)))
-    # The text's hash spreads rows that repeat an id or have none.
-    scattered = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(buckets)))
     kept = StructType([*df.schema.fields, StructField("_bucket", LongType()), StructField("_place", LongType())])
 
     def mix(batch: pa.Table) -> pa.Table:
@@ -55,7 +78,7 @@ def shuffled(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         order = fisher_yates(len(ordered), seed * 1_000_003 + number)
         return ordered.take(pa.array(order)).append_column("_place", pa.array(np.arange(len(ordered)), pa.int64()))
 
-    mixed = cut_lineage(scattered.groupBy("_bucket").applyInArrow(mix, kept))
+    mixed = cut_lineage(scattered(df, id_col, text_col, seed, bucket_bytes).groupBy("_bucket").applyInArrow(mix, kept))
     counts = dict(map(tuple, mixed.groupBy("_bucket").count().collect()))  # MOST_BUCKETS rows at most
     starts = dict(zip(sorted(counts), accumulate([0] + [counts[b] for b in sorted(counts)])))
     offsets = F.broadcast(df.sparkSession.createDataFrame(list(starts.items()), "_bucket long, _start long"))

@@ -295,6 +295,18 @@ def test_shards(docs, empty, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(TEXTS)
 
 
+def test_equal_rows_spread_over_buckets(spark):
+    table = [(7, "one text")] * 3000 + [(None, "other")] * 1500 + [(i, f"text {i}") for i in range(1500)] + [(8, None)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    sizes = rows(sharding.scattered(df, "doc_id", "text", 17, 8000).groupBy("_bucket").count(), "count")
+    assert sum(n for n, in sizes) == len(table) and max(n for n, in sizes) < 400  # before: 3,000 in one bucket
+    found = rows(sharding.shuffled(df, 4, bucket_bytes=8000), "doc_id", "text", "shard", "slot")
+    assert collections.Counter((i, t) for i, t, _, _ in found) == collections.Counter(table)
+    assert sorted((k, n) for *_, k, n in found) == sorted((i % 4, i // 4) for i in range(len(table)))
+    again = rows(sharding.shuffled(df.repartition(7), 4, bucket_bytes=8000), "doc_id", "text", "shard", "slot")
+    assert collections.Counter(again) == collections.Counter(found)
+
+
 def test_fisher_yates_is_a_fair_permutation():
     seen = collections.Counter(tuple(sharding.fisher_yates(3, seed).tolist()) for seed in range(3000))
     assert len(seen) == 6 and min(seen.values()) > 400
