@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, licenses, near_dup, packing, quality, secrets, sharding, token_counts
+from . import decontamination, exact_dedup, language_id, licenses, near_dup, packing, periodic, quality, repair, secrets, sharding, simhash, token_counts
 from .common import documents, scratch_path, table
 
 SHARDS = 8
@@ -72,6 +73,41 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """op11's contract: every tenth id, by crc32, has its text repeat itself from some word on."""
+    h, n = zlib.crc32(b"%d" % doc_id) if doc_id is not None else 1, len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    part = words[a:a + p]
+    return words[:a] + (part * ((n - a) // p + 1))[:n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.collapsed(documents(spark, sf_dir), prepare=planted_period))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(documents(spark, sf_dir))
+
+
+def damaged_conversations(conversations: DataFrame) -> DataFrame:
+    """op13's contract: rows dropped (``gone``), emptied, robbed of their stops, repeated or given to the user, by crc32 of conversation and turn."""
+    read = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    harm = F.pmod(F.crc32(F.concat(read("conv_id"), F.lit(":"), read("turn"))), F.lit(20))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), harm.alias("harm"), read("role").alias("role"), read("text").alias("text"))
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("harm") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (F.col("harm") == 0).alias("gone"),
+                       F.explode(F.when(F.col("harm") == 3, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy"))
+    return rows.drop("_copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(damaged_conversations(table(spark, sf_dir, "conversations")))
+
+
 _SPACED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 
@@ -102,5 +138,6 @@ SQL = {
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op1_packing, op2_token_counts, op3_language_id, op4_exact_dedup, op5_decontamination, op6_sharding, op7_secret_scan, op8_quality, op9_near_dup, op10_licenses)
+    fn.__name__: fn for fn in (op1_packing, op2_token_counts, op3_language_id, op4_exact_dedup, op5_decontamination, op6_sharding, op7_secret_scan, op8_quality, op9_near_dup, op10_licenses,
+                                 op11_periodic_runs, op12_simhash, op13_conversation_repair)
 }
