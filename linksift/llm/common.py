@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
 
-__all__ = ["WHITE", "arrow_map", "cut_lineage", "documents", "learned_share", "raw_texts", "scratch_path", "table"]
+__all__ = ["WHITE", "arrow_map", "cut_lineage", "documents", "free_name", "learned_share", "raw_texts", "scratch_path", "table"]
 
 #: White space of the contracts, as a character class.
 WHITE = r"[\x20\x09-\x0D]"
@@ -40,3 +40,11 @@ def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 def learned_share(key: Column, share: Column, seed: int) -> Column:
     """True for a seeded, hash-chosen ``share`` (0 to 1) of the keys."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -7,17 +7,19 @@ similarity. Documents with equal sets are one class. Bands of ROWS registers nam
 which classes meet; a similarity of 0.8 misses every one of the 40 bands once in 8 million pairs.
 
 Links are found without listing the pairs of a bucket. First each member is compared with its
-bucket's hub, the smallest id. Connected classes then count as one component. Only buckets that
-still hold several components are searched again, in blocks of about BLOCK members, and only links
-across components come out. A pair is a candidate if the joint likelihood of both sketches
-puts its similarity at SLACK below the threshold or above (four standard errors, so a true link is
-left out once in 30,000 pairs at the threshold itself); every candidate is confirmed on the
-full sets, from the texts. Components are then the same as from all links.
+bucket's hub, the class of the smallest number. Connected classes then count as one component. Only
+buckets that still hold several components are searched again, in blocks of about BLOCK members,
+by their registers alone, and only candidates across components come out. A pair is a candidate if
+the joint likelihood of both sketches puts its similarity at SLACK below the threshold or above (four
+standard errors, so a true link is left out once in 30,000 pairs at the threshold itself); every
+candidate is confirmed on the full sets, from one text of each class. Components are then the same as
+from all links. Classes have numbers of their own, so an id may stand in several; they are linked.
 
 Words are split at ASCII white space and A-Z lowered; fewer words than a shingle are one shingle.
 A document without words, or without an id, is linked with nothing: its component is its own id,
-and it is kept. Repeated rows of one id are one document, each with its own row of the result. An
-empty table gives an empty result.
+and it is kept. Repeated rows of one id are one document, also if their texts differ, each with its own
+row of the result: what links one of its texts links them all. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import arrow_map, cut_lineage, raw_texts
+from .common import arrow_map, cut_lineage, free_name, raw_texts
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
@@ -41,30 +43,18 @@ RATE, BASE, LEVELS = 20.0, 1.001, (1 << 16) - 2
 BLOCK = 1024
 #: Standard errors of the estimate below the threshold that are still confirmed.
 SLACK_ERRORS = 4.0
-CACHE_WORDS = 400_000
 _random = np.random.default_rng(20)
 _FACTOR = _random.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _random.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = _WordHashes()
-
-
 def shingles(raw: bytes, words: int) -> np.ndarray:
     """Sorted 64-bit hashes of the different shingles of a text."""
     parts = raw.lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_hashes.__getitem__, parts), np.uint64, len(parts))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
     size = min(words, len(parts))
     n = len(parts) - size + 1
     mixed = np.full(n, size if size < words else 0, np.uint64)
@@ -113,7 +103,7 @@ def likely_similarity(equal: np.ndarray, above: np.ndarray, below: np.ndarray, n
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, class, levels): set size, name of the set (null if empty) and registers; written once."""
+    """(doc_id, mark, n, class, levels): set size, name of the set (null if empty) and registers; written once."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[bytes, tuple] = {}
@@ -125,9 +115,9 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     found = seen[raw] = (len(members), xxhash.xxh3_128_digest(members.tobytes()), registers(members).astype("<u2").tobytes()) if len(members) else (0, None, None)
                 rows.append(found)
             n, names, levels = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(levels, pa.binary())], ["doc_id", "n", "class", "levels"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(levels, pa.binary())], ["doc_id", "mark", "n", "class", "levels"])
 
-    return cut_lineage(arrow_map(docs, sketch, "doc_id long, n long, class binary, levels binary"))
+    return cut_lineage(arrow_map(docs, sketch, "doc_id long, mark string, n long, class binary, levels binary"))
 
 
 def _levels(column) -> np.ndarray:
@@ -135,13 +125,13 @@ def _levels(column) -> np.ndarray:
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """(key, rep), one row for each class and band."""
+    """(key, cls), one row for each class and band."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [band_keys(levels) for levels in _levels(batch.column("levels"))] or [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), BANDS), pa.int64())], ["key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), BANDS), pa.int64())], ["key", "cls"])
 
-    return arrow_map(classes.select("rep", "levels"), keys, "key long, rep long")
+    return arrow_map(classes.select("cls", "levels"), keys, "key long, cls long")
 
 
 def _likely(threshold: float) -> float:
@@ -162,12 +152,14 @@ def likely_edges(edges: DataFrame, classes: DataFrame, threshold: float) -> Data
             fine = (similar >= least) & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-6)
             yield batch.select(["a", "b"]).filter(pa.array(fine))
 
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("levels").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("levels").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
     return arrow_map(edges.join(side("b"), "b").join(side("a"), "a"), estimate, "a long, b long")
 
 
 def confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The edges (a, b) with 100 * intersection >= percent * union on the full sets; written once."""
+    """The edges (a, b, ...) with 100 * intersection >= percent * union on the full sets; written once."""
+    columns = edges.columns
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, members = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -178,114 +170,112 @@ def confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 other = shingles(raw_b, words)
                 common = len(np.intersect1d(members, other, assume_unique=True))
                 fine.append(100 * common >= percent * (len(members) + len(other) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+            yield batch.select(columns).filter(pa.array(fine, pa.bool_()))
 
-    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"t{x}"))
-    joined = edges.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select("a", "b", "ta", "tb")
-    return cut_lineage(arrow_map(joined, confirm, "a long, b long"))
+    side = lambda x: texts.select(F.col("cls").alias(x), F.col("text").alias(f"t{x}"))
+    joined = edges.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").select(*columns, "ta", "tb")
+    return cut_lineage(arrow_map(joined, confirm, edges.schema))
 
 
-def cross_links(members: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Confirmed links (a, b) between components that share a bucket, as pairs of components.
+def cross_candidates(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b, ca, cb) of classes, and their components, that may be linked across components; each once.
 
-    ``members`` has (key, size, rep, comp, n, levels, text) for buckets with several components.
-    Buckets are cut into blocks by hash; a task compares one block with itself or another, so a
-    bucket of any size spreads over tasks of bounded memory. Sketches choose what is confirmed; a
-    pair that shares several buckets is tried in the first only, and components that a link has
-    joined are not tried again. Only links leave the task.
+    ``members`` has (key, size, cls, comp, n, levels) for buckets with several components. Buckets
+    are cut into blocks by hash; a task compares one block with itself or another, so a bucket of
+    any size spreads over tasks of bounded memory. Registers alone are compared; a pair that shares
+    several buckets is tried in the first only.
     """
     threshold = percent / 100
     least = _likely(threshold)
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    spread = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spread = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "levels", "text")
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp", "n", "levels")
 
-    def compare(rows: list) -> set[tuple[int, int]]:
-        key, i, j, own, rep, comp, n, levels, text = zip(*rows)
-        rep, comp, n, own, root = np.array(rep), np.array(comp), np.array(n, float), np.array(own), np.array(comp)
+    def compare(rows: list) -> Iterator[tuple[np.ndarray, ...]]:
+        key, i, j, own, cls, comp, n, levels = zip(*rows)
+        cls, comp, n, own = np.array(cls), np.array(comp), np.array(n, float), np.array(own)
         levels = np.frombuffer(b"".join(levels), "<u2").reshape(-1, REGISTERS)
         band = int(np.flatnonzero(band_keys(levels[0]) == key[0])[0])
-        right, same, sets, links = np.flatnonzero(own == j[0]), i[0] == j[0], {}, set()
-
-        def members_of(k: int) -> np.ndarray:
-            if k not in sets:
-                sets[k] = shingles((text[k] or "").encode("utf-8", "surrogatepass"), words)
-            return sets[k]
-
+        right, same = np.flatnonzero(own == j[0]), i[0] == j[0]
         for x in np.flatnonzero(own == i[0]):
-            ys = right[(root[right] != root[x]) & ((rep[right] > rep[x]) | (not same))]
+            ys = right[(comp[right] != comp[x]) & ((cls[right] > cls[x]) | (not same))]
             ys = ys[np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x]) - 1e-6]
             if not len(ys):
                 continue
             alike = levels[ys] == levels[x]
             equal = alike.sum(1)
-            ys, equal, alike = (v[equal >= (least - 0.05) * REGISTERS] for v in (ys, equal, alike))
-            first = alike.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+            first = (equal >= (least - 0.05) * REGISTERS) & (alike.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band)
             ys, equal = ys[first], equal[first]
             if not len(ys):
                 continue
             above = (levels[x] > levels[ys]).sum(1)
-            similar = likely_similarity(equal, above, REGISTERS - equal - above, np.full(len(ys), n[x]), n[ys])
-            for y in ys[np.argsort(-similar, kind="stable")][: int((similar >= least).sum())]:
-                if root[y] == root[x]:
-                    continue
-                common = len(np.intersect1d(members_of(x), members_of(y), assume_unique=True))
-                if 100 * common >= percent * (n[x] + n[y] - common):
-                    links.add((int(min(comp[x], comp[y])), int(max(comp[x], comp[y]))))
-                    root[root == root[y]] = root[x]
-        return links
+            ys = ys[likely_similarity(equal, above, REGISTERS - equal - above, np.full(len(ys), n[x]), n[ys]) >= least]
+            if len(ys):
+                yield np.full(len(ys), cls[x]), cls[ys], np.full(len(ys), comp[x]), comp[ys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
+        names = ["a", "b", "ca", "cb"]
 
-        def ended() -> pa.RecordBatch:
-            links = sorted(compare(rows))
-            return pa.RecordBatch.from_arrays([pa.array([v[k] for v in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+        def ended() -> Iterator[pa.RecordBatch]:
+            for found in compare(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if rows and rows[-1][:3] != row[:3]:
-                    yield ended()
+                    yield from ended()
                     rows = []
                 rows.append(row)
         if rows:
-            yield ended()
+            yield from ended()
 
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cut_lineage(arrow_map(dealt, run, "a long, b long").distinct())
+    return cut_lineage(arrow_map(dealt, run, "a long, b long, ca long, cb long"))
 
 
 def near_components(docs: DataFrame, words: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each document."""
     threshold = percent / 100
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.md5(F.col(text_col).cast("binary")).alias("mark"))
     rows = sketches(source, words)
     named = rows.filter("class is not null and doc_id is not null")
-    classes = cut_lineage(named.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("levels").alias("levels")))
+    merged_rows = named.groupBy("class").agg(F.min(F.struct("doc_id", "mark")).alias("pick"), F.first("n").alias("n"), F.first("levels").alias("levels"))
+    classes = cut_lineage(merged_rows.withColumn("cls", F.monotonically_increasing_id()))
     keyed = cut_lineage(bucket_rows(classes))
-    buckets = cut_lineage(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    buckets = cut_lineage(keyed.groupBy("key").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     met = cut_lineage(keyed.join(buckets, "key"))  # classes that share a bucket
-    texts = cut_lineage(source.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]))
+    wanted = classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", "pick.*")
+    texts = cut_lineage(source.join(wanted, ["doc_id", "mark"]).select("cls", "text").dropDuplicates(["cls"]))
 
-    stars = met.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = met.filter("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     links = confirmed(likely_edges(stars, classes, threshold), texts, words, percent)
-    first = connected_components(links).withColumnsRenamed({"vertex": "rep", "component": "comp"})
+    # An id that stands in several classes links them.
+    repeated = named.join(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "doc_id").select("doc_id", "class").distinct()
+    held = repeated.join(classes.select("class", "cls"), "class").select("doc_id", "cls")
+    one_id = held.join(held.groupBy("doc_id").agg(F.min("cls").alias("a")), "doc_id").filter("a <> cls").select("a", F.col("cls").alias("b"))
+    first = connected_components(links.unionByName(one_id)).withColumnsRenamed({"vertex": "cls", "component": "comp"})
 
-    placed = met.join(first, "rep", "left").select("key", "size", "rep", F.coalesce("comp", "rep").alias("comp"))
+    placed = met.join(first, "cls", "left").select("key", "size", "cls", F.coalesce("comp", "cls").alias("comp"))
     several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    open_ = placed.join(cut_lineage(several), "key").join(classes.select("rep", "n", "levels"), "rep").join(texts, "rep")
-    merged = connected_components(cross_links(open_, words, percent))
-    merged = merged.withColumnsRenamed({"vertex": "comp", "component": "last"})
+    open_ = placed.join(cut_lineage(several), "key").join(classes.select("cls", "n", "levels"), "cls")
+    across = confirmed(cross_candidates(open_, percent), texts, words, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = connected_components(across).withColumnsRenamed({"vertex": "comp", "component": "last"})
 
-    named_classes = classes.select("class", "rep").join(first, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    named_classes = cut_lineage(named_classes.join(merged, "comp", "left").select("class", F.coalesce("last", "comp").alias("component_id")))
+    grouped = classes.select("class", "cls", F.col("pick.doc_id").alias("least")).join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    grouped = grouped.join(merged, "comp", "left").select("class", "least", F.coalesce("last", "comp").alias("group"))
+    named_classes = cut_lineage(grouped.join(grouped.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("class", "component_id"))
     linked = named.select("doc_id", "n", "class").join(named_classes, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("class is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = rows.filter("class is null and doc_id is not null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if_linked = linked.groupBy("doc_id").agg(F.min("component_id").alias("_other"))  # an id without words here, with words elsewhere
+    alone = alone.join(if_linked, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_other", "component_id").alias("component_id"))
+    nameless = rows.filter("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return linked.unionByName(alone).unionByName(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, words: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the smallest id of each component, all columns; rows without an id stay."""
-    dropped = near_components(docs, words, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("_dropped"), "left_anti")
+    name = free_name(docs, "_dropped")
+    dropped = near_components(docs, words, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, F.col(id_col).cast("long") == F.col(name), "left_anti")

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,40 +32,58 @@ END_ID = 0
 BUCKET_PIECES = 4096
 #: A sequence filled less than this share is opened again in the next round.
 REOPEN_BELOW = 0.97
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+#: Memory for the ids of frequent words, in a task, about; and of an entry besides its word and ids.
+CACHE_BYTES, ENTRY_BYTES = 16 << 20, 180
+#: Letters up to here have one form in all Unicode versions.
+_LATIN_END = "\u0250"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level letter of each byte: printable Latin-1 stands for itself, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class WordTokenizer:
     """Token ids of whole texts as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins letters across it, so a text's ids are those
-    of its words one after another; the ids of frequent words are remembered. ASCII letters are
-    lowered first, as the tokenizer does itself, unless the text may hold a special token.
+    of its words one after another; the ids of frequent words are remembered, in two halves of
+    which the older one is let go when the newer is full. ASCII letters are lowered first, as the
+    tokenizer does itself, unless the text may hold a special token. Words of Latin letters go to
+    the model directly: lowered, and in the letters that stand for their bytes. A task makes
+    its own, so that what it remembers goes with it.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+        self.whole = _loaded(path)
         self.model = self.whole.model
+        self.half, self.held = cache_bytes // 2, 0
         self.known: dict[bytes, bytes] = {}
-
-    def _word(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:  # letters and a stop are always two tokens' places
-            ids = self._get(word[:-1]) + self._get(word[-1:])
-        elif word.isalpha() and word.islower():  # bytes: ASCII only
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(word.decode()))
-        else:
-            ids = b"".join(i.to_bytes(4, "little") for i in self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        self.known[word] = ids
-        return ids
+        self.older: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
+
+    def _ids(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if len(text) > 1 and text[-1] in ".," and text[-2].isalpha() and text[-2] < _LATIN_END:  # letters and a stop are always two tokens' places
+            end = len(word) - 1
+            return self._get(word[:end]) + self._get(word[end:])
+        if text.isalpha() and max(text) < _LATIN_END and (low := text.lower()).isalpha():
+            return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters)))
+        return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
 
     def _get(self, word: bytes) -> bytes:
-        found = self.known.get(word)
-        return self._word(word) if found is None else found
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                ids = self._ids(word)
+            self.held += len(word) + len(ids) + ENTRY_BYTES
+            if self.held > self.half:
+                self.older, self.known, self.held = self.known, {}, 0
+            self.known[word] = ids
+        return ids
 
     def ids(self, raw: bytes) -> bytes:
         words = (raw if b"<|" in raw else raw.lower()).split()
@@ -74,14 +93,12 @@ class WordTokenizer:
         return b"".join(found)
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
+@lru_cache(maxsize=1)
+def _loaded(path: str):
+    """The tokenizer of a file, once a worker process."""
+    from tokenizers import Tokenizer
 
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer a worker process and file."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    return Tokenizer.from_file(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID) -> DataFrame:
@@ -89,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokenizer(tokenizer_path)
+        tokens = WordTokenizer(tokenizer_path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch, "text")):

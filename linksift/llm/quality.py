@@ -36,18 +36,9 @@ RANK = 6
 EPOCHS = 12
 THRESHOLD = 0.5
 FORM = 16
-CACHE_WORDS = 300_000
 _CAPS = bytes(range(65, 91))
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,'-")
 _DIGITS = b"0123456789"
-_places: dict[bytes, int] = {}
-
-
-def _place(word: bytes) -> int:
-    if len(_places) >= CACHE_WORDS:
-        _places.clear()
-    found = _places[word] = zlib.crc32(word) % WORDS
-    return found
 
 
 def _share(part: bytes, of: bytes) -> float:
@@ -79,9 +70,9 @@ def features(raw: bytes, extra: list[float]) -> tuple[np.ndarray, np.ndarray]:
     words = raw.split()
     counts = Counter(raw.lower().split())
     shape = form(raw, words, len(counts)) + extra
-    pairs = [(p if (p := _places.get(w)) is not None else _place(w), c) for w, c in counts.items()]
-    places = np.array([p for p, _ in pairs] + list(range(WORDS, WORDS + len(shape))), np.int32)
-    share = np.array([c for _, c in pairs], np.float32) / max(1, len(words))
+    hashed = np.fromiter(map(zlib.crc32, counts), np.int64, len(counts)) % WORDS
+    places = np.concatenate([hashed, np.arange(WORDS, WORDS + len(shape))]).astype(np.int32)
+    share = np.array(list(counts.values()), np.float32) / max(1, len(words))
     return places, np.concatenate([np.sqrt(share), np.array(shape, np.float32)])
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import struct
 import zlib
@@ -101,6 +102,20 @@ def test_local_search_offers_pieces_of_all_lengths():
     assert packing._exchange([0, 1], [3, 73], 1, lengths) == (1, (1, 0), (3,))
 
 
+def test_word_tokenizer_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(WORD_FILE)
+    words = ["naïve", "Élan", "ÉÉ.", "straße,", "İstanbul", "e\u0301t\u00e9.", "ﬁn", "日本。", "x.", "..", "é", "É", "a.b.", "don't", "don't.", "ŉ", "ǅ", "9é", "é9.", "ſ", "$$é", "\u00aa", "\u00b5m", "’s", "ÿ,", "ʼn", "ɐ"]
+    small, large = packing.WordTokenizer(WORD_FILE, 2000), packing.WordTokenizer(WORD_FILE)
+    random = np.random.default_rng(6)
+    for _ in range(300):
+        text = " ".join(random.choice(words) + random.choice(["", "", ".", ",", "'s", "Ä"]) for _ in range(30))
+        want = struct.pack(f"<{len(ids := whole.encode(text, add_special_tokens=False).ids)}I", *ids)
+        assert small.ids(text.encode()) == large.ids(text.encode()) == want
+    assert small.held <= 1000 and len(small.known) + len(small.older) < 20
+
+
 # 2. token counts
 
 def test_counts_equal_the_tokenizer(spark, docs, empty):
@@ -428,23 +443,25 @@ def test_near_dup_odd_rows(docs, empty):
 
 
 def test_blocks_find_links_of_a_crowded_bucket(spark):
-    """A bucket cut in many blocks keeps the links between blocks."""
+    """A bucket cut in many blocks keeps the candidates between blocks."""
     base = [f"w{i}" for i in range(60)]
-    members = []
+    members, texts = [], []
     for i in range(24):
         raw = " ".join(base[:50 + i % 8] + [f"x{i // 8}"] * (i % 3)).encode()
         found = near_dup.shingles(raw, 2)
-        members.append((1, i, len(found), bytearray(near_dup.registers(found).astype("<u2").tobytes()), raw.decode()))
-    keys = [near_dup.band_keys(np.frombuffer(bytes(m[3]), "<u2")) for m in members]
+        members.append((i, len(found), bytearray(near_dup.registers(found).astype("<u2").tobytes())))
+        texts.append((i, raw.decode()))
     shared = collections.defaultdict(list)
-    for m, k in zip(members, keys):
-        for key in k:
+    for m in members:
+        for key in near_dup.band_keys(np.frombuffer(bytes(m[2]), "<u2")):
             shared[int(key)].append(m)
-    rows_ = [(key, len(ms), m[1], m[1], m[2], m[3], m[4]) for key, ms in shared.items() if len(ms) > 1 for m in ms]
-    df = spark.createDataFrame(rows_, "key long, size long, rep long, comp long, n long, levels binary, text string")
-    want = components([(m[1], m[4]) for m in members], 2)
+    rows_ = [(key, len(ms), m[0], m[0], m[1], m[2]) for key, ms in shared.items() if len(ms) > 1 for m in ms]
+    df = spark.createDataFrame(rows_, "key long, size long, cls long, comp long, n long, levels binary")
+    want = components(texts, 2)
     for block in (2, 1024):
-        links = rows(near_dup.cross_links(df, 2, 80, block), "a", "b")
+        pairs = near_dup.cross_candidates(df, 80, block)
+        assert len(set(rows(pairs, "a", "b"))) == pairs.count()
+        links = rows(near_dup.confirmed(pairs, spark.createDataFrame(texts, "cls long, text string"), 2, 80), "ca", "cb")
         low = {i: i for i in range(24)}
         for _ in range(24):
             for a, b in links:
@@ -452,6 +469,44 @@ def test_blocks_find_links_of_a_crowded_bucket(spark):
         assert low == {i: c for i, (_, c) in want.items()}
 
 
+def brute_near(rows_, words, percent=80):
+    """component_id of each row by search over all pairs; rows of one id hang together."""
+    sets = []
+    for _, text in rows_:
+        parts = (text or "").lower().split()
+        sets.append({tuple(parts[i:i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set())
+    out = []
+    for k, (doc, _) in enumerate(rows_):
+        seen, stack = {k}, [k]
+        while stack:
+            i = stack.pop()
+            for j in range(len(rows_)):
+                alike = sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+                if j not in seen and rows_[j][0] is not None and rows_[i][0] is not None and (rows_[i][0] == rows_[j][0] or alike):
+                    seen.add(j)
+                    stack.append(j)
+        out.append((doc, len(sets[k]), min(rows_[i][0] for i in seen) if doc is not None else None))
+    return out
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(80)) for p in "abc")
+    base = [(9, b + " more"), (7, b), (7, a), (5, a + " more")]
+    tables = [list(p) for p in itertools.permutations(base)]
+    tables += [[(5, a), (9, a + " x"), (5, b), (10, b + " y"), (3, c), (3, None), (None, a), (2, ""), (2, c + " z")], [(4, ""), (4, a), (1, a), (1, a)]]
+    for at in range(0, len(tables), 7):
+        # Several tables in one run: their texts and ids are told apart.
+        shifted = [[(i if i is None else i + 100 * k, " ".join(f"{k}{w}" for w in t.split()) if t else t) for i, t in rows_] for k, rows_ in enumerate(tables[at:at + 7])]
+        told = [r for rows_ in shifted for r in rows_]
+        found = rows(near_dup.near_components(spark.createDataFrame(told, "doc_id long, text string"), 2), "doc_id", "n_shingles", "component_id")
+        assert sorted(found, key=str) == sorted(brute_near(told, 2), key=str)
+
+
+def test_keep_one_beside_any_column(spark):
+    table = spark.createDataFrame([(1, "a b c", 5), (2, "a b c", 6), (None, "a b c", 7)], "doc_id long, text string, _dropped int")
+    assert sorted(rows(near_dup.keep_one(table, 2), "doc_id", "_dropped"), key=str) == [(1, 5), (None, 7)]
+
+
 def test_sketches_merge_and_estimate():
     random = np.random.default_rng(8)
     pool = random.integers(0, 1 << 63, 3000).astype(np.uint64)
