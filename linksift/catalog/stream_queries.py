@@ -26,6 +26,16 @@ def batches_of(spark, sf, name, order, parts=3):
     return spark.readStream.schema(V.table(spark, sf, name).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def batches_in_turn(spark, rows, name, order, ends=None):
+    """``rows`` as a stream of micro-batches that follow each other in ``order``, a number: thirds, or up to each of ``ends``; a file each."""
+    path = scratch_path(spark, f"{name}-in")
+    ends = ends or rows.approxQuantile(order, [1 / 3, 2 / 3], 0.01)
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = rows if low is None else rows.filter(C(order) > low)
+        (part if high is None else part.filter(C(order) <= high)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _run(spark, stream, mode, name):
     return jobs.latest_result(stream, scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state"), mode)
 
@@ -68,19 +78,30 @@ def stream_stuck_runs(spark, sf):
     return _run(spark, jobs.stuck_run_alerts(log), "append", "stuck").withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("stream_silence", """WITH ok AS (SELECT user_id AS job, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS later FROM events WHERE event_type = 'purchase')
-  SELECT job, strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_success FROM ok WHERE coalesce(later >= ts + INTERVAL 24 HOUR, ts + INTERVAL 24 HOUR <= (SELECT max(ts) FROM ok) - INTERVAL 10 MINUTE)""")
+@query("stream_silence", """WITH log AS (SELECT CAST(user_id AS VARCHAR) AS job, ts, event_type = 'purchase' AS ok FROM events),
+  marks AS (SELECT DISTINCT job, ts, true AS ok FROM log WHERE ok UNION ALL SELECT job, min(ts), false FROM log GROUP BY job HAVING coalesce(min(ts) < min(ts) FILTER (ok), true)),
+  stretches AS (SELECT *, lead(ts) OVER (PARTITION BY job ORDER BY ts) AS later FROM marks)
+  SELECT job, CASE WHEN ok THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS last_success, strftime(ts + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') AS alert_at FROM stretches
+  WHERE coalesce(later >= ts + INTERVAL 24 HOUR, ts + INTERVAL 24 HOUR <= (SELECT max(ts) FROM log) - INTERVAL 10 MINUTE)""")
 def stream_silence(spark, sf):
-    """Users as jobs, purchases as their successes: who then had none for a day."""
-    log = stream_of(spark, sf, "events").select(C("user_id").alias("job"), F.when(C("event_type") == "purchase", "succeeded").otherwise("failed").alias("status"), C("ts").cast("timestamp").alias("at"))
-    return _run(spark, jobs.silence_alerts(log), "append", "silence").select("job", F.date_format("last_success", "yyyy-MM-dd HH:mm:ss").alias("last_success"))
+    """Users as jobs, purchases as their successes: who then, or from their first event on, had none for a day. Three batches."""
+    rows = V.table(spark, sf, "events").select("user_id", "event_type", C("ts").cast("timestamp").alias("at")).withColumn("second", F.unix_seconds("at"))
+    log = batches_in_turn(spark, rows, "silence", "second").select(C("user_id").alias("job"), F.when(C("event_type") == "purchase", "succeeded").otherwise("failed").alias("status"), "at")
+    told = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return _run(spark, jobs.silence_alerts(log), "append", "silence").select("job", told("last_success"), told("alert_at"))
 
 
-@query("stream_reputation", """SELECT CAST(l_suppkey AS VARCHAR) AS id, round(list_reduce(list(CAST(l_extendedprice % 101 AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_partkey), lambda a, b: (a + b) / 2), 9) AS quality_score, count(*) AS events_found FROM lineitem GROUP BY l_suppkey""")
+@query("stream_reputation", """WITH folds AS (SELECT l_suppkey, list(CAST(l_extendedprice % 101 AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_partkey) AS xs FROM lineitem GROUP BY l_suppkey)
+  SELECT CAST(l_suppkey AS VARCHAR) AS id, round(list_reduce(CASE WHEN l_suppkey % 2 = 0 THEN list_prepend(40.0, xs) ELSE xs END, lambda a, b: (a + b) / 2), 9) AS quality_score,
+    CAST(len(xs) + CASE WHEN l_suppkey % 2 = 0 THEN 14 ELSE 0 END AS BIGINT) AS events_found FROM folds""")
 def stream_reputation(spark, sf):
+    """Three batches folded into a table in which every other supplier is stored already, in two versions."""
     tables = Tables(spark, scratch_path(spark, "reputation"))
     none = F.lit(None).cast("string")
-    rows = stream_of(spark, sf, "lineitem").select(
+    stored = V.table(spark, sf, "lineitem").filter("l_suppkey % 2 = 0").select(C("l_suppkey").cast("string").alias("id")).distinct()
+    for _ in range(2):
+        tables.save_sources(stored.withColumns({"quality_score": F.lit(40.0), "noise_rate": F.lit(0.1), "events_found": F.lit(7).cast("long")}))
+    rows = batches_in_turn(spark, V.table(spark, sf, "lineitem"), "reputation", "l_orderkey").select(
         C("l_suppkey").cast("string").alias("id"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"), (C("l_extendedprice") % 101).alias("quality_score"), C("l_discount").alias("noise_rate"),
         F.lit(75.0).alias("freshness_score"), F.lit(1).cast("long").alias("events_found"), F.lit(0).cast("long").alias("recommended_events"), C("l_shipdate").cast("timestamp").alias("last_seen"),
         F.lit("organizer_site").alias("source_type"), none.alias("name"), none.alias("url"), none.alias("handle"))
@@ -97,13 +118,22 @@ def stream_upsert(spark, sf):
     return tables.read("queries").select("id", "query_text", "budget_cost")
 
 
-@query("stream_picks", "SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CAST((o_orderkey * 37) % 101 AS DOUBLE) AS score FROM orders WHERE o_orderdate > TIMESTAMP '1998-06-15 12:00:00' AND o_orderdate <= TIMESTAMP '1998-07-15 12:00:00' AND (o_orderkey * 37) % 101 >= 60 ORDER BY 2 DESC, 1 LIMIT 20")
+_PICKS = ["""WITH fit AS (SELECT o_orderkey, o_custkey, o_orderpriority, CAST(o_orderdate AS DATE) AS day, o_orderkey % 3 AS batch, CAST((o_orderkey * 37) % 101 AS DOUBLE) AS score FROM orders
+    WHERE o_orderdate > TIMESTAMP '1998-06-15 12:00:00' AND o_orderdate <= TIMESTAMP '1998-07-15 12:00:00' AND (o_orderkey * 37) % 101 >= 60)"""]
+for _k in range(3):
+    _earlier = " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(_k))
+    _fresh = f"AND NOT EXISTS (SELECT 1 FROM ({_earlier}) AS p WHERE p.o_custkey = fit.o_custkey OR (p.o_orderpriority = fit.o_orderpriority AND p.day = fit.day))" if _k else ""
+    _PICKS.append(f"p{_k} AS (SELECT * FROM fit WHERE batch = {_k} {_fresh} ORDER BY score DESC, CAST(o_orderkey AS VARCHAR) LIMIT 20)")
+
+
+@query("stream_picks", ", ".join(_PICKS) + "SELECT CAST(o_orderkey AS VARCHAR) AS record_id, score FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)")
 def stream_picks(spark, sf):
+    """Three batches of orders; a customer is a url, a priority a title. What repeats a pick of an earlier batch is not picked again."""
     tables = Tables(spark, scratch_path(spark, "picks"))
-    o = stream_of(spark, sf, "orders")
+    o = batches_in_turn(spark, V.table(spark, sf, "orders").withColumn("batch", C("o_orderkey") % 3), "picks", "batch", [0, 1])
     none = F.lit(None).cast("string")
-    url = F.concat(F.lit("https://shop.example.com/o/"), "o_orderkey")
+    url = F.concat(F.lit("https://shop.example.com/c/"), "o_custkey")
     rows = o.select(C("o_orderkey").cast("string").alias("id"), url.alias("canonical_url"), F.array(url).alias("source_urls"), C("o_orderpriority").alias("title"), C("o_orderdate").cast("timestamp").alias("start_at"), none.alias("timezone"),
-                    none.alias("city"), F.array("o_orderstatus").alias("hosts"), F.array().cast("array<string>").alias("organizers"), ((C("o_orderkey") * 37) % 101).cast("double").alias("score"))
+                    none.alias("city"), F.array().cast("array<string>").alias("hosts"), F.array().cast("array<string>").alias("organizers"), ((C("o_orderkey") * 37) % 101).cast("double").alias("score"))
     jobs.pick_new(rows, tables, V.ORDER_RULES, V.AS_OF, 20, scratch_path(spark, "picks-state")).awaitTermination()
     return tables.read("picks").select("record_id", "score")

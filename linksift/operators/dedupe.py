@@ -203,6 +203,16 @@ def dedupe_records(records: DataFrame, seq: str = "seq") -> DataFrame:
 # History matching -----------------------------------------------------------------------
 
 
+def record_nodes(records: DataFrame) -> DataFrame:
+    """``records`` with what duplicates are found by: key, tokens, city, date, urls, names, and the content's ``node``."""
+    return _nodes(records)
+
+
+def verified_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, names_left: DataFrame, names_right: DataFrame) -> DataFrame:
+    """Of ``pairs`` (x, y), those whose contents agree in city, time and title or organizer."""
+    return _verified(pairs, left, right, names_left, names_right)
+
+
 def matching_ids(records: DataFrame, others: DataFrame, urls: DataFrame | None = None) -> DataFrame:
     """Ids of ``records`` that look like a duplicate of any row of ``others`` (url or fuzzy).
 

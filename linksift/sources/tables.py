@@ -23,7 +23,7 @@ UPDATE_COLS = {
 }
 
 #: Tables that hold the order of their rows.
-ORDERED = ["links", "records", "record_sources", "queries", "source_edges"]
+ORDERED = ["links", "records", "record_sources", "queries", "source_edges", "sources"]
 
 
 def _order(df: DataFrame, seq: str) -> Column:
@@ -118,7 +118,18 @@ class Tables:
     def save_sources(self, batch: DataFrame) -> int:
         from ..operators.reputation import merge_reputation
 
-        return self.replace("sources", merge_reputation(self.read("sources"), self._shape("sources", batch)))
+        return self.replace("sources", merge_reputation(self._stored("sources"), self._shape("sources", batch)))
+
+    def fold_sources(self, rows: DataFrame, seq: str, mark: int) -> int:
+        """Source rows folded into the stored ones in ``seq`` order; a batch with the same or a smaller ``mark`` than a stored row's changes nothing there."""
+        from ..operators.reputation import fold_into
+
+        return self.replace("sources", fold_into(self._stored("sources"), rows, seq, mark))
+
+    def last_mark(self, name: str) -> int:
+        """The largest order that a stored row has; -1 without any."""
+        found = self._stored(name).agg(F.max("_seq")).first()[0]
+        return -1 if found is None else found
 
     def save_edges(self, edges: DataFrame, seq: str) -> int:
         return self.upsert("source_edges", edges, seq)

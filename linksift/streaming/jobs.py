@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,9 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import urls as U
 from ..functions.coerce import FEEDBACK_LABELS
 from ..functions.rules import Rules
-from ..operators.reputation import merge_reputation, reputation
-from ..plans.history import split_by_history
 from ..plans.links import assess_links
+from ..plans.pick_index import PickIndex
 from ..plans.scoring import picks as pick_rows
 from ..session import cut_lineage
 from ..sources.tables import Tables
@@ -92,14 +92,50 @@ def stuck_run_alerts(run_log: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def silence_alerts(run_log: DataFrame, hours: int = 24, job: str = "job", late: str = "10 minutes") -> DataFrame:
-    """(job, last_success, alert_at) for each stretch of ``hours`` of event time after a success without another.
+    """(job, last_success, alert_at) for each stretch of ``hours`` of event time of a job without a success.
 
-    Successes less than that apart form one session; it ends ``hours`` after its last success, and
-    is emitted once the watermark has passed its end. State is one open session for each job.
+    A stretch begins with a success or, for a job that has had none, with its first row of any
+    status; ``last_success`` is null then. State is one row for each job. Rows without a job or a time
+    are left out. A micro-batch's rows of a job count through their times only. How rows fall into
+    batches does not matter, as long as none is later than the watermark allows.
     """
-    ok = run_log.filter("status = 'succeeded' and at is not null").withWatermark("at", late)
-    sessions = ok.groupBy(job, F.session_window("at", f"{hours} hours").alias("_s")).agg(F.max("at").alias("last_success"))
-    return sessions.select(job, "last_success", F.col("_s.end").alias("alert_at"))
+    span = hours * 3600 * 1_000_000
+
+    def alert(name: str, since: int, succeeded: bool) -> tuple:
+        return name, pd.Timestamp(since, unit="us") if succeeded else pd.NaT, pd.Timestamp(since + span, unit="us")
+
+    def rows(found: list[tuple]) -> pd.DataFrame:
+        told = pd.DataFrame(found, columns=["job", "last_success", "alert_at"])
+        return told.astype({"last_success": "datetime64[us]", "alert_at": "datetime64[us]"})
+
+    def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since, succeeded, told = state.get if state.exists else (None, False, False)
+        found: list[tuple] = []
+        if state.hasTimedOut:
+            found.append(alert(key[0], since, succeeded))
+            told = True
+        else:
+            first, wins = None, []
+            for pdf in batches:
+                at = pdf["at"].astype("datetime64[us]").astype("int64")
+                first = int(at.min()) if first is None else min(first, int(at.min()))
+                wins.append(np.unique(at[pdf["status"] == "succeeded"]))
+            if since is None or (not succeeded and not told and first < since):
+                since = first
+            for at in np.unique(np.concatenate(wins)).tolist():
+                if at - since >= span and not told:
+                    found.append(alert(key[0], since, succeeded))
+                if at >= since:
+                    since, succeeded, told = at, True, False
+        state.update((since, succeeded, told))
+        if not told:
+            state.setTimeoutTimestamp(max((since + span) // 1000, state.getCurrentWatermarkMs() + 1))
+        if found:
+            yield rows(found)
+
+    known = run_log.filter(F.col(job).isNotNull() & F.col("at").isNotNull()).select(F.col(job).cast("string").alias("job"), "status", "at").withWatermark("at", late)
+    return known.groupBy("job").applyInPandasWithState(track, "job string, last_success timestamp, alert_at timestamp", "since long, succeeded boolean, told boolean", "append",
+                                                       GroupStateTimeout.EventTimeTimeout).withColumnRenamed("job", job)
 
 
 def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -107,18 +143,42 @@ def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def pick_new(scored: DataFrame, tables: Tables, rules: Rules, as_of: datetime, limit: int, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Never recommend twice: each batch is split by the stored history before its picks are saved.
+def _first_mark(spark: SparkSession, checkpoint: str, last: Callable[[], int]) -> int:
+    """The mark of a stream's batch 0: after the ``last`` mark that stood in the table when the stream first started.
 
-    The picked records are stored before their picks, as later batches compare urls and titles with
-    them; a record without a pick suppresses nothing, so a batch that fails in between can be
-    replayed. It offers the same pick ids again, and ``save_picks`` leaves stored ones alone.
+    It is kept beside the checkpoint, so a restarted stream goes on with its own marks, and a batch that
+    is replayed has the mark it had.
     """
+    path = f"{checkpoint.rstrip('/')}-first-mark"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        spark.createDataFrame([(last() + 1,)], "mark long").coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.schema("mark long").parquet(path).first()["mark"]
+
+
+def pick_new(scored: DataFrame, tables: Tables, rules: Rules, as_of: datetime, limit: int | None, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Never recommend twice: each batch probes the index of earlier picks, and its own picks are added to it.
+
+    The index holds urls, ids and title tokens of picked records (see ``PickIndex``), so a batch reads
+    the parts of it that its keys fall in, and no stored record is prepared again. A batch's entries
+    are written before its picks, under its own number. A batch that fails in between is replayed: it overlooks the
+    entries of its own number, picks the same records and writes them in place. ``save_picks``
+    leaves stored picks alone.
+    """
+    index = PickIndex(tables.spark, f"{tables.root}/pick_index")
+
+    if not index.exists():  # picks from before the index
+        index.add(tables.read("records").join(tables.read("picks").select(F.col("record_id").alias("id")).distinct(), "id", "left_semi"), -1)
+    first = _first_mark(tables.spark, checkpoint, index.last_batch)
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        eligible, _ = split_by_history(batch, tables.read("picks"), tables.read("records"))
-        best = cut_lineage(pick_rows(eligible, rules, as_of, limit))
-        tables.save_records(batch.join(best.select("id"), "id", "left_semi").withColumn("_batch", F.lit(batch_id)), "_batch")
-        run = F.lit(f"stream-{batch_id}")
+        mark, rows = first + batch_id, cut_lineage(batch)
+        repeated = index.repeated(rows, before=mark)
+        best = cut_lineage(pick_rows(rows.join(repeated, "id", "left_anti"), rules, as_of, limit))
+        chosen = rows.join(best.select("id"), "id", "left_semi")
+        index.add(chosen, mark)
+        tables.save_records(chosen.withColumn("_batch", F.lit(mark)), "_batch")
+        run = F.lit(f"stream-{mark}")
         tables.save_picks(best.select(
             F.concat_ws(":", run, F.col("id")).alias("pick_id"), run.alias("run_id"), F.col("id").alias("record_id"), F.col("score").cast("double").alias("score"),
             F.lit(None).cast("string").alias("reason"), F.lit(as_of).cast("timestamp").alias("created_at")))
@@ -127,20 +187,15 @@ def pick_new(scored: DataFrame, tables: Tables, rules: Rules, as_of: datetime, l
 
 
 def keep_reputation(rows: DataFrame, tables: Tables, checkpoint: str, seq: str = "seq", available_now: bool = True) -> StreamingQuery:
-    """Source reputation as running state in the ``sources`` table.
+    """Source reputation as running state in the ``sources`` table, rows folded in one after another.
 
-    A batch is folded in ``seq`` order with bounded gathering, then merged with the stored
-    row. Version numbers follow the batch id, so a replay rebuilds the same version from the
-    one before it.
+    The stored rows are the state: a batch is folded into an affine map for each source, over all tasks a hot
+    source spans, and goes on from the stored half-means, also from rows that other jobs saved between
+    batches. Rows keep the mark of their last batch, so a batch that is replayed changes nothing. One
+    stream at a time may write a table.
     """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        labels = ("source_type", "name", "url", "handle")
-        first = batch.groupBy("id").agg(F.min_by(F.struct(*labels), F.col(seq)).alias("_first")).select("id", "_first.*")
-        folded = reputation(batch, ["id"], seq).join(first, "id")
-        before = tables.read("sources", batch_id - 1) if batch_id else tables.read("sources", -1)
-        tables.replace("sources", merge_reputation(before, tables._shape("sources", folded)), batch_id)
-
-    return _start(rows, step, checkpoint, available_now)
+    first = _first_mark(tables.spark, checkpoint, lambda: tables.last_mark("sources"))
+    return _start(rows, lambda batch, batch_id: tables.fold_sources(batch, seq, first + batch_id) and None, checkpoint, available_now)
 
 
 def keep_table(rows: DataFrame, tables: Tables, name: str, checkpoint: str, seq: str, available_now: bool = True) -> StreamingQuery:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linksift.functions import rules as R
 from linksift.operators import dedupe, joins, ranking, reputation, rollups, similarity, upsert
 from linksift.plans import batch, history, links, scoring
+from linksift.plans.pick_index import PickIndex
 from linksift.sources import landed, snapshot
 from linksift.sources.tables import Tables
 from linksift.streaming import jobs
@@ -175,6 +176,73 @@ def test_half_mean_fold_over_long_keys(spark):
     assert got == {"k": round(acc, 9), "one": 40.0}
 
 
+def test_half_mean_maps_compose_over_tasks(spark):
+    rnd = random.Random(5)
+    rows = [(key, i, rnd.choice([None, rnd.uniform(0, 100)]), rnd.uniform(0, 1)) for key in ("hot",) * 40 + ("a", "b", None) for i in range(rnd.randint(1, 60))]
+    rows = [(k, at, q, w) for at, (k, _, q, w) in enumerate(rows)]
+    want = {}
+    for k, _, *values in rows:
+        for v, x in enumerate(values):
+            if x is not None:
+                want[k, v] = (want[k, v] + x) / 2 if (k, v) in want else x
+    df = spark.createDataFrame(rows, "k string, seq int, q double, w double").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    for partitions in (1, 6):
+        maps = reputation.half_mean_maps(df, ["k"], "seq", ["q", "w"], partitions)
+        got = {
+            (r["k"], v): r[c] for r in maps.select("k", reputation.half_mean(F.col("q")).alias("q"), reputation.half_mean(F.col("w")).alias("w")).collect() for v, c in enumerate("qw") if r[c] is not None}
+        assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+SOURCE_ROW = "id string, seq int, quality_score double, noise_rate double, freshness_score double, events_found long, recommended_events long, last_seen timestamp, source_type string, name string, url string, handle string"
+
+
+def test_reputation_goes_on_from_stored_rows(spark, tmp_path):
+    """Three batches equal one, stored versions stay, a replay changes nothing, and rows saved in between count."""
+    at = datetime(2024, 5, 1)
+    rows = [(key, i, float(10 * i % 97), 0.25, 75.0 + i % 3, 1, i % 2, at + timedelta(days=i), "x", f"{key}{i}", None, None) for i in range(30) for key in ("new", "old")]
+    rows += [("null", 31, None, None, None, None, None, None, None, None, None, None), (None, 32, 1.0, 1.0, 1.0, 1, 1, at, "x", None, None, None)]
+    df = spark.createDataFrame(rows, SOURCE_ROW)
+    found = []
+    for ends in ([40], [9, 20, 40]):
+        tables = Tables(spark, str(tmp_path / str(len(ends))))
+        for quality in (80.0, 40.0):
+            tables.save_sources(spark.createDataFrame([("old", quality, 5), ("kept", quality, 1)], "id string, quality_score double, events_found long"))
+        assert tables.versions("sources") == [0, 1]
+        low = -1
+        for mark, high in enumerate(ends):
+            batch = df.filter((F.col("seq") > low) & (F.col("seq") <= high))
+            for _ in range(2):
+                tables.fold_sources(batch, "seq", mark)
+            low = high
+        assert tables.read("sources", 1).filter("id = 'old'").first()["quality_score"] == 60.0
+        assert tables.last_mark("sources") == len(ends) - 1
+        found.append(sorted(map(str, tables.read("sources").withColumns({c: F.round(c, 9) for c in ("quality_score", "noise_rate")}).collect())))
+    assert found[0] == found[1] and len(found[0]) == 4
+    acc = 60.0
+    for r in rows[:60]:
+        acc = (acc + r[2]) / 2 if r[0] == "old" else acc
+    last = {r["id"]: r for r in tables.read("sources").collect()}
+    assert round(last["old"]["quality_score"], 9) == round(acc, 9) and last["old"]["events_found"] == 40 and last["kept"]["quality_score"] == 60.0
+    assert (last["new"]["name"], last["new"]["last_seen"]) == ("new0", at + timedelta(days=29))
+    tables.save_sources(spark.createDataFrame([("old", 0.0, 2)], "id string, quality_score double, events_found long"))
+    tables.fold_sources(df.filter("seq = 29"), "seq", 3)  # a later batch
+    again = tables.read("sources").filter("id = 'old'").first()
+    assert again["events_found"] == 43 and round(again["quality_score"], 9) == round((acc / 2 + rows[58][2]) / 2, 9)
+
+
+def test_reputation_stream_restarts(spark, tmp_path):
+    """A stream over a stored table, stopped and started again with more rows."""
+    tables = Tables(spark, str(tmp_path / "tables"))
+    tables.save_sources(spark.createDataFrame([("a", 40.0)], "id string, quality_score double"))
+    for i, x in enumerate((80.0, 20.0, 60.0)):
+        row = ("a", i, x, 0.5, 75.0, 1, 0, datetime(2024, 5, 1), "x", None, None, None)
+        spark.createDataFrame([row], SOURCE_ROW).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.keep_reputation(spark.readStream.schema(SOURCE_ROW).parquet(str(tmp_path / "in")), tables, str(tmp_path / "state")).awaitTermination()
+    row = tables.read("sources").first()
+    assert (row["quality_score"], row["events_found"]) == (50.0, 3) and tables.versions("sources") == [0, 1, 2, 3]
+
+
 def test_daily_budget_in_summer(spark):
     runs = spark.sql("SELECT timestamp '2024-07-02 06:30:00' AS started_at, 2L AS x_posts_read UNION ALL SELECT timestamp '2024-07-02 07:30:00', 3L UNION ALL SELECT timestamp '2024-01-02 07:30:00', 5L")
     got = {str(r["day"]): r["used"] for r in jobs.daily_budget(runs).collect()}
@@ -192,6 +260,71 @@ def test_stream_never_picks_a_repeat(spark, tmp_path):
     assert sorted(r["record_id"] for r in tables.read("picks").collect()) == ["a", "c"]
 
 
+def test_pick_index_agrees_with_the_whole_history(spark, tmp_path):
+    """Repeats found through the index, batch by batch, are those found by comparing with all picks."""
+    rnd = random.Random(3)
+    words = "potters glaziers night swim river walk founder dinner makers supper open studio late jazz".split()
+
+    def some(first, n):
+        rows = []
+        for i in range(first, first + n):
+            title = " ".join(rnd.sample(words, rnd.randint(1, 5)))
+            start = None if rnd.random() < 0.1 else datetime(2024, 6, 20) + timedelta(hours=rnd.choice([0, 1, 2, 3, 4, 23, 26, 50, 51, 300]))
+            url = rnd.choice([None, "", f"https://x.example.com/{rnd.randint(0, 60)}", f"https://www.x.example.com/{rnd.randint(0, 60)}/?utm_source=a"])
+            city = rnd.choice([None, "", "SF", "San Francisco", "Oakland"])
+            rows.append((str(i), url, [u for u in [url] if u], rnd.choice([title, title, None]), start, rnd.choice([None, "America/Los_Angeles"]), city, rnd.sample(["ann", "bob"], rnd.randint(0, 2)), [], 90.0))
+        return rows
+
+    columns = "id string, canonical_url string, source_urls array<string>, title string, start_at timestamp, timezone string, city string, hosts array<string>, organizers array<string>, score double"
+    index = PickIndex(spark, str(tmp_path / "index"))
+    assert index.last_batch() == -1
+    told = []
+    for batch in range(3):
+        fresh = some(100 * batch, 40) + ([told[0]] if told else [])
+        rows = spark.createDataFrame(fresh, columns)
+        got = {r["id"] for r in index.repeated(rows, batch).collect()}
+        old = spark.createDataFrame(told, columns)
+        want = {r["id"] for r in history.repeated_ids(rows, old.select(F.col("id").alias("record_id")), old).collect()} if told else set()
+        assert got == want and (batch == 0 or 0 < len(want) < 41)
+        chosen = rows.filter(F.col("id").cast("int") % 2 == 0)
+        for _ in range(2):  # a replay overlooks its own entries and replaces them
+            assert {r["id"] for r in index.repeated(rows, batch).collect()} == want
+            index.add(chosen, batch)
+        told += [r for r in fresh if int(r[0]) % 2 == 0]
+        entries = spark.read.parquet(str(tmp_path / "index" / "entries"))
+        assert entries.count() == entries.distinct().count() and index.last_batch() == batch
+
+
+def test_pick_index_reads_the_days_of_a_batch(spark, tmp_path):
+    """Rows read for a batch do not grow with picks of other days."""
+    columns = "id string, canonical_url string, source_urls array<string>, title string, start_at timestamp, timezone string, city string, hosts array<string>, organizers array<string>"
+    index = PickIndex(spark, str(tmp_path / "index"))
+    sizes = []
+    for batch in range(3):
+        days = spark.range(200).selectExpr(f"concat({batch}, '-', id) AS id", "CAST(NULL AS string) AS canonical_url", "CAST(array() AS array<string>) AS source_urls", "concat('supper number', id) AS title",
+                                           f"timestamp '2024-06-20 12:00:00' + make_interval(0, 0, 0, {100 * batch} + CAST(id AS int) % 5) AS start_at", "CAST(NULL AS string) AS timezone", "'sf' AS city",
+                                           "CAST(array() AS array<string>) AS hosts", "CAST(array() AS array<string>) AS organizers")
+        index.add(spark.createDataFrame(days.collect(), columns), batch)
+        first = str(19894)  # 2024-06-20
+        sizes.append(index.read("entries", [first]).count())
+        assert "PartitionFilters" in index.read("entries", [first])._jdf.queryExecution().toString()
+    assert sizes[0] == sizes[1] == sizes[2] > 0
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_silence_of_jobs_with_and_without_success(spark, tmp_path, files):
+    log = [("never", "failed", 0), ("never", "failed", 20), ("never", "failed", 30), ("old", "succeeded", 1), ("old", "failed", 28), ("old", "succeeded", 40), ("fine", "failed", 2), ("fine", "succeeded", 20),
+           ("fine", "succeeded", 40), ("new", "failed", 41), ("late first", "failed", 3), ("late first", "succeeded", 29), ("end", "running", 60), (None, "failed", 5), ("never", "failed", None)]
+    rows = sorted(((j, s, None if h is None else datetime(2024, 7, 1) + timedelta(hours=h)) for j, s, h in log), key=lambda r: (r[2] is None, r[2]))
+    schema = "job string, status string, at timestamp"
+    for k in range(files):
+        spark.createDataFrame(rows[len(rows) * k // files:len(rows) * (k + 1) // files], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    out = jobs.latest_result(jobs.silence_alerts(stream), str(tmp_path / "out"), str(tmp_path / "state"), "append").collect()
+    hour = lambda t: None if t is None else int((t - datetime(2024, 7, 1)).total_seconds() // 3600)
+    assert len(out) == 4 and {(r["job"], hour(r["last_success"]), hour(r["alert_at"])) for r in out} == {("late first", None, 27), ("late first", 29, 53), ("never", None, 24), ("old", 1, 25)}
+
+
 def test_similarity_pairs_miss_nothing(spark):
     rnd = random.Random(11)
     sets = {f"n{i}": sorted(rnd.sample([f"t{j}" for j in range(14)], rnd.randint(1, 9))) for i in range(70)}
