@@ -8,8 +8,9 @@ which classes meet; a similarity of 0.8 misses every one of the 40 bands once in
 
 Links are found without listing the pairs of a bucket. First each member is compared with its
 bucket's hub, the class of the smallest number. Connected classes then count as one component. Only
-buckets that still hold several components are searched again, in blocks of about BLOCK members,
-by their registers alone, and only candidates across components come out. A pair is a candidate if
+buckets that still hold several components are searched again, in blocks of about BLOCK members:
+by registers alone for members with candidates in another component, then, with the texts of those
+members, for links across components. A pair is a candidate if
 the joint likelihood of both sketches puts its similarity at SLACK below the threshold or above (four
 standard errors, so a true link is left out once in 30,000 pairs at the threshold itself); every
 candidate is confirmed on the full sets, from one text of each class. Components are then the same as
@@ -25,6 +26,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -177,62 +179,109 @@ def confirmed(edges: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return cut_lineage(arrow_map(joined, confirm, edges.schema))
 
 
-def cross_candidates(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b, ca, cb) of classes, and their components, that may be linked across components; each once.
+class _Group:
+    """Members of a bucket in one block, or in two blocks that meet."""
 
-    ``members`` has (key, size, cls, comp, n, levels) for buckets with several components. Buckets
-    are cut into blocks by hash; a task compares one block with itself or another, so a bucket of
-    any size spreads over tasks of bounded memory. Registers alone are compared; a pair that shares
-    several buckets is tried in the first only.
-    """
-    threshold = percent / 100
-    least = _likely(threshold)
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    spread = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp", "n", "levels")
+    def __init__(self, rows: list, threshold: float):
+        key, i, j, own, cls, comp, n, levels = list(zip(*rows))[:8]
+        self.cls, self.comp, self.n, own = np.array(cls), np.array(comp), np.array(n, float), np.array(own)
+        self.levels = np.frombuffer(b"".join(levels), "<u2").reshape(-1, REGISTERS)
+        self.band = int(np.flatnonzero(band_keys(self.levels[0]) == key[0])[0])
+        self.left, self.right, self.same = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0]), i[0] == j[0]
+        self.threshold, self.least = threshold, _likely(threshold)
 
-    def compare(rows: list) -> Iterator[tuple[np.ndarray, ...]]:
-        key, i, j, own, cls, comp, n, levels = zip(*rows)
-        cls, comp, n, own = np.array(cls), np.array(comp), np.array(n, float), np.array(own)
-        levels = np.frombuffer(b"".join(levels), "<u2").reshape(-1, REGISTERS)
-        band = int(np.flatnonzero(band_keys(levels[0]) == key[0])[0])
-        right, same = np.flatnonzero(own == j[0]), i[0] == j[0]
-        for x in np.flatnonzero(own == i[0]):
-            ys = right[(comp[right] != comp[x]) & ((cls[right] > cls[x]) | (not same))]
-            ys = ys[np.minimum(n[ys], n[x]) >= threshold * np.maximum(n[ys], n[x]) - 1e-6]
+    def candidates(self, root: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(x, ys) that may be linked though their ``root`` differs, the most similar first; a pair that shares several buckets is of the first."""
+        cls, n, levels, least = self.cls, self.n, self.levels, self.least
+        for x in self.left:
+            ys = self.right[(root[self.right] != root[x]) & ((cls[self.right] > cls[x]) | (not self.same))]
+            ys = ys[np.minimum(n[ys], n[x]) >= self.threshold * np.maximum(n[ys], n[x]) - 1e-6]
             if not len(ys):
                 continue
             alike = levels[ys] == levels[x]
             equal = alike.sum(1)
-            first = (equal >= (least - 0.05) * REGISTERS) & (alike.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band)
+            first = (equal >= (least - 0.05) * REGISTERS) & (alike.reshape(-1, BANDS, ROWS).all(2).argmax(1) == self.band)
             ys, equal = ys[first], equal[first]
             if not len(ys):
                 continue
             above = (levels[x] > levels[ys]).sum(1)
-            ys = ys[likely_similarity(equal, above, REGISTERS - equal - above, np.full(len(ys), n[x]), n[ys]) >= least]
+            similar = likely_similarity(equal, above, REGISTERS - equal - above, np.full(len(ys), n[x]), n[ys])
+            ys = ys[np.argsort(-similar, kind="stable")][: int((similar >= least).sum())]
             if len(ys):
-                yield np.full(len(ys), cls[x]), cls[ys], np.full(len(ys), comp[x]), comp[ys]
+                yield int(x), ys
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list = []
-        names = ["a", "b", "ca", "cb"]
 
-        def ended() -> Iterator[pa.RecordBatch]:
-            for found in compare(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names)
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Rows of each (key, i, j), which are the first columns; rows come sorted."""
+    every = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for _, rows in groupby(every, key=lambda row: row[:3]):
+        yield list(rows)
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and rows[-1][:3] != row[:3]:
-                    yield from ended()
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield from ended()
 
+_GROUP = "key long, i int, j int, own int, cls long, comp long, n long, levels binary"
+
+
+def open_members(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """The members of each pair of blocks that have a candidate in another component; written once.
+
+    ``members`` has (key, size, cls, comp, n, levels) for buckets with several components. Buckets
+    are cut into blocks by hash, and a task compares one block with itself or another, so a bucket
+    of any size spreads over tasks of bounded memory. Registers alone are sent and compared.
+    """
+    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    spread = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp", "n", "levels")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            group, met = _Group(rows, percent / 100), set()
+            for x, ys in group.candidates(group.comp):
+                met.add(x)
+                met.update(ys.tolist())
+            if met:
+                columns = zip(*(rows[k] for k in sorted(met)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    names = [part.split()[0] for part in _GROUP.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cut_lineage(arrow_map(dealt, run, "a long, b long, ca long, cb long"))
+    return cut_lineage(arrow_map(dealt, run, _GROUP))
+
+
+def cross_links(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components, from ``open_members`` and (cls, text).
+
+    Texts go with members that have candidates, once for each pair of blocks they have them in. A task
+    confirms its candidates and leaves out those that its own links have joined, so a group of
+    near copies costs no pair but its links. Only links leave the task.
+    """
+    def compare(rows: list) -> set[tuple[int, int]]:
+        group = _Group(rows, percent / 100)
+        root, links, sets = group.comp.copy(), set(), {}
+
+        def members_of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles((rows[k][8] or "").encode("utf-8", "surrogatepass"), words)
+            return sets[k]
+
+        for x, ys in group.candidates(root):
+            for y in ys.tolist():
+                if root[y] == root[x]:
+                    continue
+                common = len(np.intersect1d(members_of(x), members_of(y), assume_unique=True))
+                if 100 * common >= percent * (group.n[x] + group.n[y] - common):
+                    links.add((int(min(group.comp[x], group.comp[y])), int(max(group.comp[x], group.comp[y]))))
+                    root[root == root[y]] = root[x]
+        return links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            links = sorted(compare(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = members.join(texts, "cls").select(*(part.split()[0] for part in _GROUP.split(", ")), "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return cut_lineage(arrow_map(dealt, run, "a long, b long").distinct())
 
 
 def near_components(docs: DataFrame, words: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,8 +309,7 @@ def near_components(docs: DataFrame, words: int, percent: int = 80, id_col: str
     placed = met.join(first, "cls", "left").select("key", "size", "cls", F.coalesce("comp", "cls").alias("comp"))
     several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
     open_ = placed.join(cut_lineage(several), "key").join(classes.select("cls", "n", "levels"), "cls")
-    across = confirmed(cross_candidates(open_, percent), texts, words, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = connected_components(across).withColumnsRenamed({"vertex": "comp", "component": "last"})
+    merged = connected_components(cross_links(open_members(open_, percent), texts, words, percent)).withColumnsRenamed({"vertex": "comp", "component": "last"})
 
     grouped = classes.select("class", "cls", F.col("pick.doc_id").alias("least")).join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     grouped = grouped.join(merged, "comp", "left").select("class", "least", F.coalesce("last", "comp").alias("group"))

@@ -459,9 +459,7 @@ def test_blocks_find_links_of_a_crowded_bucket(spark):
     df = spark.createDataFrame(rows_, "key long, size long, cls long, comp long, n long, levels binary")
     want = components(texts, 2)
     for block in (2, 1024):
-        pairs = near_dup.cross_candidates(df, 80, block)
-        assert len(set(rows(pairs, "a", "b"))) == pairs.count()
-        links = rows(near_dup.confirmed(pairs, spark.createDataFrame(texts, "cls long, text string"), 2, 80), "ca", "cb")
+        links = rows(near_dup.cross_links(near_dup.open_members(df, 80, block), spark.createDataFrame(texts, "cls long, text string"), 2, 80), "a", "b")
         low = {i: i for i in range(24)}
         for _ in range(24):
             for a, b in links:
