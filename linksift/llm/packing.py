@@ -33,7 +33,7 @@ BUCKET_PIECES = 4096
 #: A sequence filled less than this share is opened again in the next round.
 REOPEN_BELOW = 0.97
 #: Memory for the ids of frequent words, in a task, about; and of an entry besides its word and ids.
-CACHE_BYTES, ENTRY_BYTES = 16 << 20, 180
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 180
 #: Letters up to here have one form in all Unicode versions.
 _LATIN_END = "\u0250"
 
