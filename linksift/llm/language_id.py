@@ -36,7 +36,12 @@ SMOOTHING = 0.5
 #: Steepness of the loss over a text's mean log-odds.
 SHARPNESS = 6.0
 AMBIGUOUS_BELOW = 0.6
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter (Unicode category L); numeric signs such as one half are none."""
+    return any(c.isalpha() for run in _MAYBE_LETTER.finditer(text) for c in run.group())
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
@@ -84,7 +89,7 @@ class OutputCodes:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, ambiguous) for each text."""
         out = [(UNDETERMINED, 0.0, True)] * len(texts)
-        known = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and self.languages and has_letter(t)]
         if not known:
             return out
         cleaned = [plain(texts[i]) for i in known]

@@ -183,6 +183,11 @@ def test_codewords_are_apart():
     assert min((a != b).sum() for i, a in enumerate(many) for b in many[:i]) >= 12
 
 
+def test_numeric_signs_are_no_letters():
+    assert not any(map(language_id.has_letter, ["½", "²³ 12", "_ 4!", "Ⅷ", "①", ""]))
+    assert all(map(language_id.has_letter, ["½a", "日", "é", "ª", "12 ʰ"]))
+
+
 # 4. exact dedup
 
 def test_exact_groups(docs, empty):
