@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import history_text
+from ..functions.text import history_text, plain_title
 from ..functions.urls import shared_url
 from .ranking import first_per_key, latest_per_key
 
@@ -134,8 +134,12 @@ def contained_titles(texts: DataFrame, key: str, text: str, titles: DataFrame, t
     return candidates.join(texts.select(key, text), key).filter(F.expr(f"instr({text}, {title}) > 0")).select(key, title)
 
 
+def title_name(title: Column) -> Column:
+    """A 128-bit name of a plain title: what joins and shuffles carry in place of the text."""
+    return F.unhex(F.md5(plain_title(title).cast("binary")))
+
+
 def unknown_titles(found: DataFrame, known: DataFrame, title: str = "title") -> DataFrame:
-    """Rows whose plain title is not among the known titles."""
-    from ..functions.text import plain_title
-    return (found.withColumn("_t", plain_title(F.col(title)))
-            .join(known.select(plain_title(F.col(title)).alias("_t")).distinct(), "_t", "left_anti").drop("_t"))
+    """Rows whose plain title is not among the known titles; they are compared by ``title_name``. A null title is unknown."""
+    name = "_title_name"
+    return found.withColumn(name, title_name(F.col(title))).join(known.select(title_name(F.col(title)).alias(name)).distinct(), name, "left_anti").drop(name)

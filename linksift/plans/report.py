@@ -35,7 +35,7 @@ def build_report(tables: dict[str, DataFrame], rules: Rules, as_of: datetime, da
     row = shown.select("run_id").first()
     run_id = row[0] if row else None
     run_links = links.filter(F.col("run_id") == run_id) if run_id is not None else links.limit(0)
-    recommended = enriched_picks(picks.filter(F.col("run_id") == run_id).orderBy(F.desc("score")).limit(25), records, scores)
+    recommended = enriched_picks(picks.filter(F.col("run_id") == run_id).orderBy(F.desc("score"), "pick_id").limit(25), records, scores)
     review = near_misses(scores, records, rules.review, rules.recommend, run_id)
     hidden = suppressed(scores, records, picks, rules.recommend, run_id if run_id is not None else "")
     skips = shown.filter(~F.coalesce(F.col("x_enabled"), F.lit(False)) | (F.coalesce("x_budget_remaining", F.lit(0)) <= 0))
