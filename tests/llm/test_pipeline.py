@@ -16,7 +16,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def test_registered():
     known = queries()
-    assert "pipeline" in known and all(any(k.startswith(f"op{n}_") for k in known) for n in range(1, 11))
+    assert "pipeline" in known and all(any(k.startswith(f"op{n}_") for k in known) for n in range(1, 14))
     assert set(oracle_sql()) <= set(known)
 
 
@@ -52,9 +52,10 @@ def test_odd_tables(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(None, None), (3, 1), (9, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(None, None, None, None), (1, 0, "user", "")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert {r[0] for r in found.select("doc_id").collect()} == {1, 3}  # the null and empty texts are one text
-    for table in ("documents", "labels", "benchmark"):
+    for table in ("documents", "labels", "benchmark", "conversations"):
         spark.read.parquet(str(tmp_path / f"{table}.parquet")).limit(0).write.parquet(str(tmp_path / "empty" / f"{table}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
     for name, query in queries().items():
