@@ -53,6 +53,16 @@ def stream_dedupe(spark, sf):
     return _run(spark, jobs.distinct_links(links, keep="40 days"), "append", "dedupe").select("canonical_url")
 
 
+@query("stream_new_links", """SELECT 'https://u.example.com/' || user_id AS canonical_url, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_seen FROM events GROUP BY user_id""")
+def stream_new_links(spark, sf):
+    """Three batches in time order; urls stay in the state for an hour only, so nearly all repeats are known from the table."""
+    events = V.table(spark, sf, "events").select("user_id", C("ts").cast("timestamp").alias("ts")).withColumn("second", F.unix_seconds("ts"))
+    links = batches_in_turn(spark, events, "new-links", "second").select(F.concat(F.lit("https://u.example.com/"), "user_id").alias("canonical_url"), C("ts").alias("discovered_at"))
+    tables = Tables(spark, scratch_path(spark, "new-links"))
+    jobs.keep_new_links(links, tables, scratch_path(spark, "new-links-state"), keep="1 hour").awaitTermination()
+    return tables.read("links").select("canonical_url", F.date_format("discovered_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_seen"))
+
+
 @query("stream_daily_budget", "SELECT strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles', '%Y-%m-%d') AS day, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS used FROM events GROUP BY 1")
 def stream_daily_budget(spark, sf):
     runs = batches_of(spark, sf, "events", "user_id").select(C("ts").cast("timestamp").alias("started_at"), F.when(C("event_type") == "view", 1).otherwise(0).cast("long").alias("x_posts_read"))

@@ -9,7 +9,7 @@ from pyspark.sql.types import MapType
 from .ranking import first_per_key
 
 
-def _values(rows: DataFrame) -> Column:
+def values_of(rows: DataFrame) -> Column:
     """All comparable values of a row, as the last tie-break; null sorts first."""
     return F.struct(*[f.name for f in rows.schema if not isinstance(f.dataType, MapType)])
 
@@ -24,7 +24,7 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], seq: str,
     ``current`` holds ``seq`` too, a late row that is older than the stored one changes nothing
     but those two kinds of column. A row without ``seq`` counts as older than any.
     """
-    newest = first_per_key(incoming, keys, [F.desc(seq), F.desc(_values(incoming))])
+    newest = first_per_key(incoming, keys, [F.desc(seq), F.desc(values_of(incoming))])
     cols = current.columns
     left = current.select(*keys, F.struct(*cols).alias("_old"))
     right = newest.select(*keys, F.struct(*[F.col(c) if c in newest.columns else F.lit(None).cast(current.schema[c].dataType).alias(c)
@@ -50,7 +50,7 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], seq: str,
 
 def insert_new(current: DataFrame, incoming: DataFrame, keys: list[str], also_unique: list[str] | None = None) -> DataFrame:
     """Rows of ``incoming`` whose key is not stored yet (conflict: do nothing)."""
-    by_value = [_values(incoming)]
+    by_value = [values_of(incoming)]
     fresh = first_per_key(incoming, keys, by_value).join(current.select(*keys), keys, "left_anti")
     if also_unique:
         fresh = first_per_key(fresh, also_unique, by_value).join(current.select(*also_unique), also_unique, "left_anti")

@@ -1,20 +1,30 @@
-"""Job tables at rest: versioned Parquet, upsert and append sinks, parameterised reads.
-
-A rewrite never touches the files a reader may hold: it lands in a new version folder, and a
-version counts only once Spark's committer has left its success marker. An append writes only
-its own rows into the current version. Tables with upserts store the order of each row in
-``_seq``, so a late row never overwrites a newer one. Scores are a folder for each run.
+"""Job tables at rest: upsert and append sinks on plain Parquet, parameterised reads.
+
+Tables with upserts are partitioned by a hash bucket of their key. An upsert reads and writes only
+the buckets that its keys fall in; Spark's dynamic partition overwrite puts each rewritten bucket
+beside the old one, under the number of the call, and a reader takes the newest folder of each
+bucket. So a reader sees a bucket as it was or as it is, and keeps the files it opened: the folder
+that a call supersedes stays until the next call on that bucket. A call that fails half-way has
+written some of its buckets; calling again gives the whole result. Rows store their order
+in ``_seq``, so a late row never overwrites a newer one. One job at a time may write a table.
+
+``sources`` are merged by means, which must not be applied twice, so they are small whole versions:
+a version counts only once Spark's committer has left its success marker. An append writes only
+its own rows. Scores are a folder for each run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, LongType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, IntegerType, LongType, StructType, TimestampNTZType, TimestampType
 
 from ..functions.coerce import FEEDBACK_LABELS
 from ..operators import upsert as ops
 from ..schemas import KEYS, RUN_COUNTERS, TABLES
+from ..session import delete_path, scratch_path
 
 # Which columns an existing row takes from an incoming one.
 UPDATE_COLS = {
@@ -22,8 +32,12 @@ UPDATE_COLS = {
     "source_edges": ["weight", "last_seen"],
 }
 
-#: Tables that hold the order of their rows.
-ORDERED = ["links", "records", "record_sources", "queries", "source_edges", "sources"]
+#: Tables in buckets of their key, and all tables that hold the order of their rows.
+BUCKETED = ["links", "records", "record_sources", "queries", "source_edges"]
+ORDERED = [*BUCKETED, "sources"]
+
+#: Folders of a bucketed table: number of buckets (fixed by the first upsert), bucket, call.
+LEVELS = ["of", "bucket", "at"]
 
 
 def _order(df: DataFrame, seq: str) -> Column:
@@ -32,11 +46,19 @@ def _order(df: DataFrame, seq: str) -> Column:
     return F.unix_micros(F.col(seq).cast("timestamp")) if timed else F.col(seq).cast("long")
 
 
+def _bucket(keys: list[str], of: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(of)).cast("int")
+
+
 class Tables:
-    """``read``, ``append`` and ``upsert`` over a folder of job tables."""
+    """``read``, ``append`` and ``upsert`` over a folder of job tables.
+
+    ``buckets`` is the number of buckets of tables that an upsert creates here; choose it so that a
+    bucket of the grown table is a few hundred megabytes. Stored tables keep the number they have.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -51,16 +73,36 @@ class Tables:
         found = [s.getPath().getName() for s in fs.listStatus(folder)]
         return sorted(int(v[2:]) for v in found if v.startswith("v=") and fs.exists(make(f"{self.root}/{name}/{v}/_SUCCESS")))
 
+    def folders(self, name: str) -> list[tuple[int, int, int]]:
+        """(of, bucket, at) of each folder of a bucketed table, oldest first within a bucket."""
+        fs, make = self._fs()
+        found = fs.globStatus(make("/".join([self.root, name, *(f"{level}=*" for level in LEVELS)]))) or []
+        return sorted(tuple(int(part.split("=")[1]) for part in s.getPath().toString().split("/")[-3:]) for s in found)
+
+    def _folder(self, name: str, folder: tuple[int, int, int]) -> str:
+        return "/".join([self.root, name, *(f"{level}={n}" for level, n in zip(LEVELS, folder))])
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        """Latest (or given) version; an absent table is empty, as the reference treats it."""
+        """The stored rows (of a given version, where the table has versions); an absent table is empty."""
         return self._stored(name, version).select(*TABLES[name].names)
 
     def _stored(self, name: str, version: int | None = None) -> DataFrame:
+        if name in BUCKETED:
+            if version is not None:
+                raise ValueError(f"{name} is kept in buckets, not in versions")
+            return self._in_buckets(name, self.folders(name))
         known, schema = self.versions(name), self._schema(name)
         if not known or (version is not None and version not in known):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v={version if version is not None else known[-1]}")
 
+    def _in_buckets(self, name: str, folders: list[tuple[int, int, int]], only: set[int] | None = None) -> DataFrame:
+        """Rows of the newest folder of each bucket, or of each of ``only`` some."""
+        newest = {bucket: (of, bucket, at) for of, bucket, at in folders if only is None or bucket in only}
+        if not newest:
+            return self.spark.createDataFrame([], self._schema(name))
+        return self.spark.read.schema(self._schema(name)).parquet(*(self._folder(name, f) for f in newest.values()))
+
     def _schema(self, name: str) -> StructType:
         return StructType([*TABLES[name].fields]).add("_seq", LongType()) if name in ORDERED else TABLES[name]
 
@@ -86,13 +128,61 @@ class Tables:
 
     def _merge(self, name: str, df: DataFrame, seq: str, update_cols: list[str] | None) -> int:
         keep_min, keep_max = (["first_seen"], ["last_seen"]) if name in ("records", "source_edges") else ([], [])
-        incoming = self._shape(name, df.withColumn("_seq", _order(df, seq)))
-        return self.replace(name, ops.upsert(self._stored(name), incoming, KEYS[name], "_seq", update_cols, keep_min, keep_max))
+        keys = KEYS[name]
+
+        def merged(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+            return ops.upsert(stored, incoming, keys, "_seq", update_cols, keep_min, keep_max)
+
+        return self._rewrite(name, self._shape(name, df.withColumn("_seq", _order(df, seq))), merged)
+
+    def insert(self, name: str, df: DataFrame, seq: str) -> int:
+        """Insert the rows whose key is not stored yet; of new rows alike in key, the one with the smallest ``seq``.
+
+        Keys are compared in the buckets that they fall in, and only buckets with a new key are rewritten.
+        A row without a key could never be known again, so it is left out.
+        """
+        keys = KEYS[name]
+        shaped = self._shape(name, df.withColumn("_seq", _order(df, seq))).dropna(subset=keys)
+        path, rows, touched = self._staged(name, ops.first_per_key(shaped, keys, [F.asc_nulls_last("_seq"), ops.values_of(shaped)]))
+        known = self._in_buckets(name, self.folders(name), touched).select(*keys)
+        done = self._rewrite(name, rows.join(known, keys, "left_anti"), lambda stored, fresh: stored.unionByName(fresh))
+        delete_path(self.spark, path)
+        return done
+
+    def _buckets_of(self, name: str) -> int:
+        folders = self.folders(name)
+        return folders[0][0] if folders else self.buckets
+
+    def _staged(self, name: str, rows: DataFrame) -> tuple[str, DataFrame, set[int]]:
+        """``rows`` written once (path, rows read back) and the buckets that their keys fall in."""
+        path = scratch_path(self.spark, f"{name}-incoming")
+        rows.withColumn("bucket", _bucket(KEYS[name], self._buckets_of(name))).write.parquet(path)
+        back = self.spark.read.schema(StructType([*rows.schema.fields]).add("bucket", IntegerType())).parquet(path)
+        return path, back.drop("bucket"), {r["bucket"] for r in back.select("bucket").distinct().collect()}
+
+    def _rewrite(self, name: str, incoming: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+        """``merge`` (stored rows, incoming rows) for the buckets that incoming keys fall in; returns the number of the call."""
+        folders, of = self.folders(name), self._buckets_of(name)
+        at = max((f[2] for f in folders), default=-1) + 1
+        path, rows, touched = self._staged(name, incoming)
+        if touched:
+            after = merge(self._in_buckets(name, folders, touched), rows)
+            placed = after.withColumns({"of": F.lit(of), "bucket": _bucket(KEYS[name], of), "at": F.lit(at)}).repartition("bucket")
+            placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LEVELS).parquet(f"{self.root}/{name}")
+            for b in touched:  # all but the folder that was just superseded, which readers may hold
+                for folder in [f for f in folders if f[1] == b][:-1]:
+                    delete_path(self.spark, self._folder(name, folder))
+        delete_path(self.spark, path)
+        return at
 
     # Sinks with their own rule ------------------------------------------------------------
     def save_links(self, links: DataFrame, seq: str, discovery: bool = False) -> int:
         return self._merge("links", links, seq, ["status", "rejection_reason", *(["title", "snippet"] if discovery else [])])
 
+    def save_new_links(self, links: DataFrame, seq: str = "discovered_at") -> int:
+        """Links never stored before; a stored link stays as it is."""
+        return self.insert("links", links, seq)
+
     def save_records(self, records: DataFrame, seq: str) -> int:
         return self.upsert("records", records, seq, whole_row=True)
 

@@ -35,6 +35,18 @@ def distinct_links(links: DataFrame, ts: str = "discovered_at", key: str = "cano
     return links.withWatermark(ts, keep).dropDuplicatesWithinWatermark([key])
 
 
+def keep_new_links(links: DataFrame, tables: Tables, checkpoint: str, ts: str = "discovered_at", keep: str = "7 days", available_now: bool = True) -> StreamingQuery:
+    """First sightings of links, kept in the ``links`` table, however long ago a repeat was first seen.
+
+    Recent urls are state, bounded by ``keep``, and hold back most repeats. What passes is compared with the
+    stored links of its own buckets, so a url that has left the state is still known, and neither state nor
+    work of a batch grows with all links ever seen. A link's url is its id; a batch that is
+    replayed finds its links stored.
+    """
+    known = links.filter("canonical_url is not null").withColumn("id", F.col("canonical_url"))
+    return _start(distinct_links(known, ts, "canonical_url", keep), lambda batch, _id: tables.save_new_links(batch, ts) and None, checkpoint, available_now)
+
+
 def daily_budget(runs: DataFrame, ts: str = "started_at", posts: str = "x_posts_read", zone: str = "America/Los_Angeles", late: str = "1 day") -> DataFrame:
     """Posts read per local day of ``zone``, in summer and winter time.
 

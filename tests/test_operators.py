@@ -11,6 +11,7 @@ from linksift.functions import rules as R
 from linksift.operators import dedupe, joins, ranking, reputation, rollups, similarity, upsert
 from linksift.plans import batch, history, links, scoring
 from linksift.plans.pick_index import PickIndex
+from linksift.session import delete_path
 from linksift.sources import landed, snapshot
 from linksift.sources.tables import Tables
 from linksift.streaming import jobs
@@ -546,3 +547,80 @@ def test_upsert_breaks_ties_by_value_and_ignores_late_rows(spark, tmp_path):
     for run in ("r1", "r2", "r1"):
         tables.save_scores(scores, run, "m", "p", 80)
     assert sorted((r["run_id"], r["record_id"]) for r in tables.read("scores").collect()) == [("r1", "1"), ("r1", "2"), ("r2", "1"), ("r2", "2")]
+
+
+def _query_rows(spark, rows):
+    return spark.createDataFrame(rows, "id string, query_text string, s long")
+
+
+def test_upserts_rewrite_only_the_buckets_they_touch(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path), buckets=16)
+    expected = {}
+    rnd = random.Random(5)
+
+    def save(rows, tables=tables):
+        tables.upsert("queries", _query_rows(spark, rows), "s", whole_row=True)
+        for key, text, seq in rows:
+            if key not in expected or seq > expected[key][1]:
+                expected[key] = (text, seq)
+
+    save([(f"q{i}", "first", 10) for i in range(600)])
+    before, held = tables.folders("queries"), tables.read("queries")
+    assert len(before) == 16 and {f[0] for f in before} == {16}
+    ten = [(f"q{i}", "again", 20) for i in rnd.sample(range(600), 10)]
+    save(ten)
+    after = tables.folders("queries")
+    assert set(before) <= set(after) and 1 <= len(set(after) - set(before)) <= 10
+    assert held.filter("query_text = 'first'").count() == 600  # a reader keeps the files it opened
+    save([(key, "late", 15) for key, _, _ in ten])
+    save([(f"q{rnd.randrange(700)}", f"t{n}", n) for n in rnd.sample(range(1000), 200)], Tables(spark, str(tmp_path), buckets=4))  # stored tables keep their number of buckets
+    found = {r["id"]: r["query_text"] for r in tables.read("queries").collect()}
+    assert found == {key: text for key, (text, _) in expected.items()}
+    for _ in range(2):
+        save([("q1", "last", 5000)])
+    assert {f[0] for f in tables.folders("queries")} == {16}
+    assert max(len([f for f in tables.folders("queries") if f[1] == b]) for b in range(16)) == 2  # the newest, and the one before it
+    assert tables.read("queries").count() == len(expected)
+
+
+def test_an_upsert_that_failed_half_way_is_made_whole_by_the_next(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path), buckets=8)
+    tables.upsert("queries", _query_rows(spark, [(f"q{i}", "old", 1) for i in range(100)]), "s", whole_row=True)
+    rows = _query_rows(spark, [(f"q{i}", "new", 2) for i in range(150)])
+    tables.upsert("queries", rows, "s", whole_row=True)
+    for folder in [f for f in tables.folders("queries") if f[2] == 1][::2]:  # half of its buckets were never put in place
+        delete_path(spark, tables._folder("queries", folder))
+    assert {r["query_text"] for r in tables.read("queries").collect()} == {"old", "new"}
+    tables.upsert("queries", rows, "s", whole_row=True)
+    assert sorted((r["id"], r["query_text"]) for r in tables.read("queries").collect()) == sorted((f"q{i}", "new") for i in range(150))
+
+
+def test_new_links_are_inserted_once(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path), buckets=8)
+    columns = "id string, title string, discovered_at timestamp"
+    at = [datetime(2024, 5, d) for d in range(1, 5)]
+    tables.save_new_links(spark.createDataFrame([("a", "a2", at[1]), ("a", "a1", at[0]), ("b", "b", None), (None, "nobody", at[0])], columns))
+    folders = tables.folders("links")
+    tables.save_new_links(spark.createDataFrame([("a", "a3", at[2]), ("b", "b2", at[0])], columns))
+    assert tables.folders("links") == folders  # nothing new, nothing written
+    tables.save_new_links(spark.createDataFrame([("c", "c", at[3]), ("a", "a0", at[0])], columns))
+    assert sorted((r["id"], r["title"]) for r in tables.read("links").collect()) == [("a", "a1"), ("b", "b"), ("c", "c")]
+    tables.save_new_links(spark.createDataFrame([], columns))
+    with pytest.raises(ValueError):
+        tables.read("links", 0)
+
+
+def test_a_url_stays_known_after_it_left_the_state(spark, tmp_path):
+    """A repeat that comes long after the horizon is dropped, and the state holds recent urls alone."""
+    tables = Tables(spark, str(tmp_path / "tables"), buckets=4)
+    days = [("u1", 1), ("u2", 1), ("u3", 20), ("u1", 40), ("u4", 40), ("u1", 60), ("u2", 60)]
+    kept = []
+    for i, day in enumerate((1, 20, 40, 60)):
+        rows = [(u, datetime(2024, 1, 1) + timedelta(days=d)) for u, d in days if d == day]
+        spark.createDataFrame(rows, "canonical_url string, discovered_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("canonical_url string, discovered_at timestamp").parquet(str(tmp_path / "in"))
+        query = jobs.keep_new_links(stream, tables, str(tmp_path / "state"), keep="7 days")
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert {r["id"]: r["discovered_at"].day for r in tables.read("links").collect()} == {"u1": 2, "u2": 2, "u3": 21, "u4": 10}
+    assert max(kept) <= 3
