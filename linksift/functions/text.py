@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Title stop words, dedupe and report forms.
 DEDUPE_STOP_WORDS = [
@@ -22,19 +23,30 @@ REPORT_STOP_WORDS = [
 FINGERPRINT_STOP_WORDS = ["the", "and", "for", "with", "from", "events", "event", "upcoming"]
 
 
-def _latin_folds() -> tuple[str, str]:
-    """Single letters whose compatibility form is one ASCII letter or digit plus marks."""
-    source, target = [], []
-    for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
-        letter = chr(code).lower()
-        base = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
-        if len(letter) == 1 and len(base) == 1 and base.isascii() and base != letter and letter not in source:
-            source.append(letter)
-            target.append(base)
-    return "".join(source), "".join(target)
+#: Characters that the word forms below keep; all others part words.
+KEPT = "abcdefghijklmnopqrstuvwxyz0123456789+&#@"
 
 
-_FOLD_FROM, _FOLD_TO = _latin_folds()
+@functools.lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Letters with a compatibility form (NFKD without marks) that holds kept characters: (letters, their one character each, letters with longer forms).
+
+    Other letters part words, whatever their form, and upper-case letters never come, as texts are lower-cased.
+    """
+    letters, targets, several = [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
+        letter = chr(code)
+        if not unicodedata.decomposition(letter) or letter.lower() != letter:
+            continue
+        form = "".join(c for c in unicodedata.normalize("NFKD", letter) if not 0x300 <= ord(c) <= 0x36F)
+        if not set(form) & set(KEPT):
+            continue
+        if len(form) == 1:
+            letters.append(letter)
+            targets.append(form)
+        else:
+            several[letter] = form
+    return "".join(letters), "".join(targets), several
 
 
 def let(value: Column, body) -> Column:
@@ -50,36 +62,28 @@ def trim_space(value: Column) -> Column:
     return F.trim(value, F.lit(" \t\n\r\f\u00a0\ufeff"))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkd(values: pd.Series) -> pd.Series:
-    return values.map(
-        lambda v: None if v is None else "".join(
-            c for c in unicodedata.normalize("NFKD", v) if not 0x300 <= ord(c) <= 0x36F
-        )
-    )
-
-
-def fold_accents(value: Column, exact: bool = False) -> Column:
-    """Lowercase and drop accents.
+def fold_accents(value: Column) -> Column:
+    """Lowercase; every letter, also one with several, in its compatibility form without accents, in the JVM.
 
-    Default stays in the JVM and covers every Latin letter that folds to one ASCII letter;
-    ``exact`` runs full NFKD through Arrow for ligatures, full-width and other forms.
+    Letters whose form holds none of ``KEPT`` stay as they are: the word forms drop them either way.
     """
     lowered = F.lower(value)
-    if exact:
-        return _nfkd(lowered)
-    folded = F.translate(F.regexp_replace(lowered, "[̀-ͯ]", ""), _FOLD_FROM, _FOLD_TO)
-    return F.when(lowered.rlike("[^\\x00-\\x7F]"), folded).otherwise(lowered)
+    letters, targets, several = _folds()
+    folded = F.translate(F.regexp_replace(lowered, "[\u0300-\u036f]", ""), letters, targets)
+    forms = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    longer = F.array_join(F.transform(F.regexp_extract_all(folded, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(forms, c), c)), "")
+    has_longer = F.length(F.translate(lowered, "".join(several), "")) < F.length(lowered)
+    return F.when(~lowered.rlike("[^\\x00-\\x7F]"), lowered).when(has_longer, longer).otherwise(folded)
 
 
-def match_text(value: Column, exact: bool = False) -> Column:
+def match_text(value: Column) -> Column:
     """Lowercase, accent-free words; keeps ``+ & # @`` inside the text."""
-    return F.trim(F.regexp_replace(fold_accents(value, exact), "[^a-z0-9+&#@]+", " "))
+    return F.trim(F.regexp_replace(fold_accents(value), "[^a-z0-9+&#@]+", " "))
 
 
-def title_text(value: Column, exact: bool = False) -> Column:
+def title_text(value: Column) -> Column:
     """Lowercase, accent-free words, letters and digits only."""
-    return F.trim(F.regexp_replace(fold_accents(value, exact), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(fold_accents(value), "[^a-z0-9]+", " "))
 
 
 def plain_title(value: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linksift.functions import rules as R
 from linksift.operators import dedupe, joins, ranking, reputation, rollups, similarity, upsert
-from linksift.plans import batch, history, links, scoring
+from linksift.plans import batch, history, links, rotation, scoring
 from linksift.plans.pick_index import PickIndex
 from linksift.session import delete_path
 from linksift.sources import landed, snapshot
@@ -624,3 +624,22 @@ def test_a_url_stays_known_after_it_left_the_state(spark, tmp_path):
         kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
     assert {r["id"]: r["discovered_at"].day for r in tables.read("links").collect()} == {"u1": 2, "u2": 2, "u3": 21, "u4": 10}
     assert max(kept) <= 3
+
+
+def test_rotation_joins_days_by_remainder(spark):
+    rnd = random.Random(11)
+    sources = [(rnd.choice(["a", "source", "é", ""]) + str(rnd.randrange(10**rnd.randrange(1, 9))), rnd.choice(["must_scan", "high", "medium", "paused", None]),
+                rnd.choice(["x", "rss", "exa", "public_source"])) for _ in range(60)] + [(None, "must_scan", "exa"), (None, "high", "exa")]
+    numbers = sorted({0, 7, -1, -40, 99, 100, 19_999, 2_932_896, *(rnd.randrange(-800, 30_000) for _ in range(50))})
+    registry = spark.createDataFrame(sources, "id string, priority string, connector string")
+    days = spark.createDataFrame([(n,) for n in [*numbers, 7, None]], "n int").select(F.date_add(F.lit("1970-01-01").cast("date"), C("n")).alias("day"))
+    windows = spark.createDataFrame([(w,) for w in rotation.WINDOWS], "scan_window string")
+    each = registry.crossJoin(windows).crossJoin(days.filter("day is not null").distinct()).withColumn("slot", rotation.rotation_slot(C("id"), C("day")))
+    columns = ["id", "priority", "connector", "scan_window", "day", "slot"]
+    expected = sorted(map(str, each.filter(rotation.eligible(C("priority"), C("slot"), C("scan_window"), C("connector"))).select(columns).collect()))
+    for most in (20_000, 3):
+        met = rotation.rotation_days(registry, days, most_days=most)
+        assert sorted(map(str, met.select(columns).collect())) == expected
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert rotation.rotation_days(registry, days.limit(0)).count() == 0
