@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, quality, ranking, rollups
+from ..operators import joins, quality, ranking, rollups, sketches
+from ..session import scratch_path
 from ..sources.tables import list_rows
 from . import query
 from . import views as V
@@ -200,14 +201,27 @@ def planner_history(spark, sf):
 
 @query("ordered_lines", "SELECT l_orderkey, array_to_string(list(l_partkey ORDER BY l_linenumber, l_partkey), ' ') AS parts FROM lineitem GROUP BY l_orderkey")
 def ordered_lines(spark, sf):
-    line = V.table(spark, sf, "lineitem")
-    rows = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("_r"))
-    return rows.select("l_orderkey", F.array_join(F.transform("_r", lambda r: r["l_partkey"].cast("string")), " ").alias("parts"))
+    rows = rollups.ordered_values(V.table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber"], "l_partkey", "parts")
+    return rows.select("l_orderkey", F.array_join(F.transform("parts", lambda p: p.cast("string")), " ").alias("parts"))
 
 
 @query("distinct_counts", V.with_ctes(V.V_LINES, select="SELECT platform, count(DISTINCT canonical_url) AS urls, count(DISTINCT source_query) AS queries, count(DISTINCT lower(title)) AS titles FROM v_lines GROUP BY platform"))
 def distinct_counts(spark, sf):
-    return V.v_lines(spark, sf).groupBy("platform").agg(F.countDistinct("canonical_url").alias("urls"), F.countDistinct("source_query").alias("queries"), F.countDistinct(F.lower("title")).alias("titles"))
+    return rollups.distinct_counts(V.v_lines(spark, sf), ["platform"], {"urls": C("canonical_url"), "queries": C("source_query"), "titles": F.lower("title")})
+
+
+@query("sketched_events", "SELECT event_type, count(*) AS n, true AS users_near, true AS median_near FROM events GROUP BY event_type")
+def sketched_events(spark, sf):
+    """Users and median value of each kind of event, from sketches stored by day and merged over days, held against the exact ones: users within 5 %, the median within 3 % of the ranks."""
+    events = V.table(spark, sf, "events").select("event_type", "user_id", C("value").cast("double").alias("value"), F.to_date("ts").alias("day"))
+    path = scratch_path(spark, "sketches")
+    sketches.store_days(sketches.sketched(events, ["day", "event_type"], ["user_id"], ["value"]), path)
+    told = sketches.estimated(sketches.merged(sketches.read_days(spark, path), ["event_type"])).select("event_type", "n", "user_id_distinct", C("value_quantiles")[0].alias("median"))
+    users = rollups.distinct_counts(events, ["event_type"], {"users": C("user_id")})
+    ranks = events.join(F.broadcast(told.select("event_type", "median")), "event_type").groupBy("event_type").agg(  # a row for each kind
+        (F.count_if(C("value") < C("median")) / F.count("value")).alias("below"), (F.count_if(C("value") <= C("median")) / F.count("value")).alias("upto"))
+    near = F.abs(C("user_id_distinct") - C("users")) <= C("users") * 0.05
+    return told.join(users, "event_type").join(ranks, "event_type").select("event_type", "n", near.alias("users_near"), ((C("below") <= 0.53) & (C("upto") >= 0.47)).alias("median_near"))
 
 
 @query("latest_score", V.with_ctes(V.V_SCORES, select="SELECT record_id, total, seq FROM v_scores QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY created_at DESC, seq DESC) = 1"))

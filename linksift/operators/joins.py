@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import history_text, plain_title
 from ..functions.urls import shared_url
+from .containment import MIN_TITLE, contained_titles
 from .ranking import first_per_key, latest_per_key
 
 GENERIC_TITLE = "(?i)^(public source link from|public source retained|public source fetch failed|luma public surface)"
-MIN_TITLE = 12
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -83,8 +83,7 @@ def attribution(records: DataFrame, links: DataFrame, more_urls: DataFrame | Non
 def links_seen_before(links: DataFrame, picked: DataFrame) -> DataFrame:
     """Ids of links that match a picked record: same url, same specific title, or title inside the snippet.
 
-    Containment runs without a cross join: titles and snippets are cut into words, a title
-    joins on its rarest word only, and the joined pairs are checked with ``instr``.
+    Containment runs without a cross join, see ``contained_titles``.
     """
     lnk = links.select(
         "id", F.array_distinct(F.transform(F.filter(F.array("canonical_url", "url", "source_url"),
@@ -102,38 +101,6 @@ def links_seen_before(links: DataFrame, picked: DataFrame) -> DataFrame:
         contained_titles(lnk, "id", "_snippet", titles, "_picked").select("id")).distinct()
 
 
-def contained_titles(texts: DataFrame, key: str, text: str, titles: DataFrame, title: str) -> DataFrame:
-    """(key, title) pairs where ``title`` is a substring of ``text``; both normalised to spaced words.
-
-    A title may start and end inside words, so only its inner words are sure to stand alone
-    in the text. Titles of three or more words join on their rarest inner word; two-word
-    titles on six letters at the word edge they touch; one-word titles on their first twelve
-    letters inside a long word. Only (key, anchor) rows shuffle: the text itself is joined
-    back for the final check. ``title`` values are distinct and at least twelve long.
-    """
-    shaped = titles.select(title, F.split(F.col(title), " ").alias("_ws"))
-    found = texts.select(F.col(key), F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("_w"))
-    inner = F.filter("_ws", lambda w, i: (i > 0) & (i < F.size("_ws") - 1))
-    inner_words = shaped.filter(F.size("_ws") > 2).select(title, F.explode(F.array_distinct(inner)).alias("_w"))
-    freq = found.join(inner_words.select("_w").distinct(), "_w", "left_semi").groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
-    rated = inner_words.join(freq, "_w", "left")
-    # A word that no text has (null count) rules its title out.
-    rarest = rated.groupBy(title).agg(F.min_by("_w", F.struct("_df", "_w")).alias("_w"), F.count_if(F.col("_df").isNull()).alias("_absent"))
-    anchors = rarest.filter("_absent = 0").select(title, F.concat(F.lit("w"), "_w").alias("_a"))
-    first, last = F.get("_ws", F.lit(0)), F.get("_ws", F.lit(1))
-    pair = F.when(F.length(first) >= F.length(last), F.concat(F.lit("s"), F.right(first, F.lit(6)))).otherwise(F.concat(F.lit("p"), F.left(last, F.lit(6))))
-    anchors = anchors.unionByName(shaped.filter(F.size("_ws") == 2).select(title, pair.alias("_a")))
-    anchors = anchors.unionByName(shaped.filter(F.size("_ws") == 1).select(title, F.concat(F.lit("g"), F.left(first, F.lit(MIN_TITLE))).alias("_a")))
-    word = F.col("_w")
-    grams = F.when(F.length(word) >= MIN_TITLE, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - (MIN_TITLE - 1))),
-                                                            lambda i: F.concat(F.lit("g"), F.substring(word, i, F.lit(MIN_TITLE)))))
-    edges = F.when(F.length(word) >= 6, F.array(F.concat(F.lit("s"), F.right(word, F.lit(6))), F.concat(F.lit("p"), F.left(word, F.lit(6)))))
-    none = F.array().cast("array<string>")
-    keyed = found.select(key, F.explode(F.concat(F.array(F.concat(F.lit("w"), word)), F.coalesce(edges, none), F.coalesce(grams, none))).alias("_a"))
-    candidates = keyed.join(anchors, "_a").select(key, title).distinct()
-    return candidates.join(texts.select(key, text), key).filter(F.expr(f"instr({text}, {title}) > 0")).select(key, title)
-
-
 def title_name(title: Column) -> Column:
     """A 128-bit name of a plain title: what joins and shuffles carry in place of the text."""
     return F.unhex(F.md5(plain_title(title).cast("binary")))

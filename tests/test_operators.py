@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linksift.functions import rules as R
-from linksift.operators import dedupe, joins, ranking, reputation, rollups, similarity, upsert
+from linksift.operators import containment, dedupe, joins, ranking, reputation, rollups, similarity, sketches, upsert
 from linksift.plans import batch, history, links, rotation, scoring
 from linksift.plans.pick_index import PickIndex
 from linksift.session import delete_path
@@ -643,3 +643,54 @@ def test_rotation_joins_days_by_remainder(spark):
         plan = met._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert rotation.rotation_days(registry, days.limit(0)).count() == 0
+
+
+def test_containment_over_hot_anchors(spark):
+    """A title in a third of all texts, titles without text, odd texts; listed and joined anchors, whole and split, all equal substring search."""
+    rnd = random.Random(29)
+    letters = "ab cé"
+    texts = [(i, "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) + ("a hot title of all" if i % 3 == 0 else "")) for i in range(120)]
+    texts += [(500, None), (501, ""), (502, "a hot title"), (503, "x" * 3_000_000 + "a hot title of all"), (3, "twice the same key, a hot title of all")]
+    cut = {t[k:k + rnd.randint(12, 20)] for _, t in texts[:120] if len(t) > 40 for k in [rnd.randrange(20)]}
+    titles = sorted({"a hot title of all", "hot title of", "title of all", "nobody has this one", "x" * 12, *(c for c in cut if len(c) >= 12)})
+    df, named = spark.createDataFrame(texts, "k int, t string"), spark.createDataFrame([(t,) for t in titles], "p string")
+    expected = {(k, p) for k, t in texts if t for p in titles if p in t}
+    for options in ({}, {"most_anchors": 0}, {"split_rows": 5}):
+        got = containment.contained_titles(df, "k", "t", named, "p", **options)
+        assert {(r["k"], r["p"]) for r in got.collect()} == expected
+        keys = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
+        assert not any(f"hashpartitioning({c}#" in line for line in keys for c in "tp")
+    assert containment.contained_titles(df.limit(0), "k", "t", named, "p").count() == 0
+    assert containment.contained_titles(df, "k", "t", named.limit(0), "p").count() == 0
+
+
+def test_minimizers_of_a_text_include_those_of_its_parts():
+    rnd = random.Random(31)
+    text = bytes(rnd.randrange(97, 101) for _ in range(3000))
+    whole = set(containment.minimizers(text).tolist())
+    for _ in range(200):
+        at = rnd.randrange(2900)
+        part = containment.minimizers(text[at:at + rnd.randint(12, 90)])
+        assert part.size and set(part.tolist()) <= whole
+    assert containment.minimizers(b"elevenchars").size == 0 and containment.minimizers(b"").size == 0
+
+
+def test_sketches_merge_over_days_within_their_bounds(spark, tmp_path):
+    rows = spark.range(60_000).select(F.date_add(F.lit("2024-01-01").cast("date"), (C("id") % 5).cast("int")).alias("day"), (C("id") % 2).alias("kind"),
+                                      F.when(C("id") % 100 != 0, C("id") % 20_000).alias("who"), ((C("id") * 7919) % 10_007).cast("double").alias("size"))
+    path = str(tmp_path / "sketches")
+    for _ in range(2):  # days that are written again are replaced
+        sketches.store_days(sketches.sketched(rows, ["day", "kind"], ["who"], ["size"]), path)
+    sketches.store_days(sketches.sketched(rows.filter("day = '2024-01-02'"), ["day", "kind"], ["who"], ["size"]), path)
+    for first, last in ((None, None), ("2024-01-02", "2024-01-03")):
+        days = rows if first is None else rows.filter(f"day between '{first}' and '{last}'")
+        told = {r["kind"]: r for r in sketches.estimated(sketches.merged(sketches.read_days(spark, path, first, last), ["kind"]), [0.1, 0.5, 0.9]).collect()}
+        exact = {r["kind"]: r for r in rollups.distinct_counts(days, ["kind"], {"who": C("who")}).collect()}
+        sizes = {k: sorted(r["size"] for r in days.filter(C("kind") == k).collect()) for k in told}
+        assert set(told) == set(exact) == {0, 1}
+        for k, row in told.items():
+            assert row["n"] == len(sizes[k]) and abs(row["who_distinct"] - exact[k]["who"]) <= 0.05 * exact[k]["who"]
+            for q, at in zip((0.1, 0.5, 0.9), row["size_quantiles"]):
+                assert abs(sum(s <= at for s in sizes[k]) / len(sizes[k]) - q) <= 0.03
+    lists = rollups.ordered_values(spark.createDataFrame([("a", 2, "x"), ("a", 1, "z"), ("a", 2, "b"), ("b", 1, None)], "k string, o int, v string"), ["k"], ["o"], "v")
+    assert {r["k"]: r["values"] for r in lists.collect()} == {"a": ["z", "b", "x"], "b": [None]}
