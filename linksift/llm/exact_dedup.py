@@ -51,6 +51,11 @@ def hash_key(text: bytes) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(text), "big", signed=True)
 
 
+def _copied(batch: pa.RecordBatch, row: int, columns: list[str]) -> pa.RecordBatch | None:
+    """One row by itself, without the batch it came in; a slice would keep the whole batch in memory."""
+    return batch.select(columns).take(pa.array([row])) if columns else None
+
+
 def directory(counts: list[tuple[int, int]], depth: int = MOST_DEPTH, capacity: int = BUCKET_ENTRIES) -> np.ndarray:
     """Bucket of each prefix of ``depth`` bits, given (prefix, entries).
 
@@ -106,12 +111,12 @@ def index_entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 text = normalised(raw)
                 found = seen.get(text)
                 if found is None:
-                    row = batch.slice(i, 1).select(payload) if payload else None
+                    row = _copied(batch, i, payload)
                     found = seen[text] = [hash_key(text), hashlib.sha256(text).hexdigest(), ids[i], 0, row]
                     held += len(text) + (row.nbytes if payload else 0)
                 elif ids[i] is not None and (found[2] is None or ids[i] < found[2]):
                     found[2] = ids[i]
-                    found[4] = batch.slice(i, 1).select(payload) if payload else None
+                    found[4] = _copied(batch, i, payload)
                 found[3] += 1
                 keys.append(found[0])
                 shas.append(found[1])
@@ -164,10 +169,10 @@ def merge_entries(index: DataFrame, text_col: str | None = None, capacity: int =
                         link[3] += ns[i]
                         if lows[i] is not None and (link[2] is None or lows[i] < link[2]):
                             link[2] = lows[i]
-                            link[4] = batch.slice(i, 1).select(payload) if payload else None
+                            link[4] = _copied(batch, i, payload)
                         break
                 else:
-                    chain.append([texts[i], shas[i], lows[i], ns[i], batch.slice(i, 1).select(payload) if payload else None])
+                    chain.append([texts[i], shas[i], lows[i], ns[i], _copied(batch, i, payload)])
             if closed:
                 yield ended(closed)
         if chain:

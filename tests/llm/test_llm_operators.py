@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -207,6 +208,14 @@ def test_exact_groups(docs, empty):
     assert len(rows(kept, "doc_id")) == len(groups) and {r[0] for r in rows(kept, "doc_id")} - {None} == {w[0] for w in want if w[3]}
 
 
+def test_a_remembered_row_does_not_hold_its_batch():
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 100_000] * 256, "l": [[i] for i in range(256)]})
+    row = exact_dedup._copied(batch, 7, ["t", "l"])
+    assert row.to_pylist() == [{"t": "x" * 100_000, "l": [7]}]
+    assert row.get_total_buffer_size() < 2 * 100_000
+    assert exact_dedup._copied(batch, 7, []) is None
+
+
 def test_collisions_are_chained(docs, monkeypatch, spark):
     from pyspark.sql import functions as F
 
