@@ -11,12 +11,14 @@ from ..functions.urls import dedupe_url, report_url
 from ..session import cut_lineage
 from .components import connected_components
 from .ranking import first_per_key
-from .similarity import similar_pairs
+from .similarity import ordered_sets, similar_pairs, smaller_share
 
 # Duplicate thresholds.
 WINDOW_HOURS = 3
 SIMILAR, SUBSET, STRONG_SUBSET, STRONG_SHARED = 0.72, 0.8, 0.9, 3
 REPORT_SUBSET, REPORT_SIMILAR = 0.82, 0.72
+#: What two titles share of the smaller one at least, however they agree.
+LEAST_SHARE, REPORT_LEAST_SHARE = min(SUBSET, STRONG_SUBSET, smaller_share(SIMILAR)), min(REPORT_SUBSET, smaller_share(REPORT_SIMILAR))
 REPORT_ZONE = "America/Los_Angeles"
 PRECISION_ORDER = ["unknown", "city_only", "neighborhood", "exact"]
 SET_FIELDS = ["hosts", "organizers", "platforms", "visibility_flags"]
@@ -122,10 +124,10 @@ def duplicate_groups(records: DataFrame, seq: str = "seq") -> DataFrame:
     nodes = cut_lineage(_nodes(records))
     edges = _shared(nodes.select("node", F.col("_key").alias("_k")), "key").unionByName(
         _shared(nodes.select("node", F.explode("_urls").alias("_k")), "url"))
-    titles = _title_nodes(nodes)
+    titles = cut_lineage(ordered_sets(_title_nodes(nodes)))
     names = _names(nodes)
     own_city = _in_blocks(titles, F.col("_city"))
-    alike = _verified(similar_pairs(own_city, None, SIMILAR), titles, titles, names, names)
+    alike = _verified(similar_pairs(own_city, None, LEAST_SHARE), titles, titles, names, names)
     labels = connected_components(edges.unionByName(alike.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     contents = cut_lineage(
         nodes.groupBy("node", "_city").agg(F.min(seq).alias("_seq"))
@@ -133,7 +135,7 @@ def duplicate_groups(records: DataFrame, seq: str = "seq") -> DataFrame:
 
     anywhere = _in_blocks(titles, F.lit(""))
     nowhere, somewhere = anywhere.filter("_city = ''"), anywhere.filter("_city <> ''")
-    across = _verified(similar_pairs(nowhere, somewhere, SIMILAR), nowhere, somewhere, names, names)
+    across = _verified(similar_pairs(nowhere, somewhere, LEAST_SHARE), nowhere, somewhere, names, names)
     cityless = contents.groupBy("component").agg(F.max("_city").alias("_any")).filter("_any = ''").select("component")
     choice = (across.join(contents.select(F.col("node").alias("x"), "component"), "x").join(cityless, "component")
               .join(contents.select(F.col("node").alias("y"), F.col("component").alias("_to"), "_seq"), "y")
@@ -229,7 +231,7 @@ def matching_ids(records: DataFrame, others: DataFrame, urls: DataFrame | None =
     same = l.select("node").join(r.select("node"), "node", "left_semi")
     # Equal places meet; a known place meets an unknown one of the other side only.
     place, known = F.concat(F.lit("="), "_city"), F.col("_city") != ""
-    pairs = similar_pairs(_in_blocks(l, place, F.when(known, "<").otherwise(">")), _in_blocks(r, place, F.when(known, ">").otherwise("<")), SIMILAR)
+    pairs = similar_pairs(_in_blocks(l, place, F.when(known, "<").otherwise(">")), _in_blocks(r, place, F.when(known, ">").otherwise("<")), LEAST_SHARE)
     fuzzy = _verified(pairs, l, r, _names(left), _names(right)).select(F.col("x").alias("node"))
     hit = same.unionByName(fuzzy).distinct()
     return by_url.unionByName(left.select("id", "node").join(hit, "node", "left_semi").select("id")).distinct()
@@ -268,7 +270,7 @@ def dedupe_sections(rows: DataFrame, priority: str = "section_rank", score: str
     key_edges = _shared(prepared.select("node", F.explode("_keys").alias("_k")), "key")
     titles = (prepared.filter(F.size("_tokens") > 0).select("node", F.col("_tokens").alias("tokens"), F.array("_place").alias("blocks"))
               .dropDuplicates(["node"]))
-    pairs = similar_pairs(titles, None, REPORT_SIMILAR)
+    pairs = similar_pairs(titles, None, REPORT_LEAST_SHARE)
     t = titles.select("node", "tokens")
     checked = pairs.join(t.select(F.col("node").alias("x"), F.col("tokens").alias("_x")), "x").join(
         t.select(F.col("node").alias("y"), F.col("tokens").alias("_y")), "y").filter(

@@ -1,6 +1,7 @@
 """Operators against brute force, goldens and metamorphic checks."""
 
 import itertools
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -326,14 +327,55 @@ def test_silence_of_jobs_with_and_without_success(spark, tmp_path, files):
     assert len(out) == 4 and {(r["job"], hour(r["last_success"]), hour(r["alert_at"])) for r in out} == {("late first", None, 27), ("late first", 29, 53), ("never", None, 24), ("old", 1, 25)}
 
 
-def test_similarity_pairs_miss_nothing(spark):
+def _sets(rnd, count, tokens, most):
+    return {f"n{i}": sorted(rnd.sample([f"t{j}" for j in range(tokens)], rnd.randint(1, most))) for i in range(count)}
+
+
+def _matches(sets, blocks, ratio, pairs, min_shared=1):
+    shared = lambda a, b: len(set(sets[a]) & set(sets[b]))
+    return {(a, b) for a, b in pairs if set(blocks[a]) & set(blocks[b]) and shared(a, b) >= max(min_shared, ratio * min(len(sets[a]), len(sets[b])) - 1e-9)}
+
+
+@pytest.mark.parametrize("ratio,min_shared,split", [(0.72, 1, 20_000), (0.82, 1, 3), (0.8, 3, 5), (1.0, 2, 1)])
+def test_similarity_pairs_miss_nothing(spark, ratio, min_shared, split):
     rnd = random.Random(11)
-    sets = {f"n{i}": sorted(rnd.sample([f"t{j}" for j in range(14)], rnd.randint(1, 9))) for i in range(70)}
-    nodes = spark.createDataFrame([(k, v, ["all"]) for k, v in sets.items()], "node string, tokens array<string>, blocks array<string>")
-    for ratio in (0.72, 0.82):
-        got = {frozenset((r["x"], r["y"])) for r in similarity.similar_pairs(nodes, None, ratio).collect()}
-        need = {frozenset((a, b)) for a, b in itertools.combinations(sets, 2) if len(set(sets[a]) & set(sets[b])) / min(len(sets[a]), len(sets[b])) >= ratio}
-        assert need <= got
+    sets = _sets(rnd, 70, 14, 9)
+    blocks = {k: rnd.sample(["a", "b", "c"], rnd.randint(1, 3)) for k in sets}
+    schema = "node string, tokens array<string>, blocks array<string>"
+    nodes = spark.createDataFrame([(k, v, blocks[k]) for k, v in sets.items()], schema)
+    rows = [(r["x"], r["y"]) for r in similarity.similar_pairs(nodes, None, ratio, min_shared, split).collect()]
+    need = {frozenset(p) for p in _matches(sets, blocks, ratio, itertools.combinations(sets, 2), min_shared)}
+    got = {frozenset(p) for p in rows}
+    df = {t: sum(t in v for v in sets.values()) for v in sets.values() for t in v}
+
+    def probes(a):
+        n = len(sets[a])
+        return set(sorted(sets[a], key=lambda t: (df[t], t))[:max(n - max(min_shared, math.ceil(ratio * n - 1e-9)) + 1, 0)])
+
+    by_prefix = {frozenset(p) for p in itertools.combinations(sets, 2) if set(blocks[p[0]]) & set(blocks[p[1]])
+                 and probes(min(p, key=lambda a: (len(sets[a]), a))) & set(sets[max(p, key=lambda a: (len(sets[a]), a))])}
+    assert need <= got and len(got) == len(rows) and 2 * len(got - need) <= len(by_prefix - need)  # each pair once, candidates in vain halved at least
+    names = sorted(sets)
+    left, right = names[:40], names[30:]  # some nodes stand on both sides
+    both = similarity.similar_pairs(nodes.filter(C("node").isin(left)), nodes.filter(C("node").isin(right)), ratio, min_shared, split)
+    rows = [(r["x"], r["y"]) for r in both.collect()]
+    assert _matches(sets, blocks, ratio, itertools.product(left, right), min_shared) <= set(rows) and len(set(rows)) == len(rows)
+    assert {x for x, _ in rows} <= set(left) and {y for _, y in rows} <= set(right)
+    empty = nodes.limit(0)
+    assert similarity.similar_pairs(empty, None, ratio).count() == 0 and similarity.similar_pairs(nodes, empty, ratio).count() == 0
+
+
+def test_a_hot_token_is_met_in_parts(spark):
+    """Half of all sets hold only tokens of which each stands in at least a quarter of them: no list is met whole."""
+    rnd = random.Random(5)
+    rows = [(f"n{i}", [f"h{j}" for j in rnd.sample(range(4), 2)] + [f"r{i}"] if i % 2 else [f"r{i}", f"s{i}"], ["all"]) for i in range(1200)]
+    nodes = spark.createDataFrame(rows, "node string, tokens array<string>, blocks array<string>")
+    sets = similarity.ordered_sets(nodes).drop("tokens").withColumn("side", F.lit(0)).cache()
+    split = 50
+    whole = similarity.pair_entries(sets, False, 0.3)
+    assert min(e.groupBy("_k").count().agg(F.max("count")).first()[0] for e in whole) > 4 * split
+    for entries in similarity.pair_entries(sets, False, 0.3, 1, split):
+        assert entries.groupBy("_k", "_p", "_q").count().agg(F.max("count")).first()[0] < 2 * split
 
 
 def test_contained_titles_equal_substring_search(spark):
