@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import delete_path, scratch_path
+from ..session import by_shuffle, delete_path, scratch_path
 
 
 def _with_minimum(directed: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def _with_minimum(directed: DataFrame) -> DataFrame:
     execution splits when it is skewed.
     """
     near = directed.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return directed.join(near, "u")
+    return directed.join(by_shuffle(near), "u")
 
 
 def _signature(edges: DataFrame) -> tuple:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_fingerprint, words
-from ..session import cut_lineage
+from ..session import by_shuffle, cut_lineage
 
 #: Entries of one token and block that a task meets on either side; longer lists are cut, of the hottest MOST_SPLIT ones.
 SPLIT_ROWS, MOST_SPLIT = 20_000, 100_000
@@ -37,8 +37,8 @@ def ordered_sets(nodes: DataFrame, *keys: str) -> DataFrame:
     long = nodes.select(*by, F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("_tok"))
     freq = long.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
     rarest = F.sort_array(F.collect_list(F.struct("_df", "_tok")))
-    order = long.join(freq, "_tok").groupBy(*by).agg(rarest.alias("_o")).select(*by, F.transform("_o", lambda e: e["_tok"]).alias("ordered"))
-    return nodes.join(order, by)
+    order = long.join(by_shuffle(freq), "_tok").groupBy(*by).agg(rarest.alias("_o")).select(*by, F.transform("_o", lambda e: e["_tok"]).alias("ordered"))
+    return nodes.join(by_shuffle(order), by)
 
 
 def _length_class(n: Column) -> Column:
@@ -127,7 +127,7 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, ratio: float, min_sh
     shared_block = F.array_intersect("xbs", "ybs")
     keys = ["_k", "_p", "_q"]
     first_block = (F.size("xbs") == 1) & (F.size("ybs") == 1) | (F.col("xb") == F.element_at(shared_block, 1))
-    met = probe.join(index, keys).filter((F.col("xneed") <= F.col("yleft")) & kept & enough("s0") & enough("s1") & first_block)
+    met = probe.join(by_shuffle(index), keys).filter((F.col("xneed") <= F.col("yleft")) & kept & enough("s0") & enough("s1") & first_block)
     if right is None:
         return met.select("x", "y").distinct()
     own = F.col("xside") == 0
