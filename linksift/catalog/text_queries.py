@@ -216,6 +216,7 @@ def explicit_dates(spark, sf):
 def date_flags(spark, sf):
     r = V.v_records(spark, sf)
     found = dates.explicit_dates(F.concat(F.lit("on "), F.date_format("start_at", "MMMM d"), F.lit(" in town")), V.AS_OF.date())
+    r, found = r.select("id", found.alias("_found")), C("_found")
     return r.select("id", dates.has_past_date(found, V.AS_OF.date()).alias("has_past"), dates.has_future_date(found, V.AS_OF.date()).alias("has_future"))
 
 

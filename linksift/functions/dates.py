@@ -7,6 +7,8 @@ from datetime import date, datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Words that make a bare past year count as a date, grouped by length.
 EVENT_CONTEXT = [
     "event", "meetup", "dinner", "breakfast", "salon", "conference", "summit", "workshop",
@@ -24,13 +26,16 @@ _NAMED = (
 
 
 def _bare_year() -> str:
-    """A four-digit year with a context word wholly inside the 80 characters on either side."""
+    """A four-digit year with a context word wholly inside the 80 characters on either side.
+
+    The year itself is tested first, as the look-around is dear at every other place of a text.
+    """
     tests = []
     for length in sorted({len(w) for w in EVENT_CONTEXT}):
         group = "|".join(w for w in EVENT_CONTEXT if len(w) == length)
         gap = CONTEXT_REACH - length
         tests += [f"(?<=(?:{group})[\\s\\S]{{0,{gap}}})", f"(?=[\\s\\S]{{0,{gap}}}(?:{group}))"]
-    return f"{_START}(?:{'|'.join(tests)})20[0-9]{{2}}{_END}"
+    return f"{_START}(?=20[0-9]{{2}}{_END})(?:{'|'.join(tests)})20[0-9]{{2}}"
 
 
 _BARE_YEAR = _bare_year()
@@ -42,7 +47,10 @@ def explicit_dates(text: Column, as_of: date) -> Column:
     Covers numeric dates, month-name dates (missing year = the year of ``as_of``), and bare
     past years near an event word, which count as January 1st.
     """
-    lower = F.lower(text)
+    return let(F.lower(text), lambda lower: _dates_in(lower, as_of))
+
+
+def _dates_in(lower: Column, as_of: date) -> Column:
     iso = F.transform(
         F.regexp_extract_all(lower, F.lit(_ISO), F.lit(0)),
         lambda m: F.try_to_date(F.regexp_replace(m, "[/_]", "-"), "y-M-d"),
