@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.text import stable_id
+from ..session import cut_lineage
 from .ranking import first_per_key
 
 
@@ -189,7 +190,8 @@ def with_source(links: DataFrame, default_quality: float = 50.0) -> DataFrame:
 
 def source_nodes(links: DataFrame, seq: str = "seq") -> DataFrame:
     """Graph nodes: one per source (folded over its links) and one per link target."""
-    staged = with_source(links)
+    used = ["from_id", "to_id", "_kind", "_name", "_src_url", "_handle", "_quality", "rejection_reason", "discovered_at", "title", "canonical_url", "source_score"]
+    staged = cut_lineage(with_source(links).select(*used, F.col(seq).alias(seq)))  # read four times below
     rejected = F.col("rejection_reason").isNotNull()
     rows = staged.select(
         F.col("from_id").alias("id"), F.col("_kind").alias("source_type"), F.col("_name").alias("name"), F.col("_src_url").alias("url"),
