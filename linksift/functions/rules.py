@@ -283,9 +283,13 @@ def match_many(df: DataFrame, key: str, text: str, rules: DataFrame) -> DataFram
         F.explode(forms).alias("_run"),
     )
     norm_text = df.select(F.col(key), match_text(F.col(text)).alias("_text"))
-    runs = norm_text.select(key, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit("[a-z0-9]+|[+&#@]"), F.lit(0)))).alias("_run"))
+    signs = F.filter(F.array(*[F.lit(s) for s in "+&#@"]), lambda s: F.contains("_text", s))
+    cut = F.array_distinct(F.split(F.translate("_text", "+&#@", "    "), " "))
+    runs = norm_text.select(key, F.explode(F.concat(cut, signs)).alias("_run"))
     met = runs.join(compiled, "_run")
     sure = met.filter("_decides").select(key, "ordinal", "keyword")
+    if compiled.filter("not _decides").isEmpty():  # the rules alone are read; without such a keyword no text is needed again
+        return sure.distinct()
     open_ = met.filter("not _decides").select(F.col(key).alias("_key"), "ordinal", "keyword", "_pattern").distinct()
     tested = open_.join(norm_text, F.col("_key").eqNullSafe(F.col(key))).filter(F.expr("_text rlike _pattern")).select(key, "ordinal", "keyword")
     return sure.unionByName(tested).distinct()
