@@ -813,6 +813,6 @@ def test_only_rows_that_may_be_picked_are_compared(spark, tmp_path, monkeypatch)
     schema = "id string, canonical_url string, source_urls array<string>, title string, start_at timestamp, timezone string, city string, hosts array<string>, organizers array<string>, score double"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     tables = Tables(spark, str(tmp_path / "tables"))
-    jobs.pick_new(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), tables, DEFAULT_RULES, datetime(2024, 7, 2), 5, str(tmp_path / "state")).awaitTermination()
+    jobs.pick_new(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), tables, R.DEFAULT_RULES, datetime(2024, 7, 2), 5, str(tmp_path / "state")).awaitTermination()
     assert asked == [["a", "b", "b"]]
     assert sorted(r["record_id"] for r in tables.read("picks").collect()) == ["a", "b"]
