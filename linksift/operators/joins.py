@@ -69,14 +69,21 @@ def attribution(records: DataFrame, links: DataFrame, more_urls: DataFrame | Non
 
     ``more_urls`` adds (id, url) rows for records whose urls are kept in long form.
     """
-    def urls(df: DataFrame, id_col: str, cols: Column, *keep: str) -> DataFrame:
-        return df.select(F.col("id").alias(id_col), *keep, F.explode(F.array_distinct(F.transform(
-            F.filter(cols, lambda u: F.coalesce(u != "", F.lit(False))), shared_url))).alias("_url"))
+    def named(url: Column) -> Column:
+        return F.coalesce(url != "", F.lit(False))
 
-    rec = urls(records, "record_id", F.concat(F.array("canonical_url"), F.coalesce("source_urls", F.array().cast("array<string>"))))
+    def urls(df: DataFrame, id_col: str, forms: Column, *keep: str) -> DataFrame:
+        return df.select(F.col("id").alias(id_col), *keep, F.explode(F.array_distinct(forms)).alias("_url"))
+
+    def own_forms(*columns: str) -> Column:
+        """Forms of some columns, written out one by one: Spark compiles them, a lambda over an array it interprets."""
+        return F.array_compact(F.array(*[F.when(named(F.col(c)), shared_url(F.col(c))) for c in columns]))
+
+    listed = F.transform(F.filter(F.coalesce("source_urls", F.array().cast("array<string>")), named), shared_url)
+    rec = urls(records, "record_id", F.concat(own_forms("canonical_url"), listed))
     if more_urls is not None:
         rec = rec.unionByName(more_urls.select(F.col("id").alias("record_id"), shared_url(F.col("url")).alias("_url")))
-    lnk = urls(links, "link_id", F.array("canonical_url", "url"), "platform")
+    lnk = urls(links, "link_id", own_forms("canonical_url", "url"), "platform")
     return rec.join(lnk, "_url").groupBy("record_id", "link_id").agg(F.min("platform").alias("platform"))
 
 

@@ -190,3 +190,14 @@ def test_keywords_of_signs_and_plurals(one, spark, value, keyword, hit):
     docs = spark.createDataFrame([(1, value), (None, value), (2, None)], "k long, t string")
     many = R.match_many(docs, "k", "t", spark.createDataFrame([(0, keyword), (1, None)], "ordinal int, keyword string"))
     assert sorted(r["k"] or 0 for r in many.collect()) == ([0, 1] if hit else [])
+
+
+def test_plain_urls_are_only_cut(spark):
+    """A plain url takes its form without the parser that a fragment sends it to, and both agree."""
+    plain = ["https://a.com", "https://a.com/", "http://www.a-b.c/x//", "https://www.a.com/x?utm_source=1&ref=b=c", "https://a.com/x/?gclid", "https://www./x?fbclid=", "http://a/@b;c"]
+    odd = ["https://a.com/x?keep=1&ref=2", "HTTPS://a.com/?ref=1", "https://a.com:443/x", "https://u@a.com/x", "https://a.com/é?ref", "https://a.com/x?", "https://a.com/x?&ref=1", "https://a.com/x?refx=1", "https://a.com/x?r%65f=1", None, "", " https://a.com/ "]
+    df = spark.createDataFrame([(u,) for u in plain + odd], "u string")
+    for form, names in ((urls.shared_url, urls._SHARED_NAMES), (urls.dedupe_url, urls._DEDUPE_NAMES)):
+        rows = df.select("u", form(C("u")).alias("cut"), form(F.concat(F.trim("u"), F.lit("#f"))).alias("parsed"), C("u").rlike(urls._plain(names)).alias("plain")).collect()
+        assert {r["u"] for r in rows if r["plain"]} == set(plain)
+        assert all(r["cut"] == r["parsed"] for r in rows if r["u"])
