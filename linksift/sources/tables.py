@@ -5,7 +5,8 @@ the buckets that its keys fall in; Spark's dynamic partition overwrite puts each
 beside the old one, under the number of the call, and a reader takes the newest folder of each
 bucket. So a reader sees a bucket as it was or as it is, and keeps the files it opened: the folder
 that a call supersedes stays until the next call on that bucket. A call that fails half-way has
-written some of its buckets; calling again gives the whole result. Rows store their order
+written some of its buckets; calling again gives the whole result. An upsert shuffles stored and
+incoming rows once, by bucket and part of a bucket; both the merge and the write use that order. Rows store their order
 in ``_seq``, so a late row never overwrites a newer one. One job at a time may write a table.
 
 ``sources`` are merged by means, which must not be applied twice, so they are small whole versions:
@@ -39,6 +40,11 @@ ORDERED = [*BUCKETED, "sources"]
 #: Folders of a bucketed table: number of buckets (fixed by the first upsert), bucket, call.
 LEVELS = ["of", "bucket", "at"]
 
+#: What rows of an upsert are dealt to tasks by, and the number of parts of a bucket: each part is merged and written by itself.
+PLACES, PARTS = ["bucket", "part"], 16
+#: A part with more incoming rows than this, and this many times the mean, may hold a hot key.
+HOT_ROWS, HOT_TIMES = 250_000, 4
+
 
 def _order(df: DataFrame, seq: str) -> Column:
     """``seq`` as a whole number: times in microseconds."""
@@ -50,6 +56,10 @@ def _bucket(keys: list[str], of: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(of)).cast("int")
 
 
+def _places(keys: list[str], of: int) -> dict[str, Column]:
+    return {"bucket": _bucket(keys, of), "part": F.pmod(F.hash(*keys), F.lit(PARTS)).cast("int")}
+
+
 class Tables:
     """``read``, ``append`` and ``upsert`` over a folder of job tables.
 
@@ -130,10 +140,13 @@ class Tables:
         keep_min, keep_max = (["first_seen"], ["last_seen"]) if name in ("records", "source_edges") else ([], [])
         keys = KEYS[name]
 
-        def merged(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-            return ops.upsert(stored, incoming, keys, "_seq", update_cols, keep_min, keep_max)
+        def merged(dealt: DataFrame) -> DataFrame:
+            return ops.upsert_dealt(dealt, "_stored", PLACES, keys, "_seq", update_cols, keep_min, keep_max)
 
-        return self._rewrite(name, self._shape(name, df.withColumn("_seq", _order(df, seq))), merged)
+        def thinned(incoming: DataFrame) -> DataFrame:
+            return ops.first_per_key(incoming, [*PLACES, *keys], [F.desc("_seq"), *ops.by_values(incoming.drop(*PLACES), F.desc)])
+
+        return self._rewrite(name, self._shape(name, df.withColumn("_seq", _order(df, seq))), merged, thinned)
 
     def insert(self, name: str, df: DataFrame, seq: str) -> int:
         """Insert the rows whose key is not stored yet; of new rows alike in key, the one with the smallest ``seq``.
@@ -143,9 +156,9 @@ class Tables:
         """
         keys = KEYS[name]
         shaped = self._shape(name, df.withColumn("_seq", _order(df, seq))).dropna(subset=keys)
-        path, rows, touched = self._staged(name, ops.first_per_key(shaped, keys, [F.asc_nulls_last("_seq"), ops.values_of(shaped)]))
+        path, rows, touched, _ = self._staged(name, ops.first_per_key(shaped, keys, [F.asc_nulls_last("_seq"), *ops.by_values(shaped)]))
         known = self._in_buckets(name, self.folders(name), touched).select(*keys)
-        done = self._rewrite(name, rows.join(known, keys, "left_anti"), lambda stored, fresh: stored.unionByName(fresh))
+        done = self._rewrite(name, rows.drop(*PLACES).join(known, keys, "left_anti"), lambda dealt: dealt.drop("_stored"))
         delete_path(self.spark, path)
         return done
 
@@ -153,21 +166,30 @@ class Tables:
         folders = self.folders(name)
         return folders[0][0] if folders else self.buckets
 
-    def _staged(self, name: str, rows: DataFrame) -> tuple[str, DataFrame, set[int]]:
-        """``rows`` written once (path, rows read back) and the buckets that their keys fall in."""
-        path = scratch_path(self.spark, f"{name}-incoming")
-        rows.withColumn("bucket", _bucket(KEYS[name], self._buckets_of(name))).write.parquet(path)
-        back = self.spark.read.schema(StructType([*rows.schema.fields]).add("bucket", IntegerType())).parquet(path)
-        return path, back.drop("bucket"), {r["bucket"] for r in back.select("bucket").distinct().collect()}
-
-    def _rewrite(self, name: str, incoming: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
-        """``merge`` (stored rows, incoming rows) for the buckets that incoming keys fall in; returns the number of the call."""
+    def _staged(self, name: str, rows: DataFrame) -> tuple[str, DataFrame, set[int], bool]:
+        """``rows`` written once (path, rows read back with their places), the buckets that their keys fall in, and whether a key may be hot."""
+        path, of = scratch_path(self.spark, f"{name}-incoming"), self._buckets_of(name)
+        rows.withColumns(_places(KEYS[name], of)).write.parquet(path)
+        back = self.spark.read.schema(StructType([*rows.schema.fields]).add("bucket", IntegerType()).add("part", IntegerType())).parquet(path)
+        counts = back.groupBy(*PLACES).agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()
+        most, mean = max((r["most"] for r in counts), default=0), sum(r["n"] for r in counts) / (of * PARTS)
+        return path, back, {r["bucket"] for r in counts}, most > max(HOT_ROWS, HOT_TIMES * mean)
+
+    def _rewrite(self, name: str, incoming: DataFrame, merge: Callable[[DataFrame], DataFrame],
+                 thin: Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """``merge`` for the buckets that incoming keys fall in; returns the number of the call.
+
+        ``merge`` gets stored and incoming rows in one frame, told apart by ``_stored`` and dealt by ``PLACES``, and keeps these.
+        ``thin`` leaves of incoming rows those that count; it is called where a hot key would else go whole to one task.
+        """
         folders, of = self.folders(name), self._buckets_of(name)
         at = max((f[2] for f in folders), default=-1) + 1
-        path, rows, touched = self._staged(name, incoming)
+        path, rows, touched, hot = self._staged(name, incoming)
         if touched:
-            after = merge(self._in_buckets(name, folders, touched), rows)
-            placed = after.withColumns({"of": F.lit(of), "bucket": _bucket(KEYS[name], of), "at": F.lit(at)}).repartition("bucket")
+            rows = thin(rows) if hot and thin else rows
+            stored = self._in_buckets(name, folders, touched).withColumns(_places(KEYS[name], of))
+            dealt = stored.withColumn("_stored", F.lit(True)).unionByName(rows.withColumn("_stored", F.lit(False))).repartition(*PLACES)
+            placed = merge(dealt).drop("part").withColumns({"of": F.lit(of), "at": F.lit(at)})
             placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LEVELS).parquet(f"{self.root}/{name}")
             for b in touched:  # all but the folder that was just superseded, which readers may hold
                 for folder in [f for f in folders if f[1] == b][:-1]:

@@ -816,3 +816,47 @@ def test_only_rows_that_may_be_picked_are_compared(spark, tmp_path, monkeypatch)
     jobs.pick_new(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), tables, R.DEFAULT_RULES, datetime(2024, 7, 2), 5, str(tmp_path / "state")).awaitTermination()
     assert asked == [["a", "b", "b"]]
     assert sorted(r["record_id"] for r in tables.read("picks").collect()) == ["a", "b"]
+
+
+def test_upserts_shuffle_rows_once(spark):
+    """Rows dealt by bucket and part are merged where they are; the order of ties stays out of the shuffle and the sort."""
+    stored = spark.createDataFrame([("a", 5, "old")], "id string, _seq long, v string").withColumn("_stored", F.lit(True))
+    incoming = spark.createDataFrame([("a", 6, "new")], "id string, _seq long, v string").withColumn("_stored", F.lit(False))
+    dealt = stored.unionByName(incoming).withColumns({"bucket": F.lit(0), "part": F.lit(0)}).repartition("bucket", "part")
+    plan = upsert.upsert_dealt(dealt, "_stored", ["bucket", "part"], ["id"], "_seq")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "_w0" not in plan
+    newest = upsert.upsert(stored, incoming, ["id"], "_seq")._jdf.queryExecution().executedPlan().toString()
+    assert "_w0" not in newest
+
+
+@pytest.mark.parametrize("update_cols", [None, ["query_text"]])
+def test_stored_upserts_equal_the_joined_ones(spark, tmp_path, monkeypatch, update_cols):
+    """Odd keys and orders, hot keys thinned first or not: the stored rows equal what ``upsert`` makes of the same calls."""
+    from linksift.sources import tables as sources
+
+    rnd = random.Random(17)
+    schema = "id string, query_text string, platform string, budget_cost long, s long"
+    calls = [[(rnd.choice([*"abcdefgh", None]), rnd.choice(["x", "y", None]), rnd.choice("pq"), rnd.choice([1, None]), rnd.choice([1, 2, 3, None])) for _ in range(60)] for _ in range(4)]
+    for most in (250_000, 3):
+        monkeypatch.setattr(sources, "HOT_ROWS", most)
+        monkeypatch.setattr(sources, "HOT_TIMES", 1)
+        stored = Tables(spark, str(tmp_path / str(most)), buckets=3)
+        expected = stored._stored("queries")
+        for rows in calls:
+            df = spark.createDataFrame(rows, schema)
+            stored._merge("queries", df, "s", update_cols)
+            merged = upsert.upsert(expected, stored._shape("queries", df.withColumn("_seq", C("s"))), ["id"], "_seq", update_cols)
+            expected = spark.createDataFrame(merged.collect(), merged.schema)
+        assert sorted(map(str, stored._stored("queries").collect())) == sorted(map(str, expected.collect()))
+
+
+def test_stored_edges_and_sources_keep_their_rules(spark, tmp_path):
+    """Two keys of which one is null, and first and last sights: what two calls leave."""
+    stored = Tables(spark, str(tmp_path), buckets=2)
+    for order, platform in enumerate("xy"):
+        stored.save_record_sources(spark.createDataFrame([("r", "l", platform, order), ("r", None, platform, order), ("r", "l", "late", -1)], "record_id string, link_id string, platform string, s long"), "s")
+    assert sorted(map(str, (tuple(r) for r in stored.read("record_sources").collect()))) == sorted(map(str, [("r", "l", "y"), ("r", None, "x"), ("r", None, "y")]))
+    for order, day in ((1, 5), (3, 9), (2, 2)):
+        stored.save_edges(spark.createDataFrame([("e", f"from{day}", float(day), datetime(2024, 5, day), datetime(2024, 5, day), order)], "id string, from_id string, weight double, first_seen timestamp, last_seen timestamp, s long"), "s")
+    (row,) = stored.read("source_edges").collect()
+    assert (row["from_id"], row["weight"], row["first_seen"].day, row["last_seen"].day) == ("from5", 9.0, 2, 9)
