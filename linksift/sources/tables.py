@@ -25,7 +25,7 @@ from pyspark.sql.types import DateType, IntegerType, LongType, StructType, Times
 from ..functions.coerce import FEEDBACK_LABELS
 from ..operators import upsert as ops
 from ..schemas import KEYS, RUN_COUNTERS, TABLES
-from ..session import delete_path, scratch_path
+from ..session import delete_path, scratch_path, size_of
 
 # Which columns an existing row takes from an incoming one.
 UPDATE_COLS = {
@@ -40,8 +40,8 @@ ORDERED = [*BUCKETED, "sources"]
 #: Folders of a bucketed table: number of buckets (fixed by the first upsert), bucket, call.
 LEVELS = ["of", "bucket", "at"]
 
-#: What rows of an upsert are dealt to tasks by, and the number of parts of a bucket: each part is merged and written by itself.
-PLACES, PARTS = ["bucket", "part"], 16
+#: What rows of an upsert are dealt to tasks by, the largest number of parts of a bucket, and the bytes that are worth a part. Each part is merged and written by itself.
+PLACES, PARTS, PART_BYTES = ["bucket", "part"], 16, 4 << 20
 #: A part with more incoming rows than this, and this many times the mean, may hold a hot key.
 HOT_ROWS, HOT_TIMES = 250_000, 4
 
@@ -175,6 +175,15 @@ class Tables:
         most, mean = max((r["most"] for r in counts), default=0), sum(r["n"] for r in counts) / (of * PARTS)
         return path, back, {r["bucket"] for r in counts}, most > max(HOT_ROWS, HOT_TIMES * mean)
 
+    def _parts(self, name: str, folders: list[tuple[int, int, int]], staged: str, touched: set[int]) -> int:
+        """In how many parts a bucket is rewritten: one where it is small, so that a small call writes few files."""
+        held = {bucket: self._folder(name, (of, bucket, at)) for of, bucket, at in folders if bucket in touched}
+        most = max((size_of(self.spark, folder) for folder in held.values()), default=0) + size_of(self.spark, staged) / len(touched)
+        parts = 1
+        while parts < PARTS and most > parts * PART_BYTES:
+            parts *= 2
+        return parts
+
     def _rewrite(self, name: str, incoming: DataFrame, merge: Callable[[DataFrame], DataFrame],
                  thin: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """``merge`` for the buckets that incoming keys fall in; returns the number of the call.
@@ -188,7 +197,8 @@ class Tables:
         if touched:
             rows = thin(rows) if hot and thin else rows
             stored = self._in_buckets(name, folders, touched).withColumns(_places(KEYS[name], of))
-            dealt = stored.withColumn("_stored", F.lit(True)).unionByName(rows.withColumn("_stored", F.lit(False))).repartition(*PLACES)
+            both = stored.withColumn("_stored", F.lit(True)).unionByName(rows.withColumn("_stored", F.lit(False)))
+            dealt = both.withColumn("part", F.col("part") % self._parts(name, folders, path, touched)).repartition(*PLACES)
             placed = merge(dealt).drop("part").withColumns({"of": F.lit(of), "at": F.lit(at)})
             placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LEVELS).parquet(f"{self.root}/{name}")
             for b in touched:  # all but the folder that was just superseded, which readers may hold

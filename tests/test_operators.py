@@ -837,9 +837,10 @@ def test_stored_upserts_equal_the_joined_ones(spark, tmp_path, monkeypatch, upda
     rnd = random.Random(17)
     schema = "id string, query_text string, platform string, budget_cost long, s long"
     calls = [[(rnd.choice([*"abcdefgh", None]), rnd.choice(["x", "y", None]), rnd.choice("pq"), rnd.choice([1, None]), rnd.choice([1, 2, 3, None])) for _ in range(60)] for _ in range(4)]
-    for most in (250_000, 3):
+    for most, size in ((250_000, 4 << 20), (3, 400)):
         monkeypatch.setattr(sources, "HOT_ROWS", most)
         monkeypatch.setattr(sources, "HOT_TIMES", 1)
+        monkeypatch.setattr(sources, "PART_BYTES", size)
         stored = Tables(spark, str(tmp_path / str(most)), buckets=3)
         expected = stored._stored("queries")
         for rows in calls:
